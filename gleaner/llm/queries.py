@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from gleaner.llm import license_scan
+from gleaner.llm import license_scan, quality
 
 
 def queries() -> dict:
-    return {"op1_license_scan": license_scan.op1_license_scan}
+    return {"op1_license_scan": license_scan.op1_license_scan, "op3_quality_rules": quality.op3_quality_rules}
 
 
 def oracle_sql() -> dict:
-    return {"op1_license_scan": license_scan.oracle()}
+    return {"op1_license_scan": license_scan.oracle(), "op3_quality_rules": quality.oracle()}
