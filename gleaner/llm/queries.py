@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from gleaner.llm import license_scan, quality
+from gleaner.llm import license_scan, mixing, quality
 
 
 def queries() -> dict:
-    return {"op1_license_scan": license_scan.op1_license_scan, "op3_quality_rules": quality.op3_quality_rules}
+    return {
+        "op1_license_scan": license_scan.op1_license_scan,
+        "op3_quality_rules": quality.op3_quality_rules,
+        "op4_source_mix": mixing.op4_source_mix,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op1_license_scan": license_scan.oracle(), "op3_quality_rules": quality.oracle()}
+    return {
+        "op1_license_scan": license_scan.oracle(),
+        "op3_quality_rules": quality.oracle(),
+        "op4_source_mix": mixing.oracle(),
+    }
