@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import license_scan, mixing, quality
+from gleaner.llm import license_scan, mixing, quality, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_license_scan": license_scan.op1_license_scan,
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_source_mix": mixing.op4_source_mix,
+        "op6_url_filter": url_filter.op6_url_filter,
     }
 
 
@@ -18,4 +19,5 @@ def oracle_sql() -> dict:
         "op1_license_scan": license_scan.oracle(),
         "op3_quality_rules": quality.oracle(),
         "op4_source_mix": mixing.oracle(),
+        "op6_url_filter": url_filter.oracle(),
     }
