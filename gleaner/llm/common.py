@@ -53,3 +53,23 @@ def letter_words(text: Column) -> Column:
 def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
     """Tells repeated rows apart; df must be a scan or a cut, whose rows come in the same order when a task is run again."""
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of the undirected edges (a, b); root is the component's smallest node.
+
+    Alternating large-star and small-star rounds, each cut, until nothing changes. A hub's edges
+    meet its minimum in a join that Spark can split, and minima are pre-aggregated.
+    """
+    mark = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
+    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before, after = None, mark(now)
+    while after != before and after["n"]:
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        before, after = after, mark(now)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gleaner.llm import license_scan, mixing, quality, url_filter
+from gleaner.llm import license_scan, mixing, quality, simhash, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": license_scan.op1_license_scan,
+        "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_source_mix": mixing.op4_source_mix,
         "op6_url_filter": url_filter.op6_url_filter,
