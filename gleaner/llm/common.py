@@ -13,6 +13,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII characters other than letters and digits: the separators of "letter" words.
 NON_ALNUM = "".join(chr(i) for i in range(128) if not chr(i).isalnum())
 
+#: Rows of an Arrow batch: of texts, which can be long, and of numbers.
+TEXT_BATCH, NUMBER_BATCH = 512, 20_000
+
+
+def batch_rows(spark: SparkSession, rows: int) -> None:
+    """Rows of an Arrow batch from the next action on; few rows of long texts bound a task's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

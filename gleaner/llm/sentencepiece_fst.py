@@ -31,12 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import table
+from gleaner.llm.common import TEXT_BATCH, batch_rows, table
 
 INF = float("inf")
 #: Entries of the caches of parts and of neighbouring pairs.
 PARTS, PAIRS = 300_000, 1_000_000
-TEXT_BATCH = 256
 #: State before the first piece, and after a character without a piece: no merge reaches across it.
 START = -1
 MARK = "▁"
@@ -187,7 +186,7 @@ def _compiled(spark, path: str | None):
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """(row: struct of all input columns, ids: array of int)."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+    batch_rows(spark, TEXT_BATCH)
     shared = _compiled(spark, path)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -214,7 +213,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Encodes and decodes in one pass, so that ids needn't leave the task.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+    batch_rows(spark, TEXT_BATCH)
     shared = _compiled(spark, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import connected_components, cut, table
+from gleaner.llm.common import NUMBER_BATCH, TEXT_BATCH, batch_rows, connected_components, cut, table
 
 _TO_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 SEED = 42
@@ -37,8 +37,6 @@ SEED = 42
 SAMPLE, SHARD_SAMPLE, TRIES = 16_384, 96, 6
 #: Branches up to this size are compared exactly; comparisons go in blocks of this many rows.
 SMALL, BLOCK = 384, 1024
-#: Rows of an Arrow batch of texts.
-TEXT_BATCH = 256
 #: Shingles whose bits are counted at a time.
 _CHUNK = 1 << 15
 
@@ -213,10 +211,10 @@ def links(distinct: DataFrame, shape: Shape) -> DataFrame:
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = batch["l0"].to_numpy(np.int64).view(np.uint64)
-            for i, tree in enumerate(trees):
-                for shard, at in route(tree, cut_out(x, i), reach):
-                    if len(at):
-                        yield batch.iloc[at].assign(shard=shard * shape.blocks + i)
+            dealt = [(shard * shape.blocks + i, at) for i, tree in enumerate(trees) for shard, at in route(tree, cut_out(x, i), reach) if len(at)]
+            if dealt:
+                rows = np.concatenate([at for _, at in dealt])
+                yield batch.iloc[rows].assign(shard=np.repeat([k for k, _ in dealt], [len(at) for _, at in dealt]))
 
     def compare(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
         lanes = np.ascontiguousarray(shard[names].to_numpy(np.int64)).view(np.uint64)
@@ -243,15 +241,11 @@ def components(prints: DataFrame, shape: Shape, id_col: str) -> DataFrame:
     return prints.join(named, "node").drop("node")
 
 
-def small_batches(spark) -> None:
-    """Texts can be long: Arrow batches of few rows bound a task's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
-
-
 def near_duplicates(docs: DataFrame, shape: Shape = CONTRACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the lanes l0, ..., component_id."""
-    small_batches(docs.sparkSession)
+    batch_rows(docs.sparkSession, TEXT_BATCH)
     prints = cut(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), shape, ["doc_id"], "text"))
+    batch_rows(docs.sparkSession, NUMBER_BATCH)
     return components(prints, shape, "doc_id")
 
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut, table, with_row
+from gleaner.llm.common import TEXT_BATCH, batch_rows, cut, table, with_row
 
 LENGTH, CORE = 100, 56
 SIDE = LENGTH - CORE
@@ -512,7 +512,7 @@ def remaining(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
 
 
 def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more) -> DataFrame:
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    batch_rows(docs.sparkSession, 4 * TEXT_BATCH)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
     return with_row(picked).withColumn("ord", F.coalesce("doc_id", F.lit(_FIRST)))
 
