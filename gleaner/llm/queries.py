@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import brown_lm, license_scan, mixing, quality, sentencepiece_fst, simhash, suffix_dedup, url_filter
+from gleaner.llm import ann, brown_lm, license_scan, mixing, quality, sentencepiece_fst, simhash, suffix_dedup, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_source_mix": mixing.op4_source_mix,
         "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op6_url_filter": url_filter.op6_url_filter,
+        "op7_ann_forest": ann.op7_ann_forest,
         "op9_brown_lm": brown_lm.op9_brown_lm,
         "op10_sentencepiece": sentencepiece_fst.op10_sentencepiece,
     }
