@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import ann, brown_lm, license_scan, mixing, quality, sentencepiece_fst, simhash, suffix_dedup, url_filter
+from gleaner.llm import ann, brown_lm, license_scan, mixing, quality, sentencepiece_fst, simhash, suffix_dedup, url_filter, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_ann_forest": ann.op7_ann_forest,
+        "op8_warc_index": warc.op8_warc_index,
         "op9_brown_lm": brown_lm.op9_brown_lm,
         "op10_sentencepiece": sentencepiece_fst.op10_sentencepiece,
     }
@@ -25,4 +26,5 @@ def oracle_sql() -> dict:
         "op3_quality_rules": quality.oracle(),
         "op4_source_mix": mixing.oracle(),
         "op6_url_filter": url_filter.oracle(),
+        "op8_warc_index": warc.oracle(),
     }
