@@ -129,6 +129,20 @@ def mix(docs: DataFrame) -> DataFrame:
     )
 
 
+def mixed(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """The mix itself, with the columns of docs: a row for each pass over a document, with the words taken of it if they aren't all."""
+    base = with_row(docs)
+    marked = cut(base.select("_row", F.col("doc_id"), F.col("source"), F.size(plain_words(F.col(text_col))).cast("long").alias("size")))
+    _, parts = pieces(marked)
+    passes = parts.groupBy("_row", "pass").agg(F.min("first").alias("first"), F.sum("words").alias("taken"))
+    met = base.select(F.struct(*docs.columns).alias("carried"), F.col(text_col).alias("whole"), "_row").join(passes, "_row")
+    words = plain_words(F.col("whole"))
+    part = F.array_join(F.slice(words, (F.col("first") + 1).cast("int"), F.col("taken").cast("int")), " ")
+    met = met.withColumn("part", F.when(F.col("taken") == F.size(words), F.col("whole")).otherwise(part))
+    new = {text_col: F.col("part"), length_col: F.length("part").cast("long")}
+    return met.select(*[new[c].alias(c) if c in new else F.col("carried")[c].alias(c) for c in docs.columns])
+
+
 def op4_source_mix(spark, sf_dir):
     return mix(sized(spark.read.parquet(f"{sf_dir}/documents.parquet"))).drop("_row")
 

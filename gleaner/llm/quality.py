@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import LOWER, UPPER, plain_words
+from gleaner.llm.common import LOWER, UPPER, plain_words, with_row
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -131,7 +131,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that pass, with all their columns."""
-    return judge(docs, text_col=text_col, keep=docs.columns).where("kept").select("carried.*")
+    # a row number in the filter keeps the optimizer from copying the whole verdict below the projections
+    judged = with_row(judge(docs, text_col=text_col, keep=docs.columns))
+    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select("carried.*")
 
 
 def op3_quality_rules(spark, sf_dir):

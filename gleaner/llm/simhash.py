@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import NUMBER_BATCH, TEXT_BATCH, batch_rows, connected_components, cut, table
+from gleaner.llm.common import NUMBER_BATCH, TEXT_BATCH, batch_rows, connected_components, cut, table, with_row
 
 _TO_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 SEED = 42
@@ -249,6 +249,17 @@ def near_duplicates(docs: DataFrame, shape: Shape = CONTRACT, id_col: str = "doc
     return components(prints, shape, "doc_id")
 
 
+def keep_one(docs: DataFrame, shape: Shape = PIPELINE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without all but one document of each group: the one with the smallest id (null last), of repeated ids the first row."""
+    batch_rows(docs.sparkSession, TEXT_BATCH)
+    rows = with_row(docs.select(F.struct(*docs.columns).alias("carried"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    named = rows.select("_row", F.struct(F.col("id").isNull().alias("last"), "id", "_row").alias("name"), "text")
+    prints = cut(fingerprints(named, shape, ["_row", "name"], "text"))
+    batch_rows(docs.sparkSession, NUMBER_BATCH)
+    extra = components(prints, shape, "name").where("name <> component_id").select("_row")
+    return rows.join(extra, "_row", "left_anti").select("carried.*")
+
+
 def op2_simhash_near_dedup(spark, sf_dir):
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("l0")), 16, "0").alias("fingerprint"), "component_id")

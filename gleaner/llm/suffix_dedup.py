@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import TEXT_BATCH, batch_rows, cut, table, with_row
+from gleaner.llm.common import TEXT_BATCH, batch_rows, cut, plain_words, table, with_row
 
 LENGTH, CORE = 100, 56
 SIDE = LENGTH - CORE
@@ -464,8 +464,8 @@ def _excerpts(rows: list[tuple]) -> pa.RecordBatch:
     return _table(h=pa.array(h, pa.int64()), ord=pa.array(order, pa.int64()), _row=pa.array(row, pa.int64()), pos=pa.array(pos, pa.int64()), left=pa.array(left, pa.binary()), right=pa.array(right, pa.binary()))
 
 
-def _likely(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs without most of those whose _row isn't in rows; a filter of fixed size, for less shuffle only."""
+def _likely(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents whose _row may be in rows, the others): a filter of fixed size, for less shuffle only."""
     spot = F.pmod(F.xxhash64("_row"), F.lit(FILTER))
     words = rows.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot % 64 as int)))").alias("bits")).collect()  # FILTER / 64 rows at most
     bits = np.zeros(FILTER // 64, np.uint64)
@@ -478,7 +478,8 @@ def _likely(docs: DataFrame, rows: DataFrame) -> DataFrame:
         s = spots.to_numpy(np.uint64)
         return pd.Series((shared.value[s >> _U(6)] >> (s & _U(63))) & _U(1) == 1)
 
-    return docs.where(maybe(spot))
+    marked = docs.withColumn("_maybe", maybe(spot))
+    return marked.where("_maybe").drop("_maybe"), marked.where("not _maybe").drop("_maybe")
 
 
 def covered_ranges(docs: DataFrame) -> DataFrame:
@@ -488,7 +489,7 @@ def covered_ranges(docs: DataFrame) -> DataFrame:
     settled = cut(found.repartition("h").sortWithinPartitions("h", "e", "ord", "_row", "pos").mapInArrow(_settle, f"kind int, h long, {places}"))
     firsts = settled.where("kind = 1")
     wanted = firsts.groupBy("_row").agg(F.collect_list(F.struct("h", "pos")).alias("firsts"))  # at most one a byte of the document
-    excerpts = _likely(docs.select("ord", "_row", "text"), firsts).join(wanted, "_row").select("ord", "_row", "text", "firsts").mapInArrow(_cut_out, "h long, ord long, _row long, pos long, left binary, right binary")
+    excerpts = _likely(docs.select("ord", "_row", "text"), firsts)[0].join(wanted, "_row").select("ord", "_row", "text", "firsts").mapInArrow(_cut_out, "h long, ord long, _row long, pos long, left binary, right binary")
     compared = cut(excerpts.repartition("h").sortWithinPartitions("h", "ord", "_row", "pos").mapInArrow(_compare, f"kind int, w1 long, w2 long, {places}"))
     large = compared.where("kind = 2")
     first = large.groupBy("w1", "w2").agg(F.min(F.struct("ord", "_row", "pos")).alias("first"))
@@ -517,28 +518,43 @@ def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *m
     return with_row(picked).withColumn("ord", F.coalesce("doc_id", F.lit(_FIRST)))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """Of documents that lose something: _row, n_removed, n_spans, kept (binary). docs: as prepared() gives them."""
+def dedup(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents that lose something, the others), with the columns of docs; the first also with n_removed, n_spans, kept (binary). docs: as prepared() gives them."""
     ranges = cut(covered_ranges(docs))
     per_row = ranges.groupBy("_row").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for row, data, spans in zip(batch.column("_row").to_pylist(), _texts(batch), batch.column("ranges").to_pylist()):
-                kept, runs = remaining(data, [(s["low"], s["high"]) for s in spans])
-                rows.append((row, len(data) - len(kept), runs, kept))
-            row, removed, runs, kept = zip(*rows) if rows else ((), (), (), ())
-            yield _table(_row=pa.array(row, pa.int64()), n_removed=pa.array(removed, pa.int64()), n_spans=pa.array(runs, pa.int64()), kept=pa.array(kept, pa.binary()))
+    @F.pandas_udf("n_removed long, n_spans long, kept binary")
+    def take_out(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, spans in zip(texts, ranges):
+            data = text.encode("utf-8", "surrogatepass")
+            kept, runs = remaining(data, [(s["low"], s["high"]) for s in spans])
+            rows.append((len(data) - len(kept), runs, kept))
+        return pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept"])
+
+    maybe, others = _likely(docs, ranges)
+    met = maybe.join(per_row, "_row", "left")
+    lost = met.where("ranges is not null").withColumn("out", take_out("text", "ranges")).select(*docs.columns, "out.*")
+    return lost, others.unionByName(met.where("ranges is null").select(*docs.columns))
+
+
+def rest_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """docs with the repeated strings gone from their texts; a character that lost some of its bytes goes whole, and a document without a word left goes too."""
+    lost, others = dedup(prepared(docs, id_col, text_col, F.struct(*docs.columns).alias("carried")))
+
+    @F.pandas_udf("string")
+    def decoded(kept: pd.Series) -> pd.Series:
+        return pd.Series([x.decode("utf-8", "ignore") for x in kept], dtype=object)
 
-    touched = _likely(docs.select("_row", "text"), ranges).join(per_row, "_row").select("_row", "text", "ranges")
-    return touched.mapInArrow(run, "_row long, n_removed long, n_spans long, kept binary")
+    shorter = lost.select("carried", decoded("kept").alias("rest")).where(F.size(plain_words(F.col("rest"))) > 0)
+    new = {text_col: F.col("rest"), length_col: F.length("rest").cast("long")}
+    return others.select("carried.*").unionByName(shorter.select(*[new[c].alias(c) if c in new else F.col("carried")[c].alias(c) for c in docs.columns]))
 
 
 def op5_suffix_dedup(spark, sf_dir):
     docs = prepared(table(spark, sf_dir, "documents"))
-    lost = dedup(docs).select("_row", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    whole = docs.select("_row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole_sha256"))
-    return whole.join(lost, "_row", "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256")
+    lost, others = dedup(docs)
+    n_bytes, zero = F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long")
+    return lost.select("doc_id", n_bytes, "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")).unionByName(
+        others.select("doc_id", n_bytes, zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
     )
