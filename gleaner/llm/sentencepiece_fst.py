@@ -12,9 +12,9 @@ what the merges make of its text if and only if that holds for every neighbourin
 path is left and it is the model's own encoding. (Weighing byte-pair pieces by their scores
 would give other ids than the model's.)
 
-No piece holds a word mark behind another character, and none holds a character without a piece;
-so the lattice falls apart at these places, and the paths of its parts are kept in a cache of
-bounded size. Texts are taken whole. Null texts give null ids, empty texts none; repeated rows
+The lattice falls apart wherever no piece holds the two neighbouring characters side by side (as
+at most word marks and punctuation), and the paths of its parts are kept in a cache of bounded
+size. Texts are taken whole. Null texts give null ids, empty texts none; repeated rows
 are rows of their own; an empty table gives an empty result; an input column is never
 overwritten by name, as only the id and text columns are read (encode() keeps the others apart).
 """
@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ from gleaner.llm.common import TEXT_BATCH, batch_rows, table
 
 INF = float("inf")
 #: Entries of the caches of parts and of neighbouring pairs.
-PARTS, PAIRS = 300_000, 1_000_000
+PARTS, PAIRS = 700_000, 1_000_000
 #: State before the first piece, and after a character without a piece: no merge reaches across it.
 START = -1
 MARK = "▁"
@@ -52,6 +53,7 @@ class Transducer:
         self.pieces, self.scores, self.byte_ids, self.texts = pieces, scores, byte_ids, texts
         self.merging, self.prefix, self.unknown = merging, prefix, unknown
         self.longest = max(map(len, pieces), default=1)
+        self.neighbours = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}  # characters that some piece holds side by side
         self.loose = any(" " in p.lstrip(" ") for p in pieces)  # a piece with a mark inside: texts aren't cut at marks
         self._forget()
 
@@ -148,11 +150,18 @@ class Transducer:
         return out[::-1]
 
     def part(self, text: str) -> bytes:
-        got = np.array(self.path(text), np.dtype("<i4")).tobytes()
+        joint, known = self.neighbours, self._parts
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in joint]
+        if cuts:  # nothing reads across such a place, so the ends are parts of their own
+            ends = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+            got = b"".join([known.get(e) or self.part(e) for e in ends])
+        else:
+            got = np.array(self.path(text), np.dtype("<i4")).tobytes()
         if len(text) <= 64:
-            if len(self._parts) >= PARTS:
-                self._parts.clear()
-            self._parts[text] = got
+            if len(known) >= PARTS:  # the older half goes
+                for old in list(islice(known, PARTS // 2)):
+                    del known[old]
+            known[text] = got
         return got
 
     def encode(self, text: str) -> np.ndarray:
