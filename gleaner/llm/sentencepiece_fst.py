@@ -60,9 +60,10 @@ class Transducer:
     def _forget(self) -> None:
         self._parts: dict[str, bytes] = {}
         self._pairs: dict[int, float] = {}
+        self._steps: dict[int, tuple] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"_parts": {}, "_pairs": {}}
+        return self.__dict__ | {"_parts": {}, "_pairs": {}, "_steps": {}}
 
     @classmethod
     def compile(cls, path: str) -> Transducer:
@@ -92,18 +93,44 @@ class Transducer:
 
     # ---- weights
 
-    def merged(self, text: str) -> list[str]:
-        """What the merges make of a short text: the best-scored neighbours join first, the leftmost of equals."""
-        parts = list(text)
-        while True:
-            best, at = -INF, -1
-            for i in range(len(parts) - 1):
-                piece = self.pieces.get(parts[i] + parts[i + 1])
-                if piece is not None and self.scores[piece] > best:
-                    best, at = self.scores[piece], i
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    def steps(self, piece: int) -> tuple[list[str], list[str], list[float], bool]:
+        """What the merges do to a piece's own text: its first and its last part after each merge, the merges' scores, and whether one part is left."""
+        got = self._steps.get(piece)
+        if got is None:
+            parts, scores = list(self.texts[piece].decode()), []
+            first, last = [parts[0]], [parts[-1]]
+            while True:
+                best, at = -INF, -1
+                for i in range(len(parts) - 1):  # the best-scored neighbours join first, the leftmost of equals
+                    joined = self.pieces.get(parts[i] + parts[i + 1])
+                    if joined is not None and self.scores[joined] > best:
+                        best, at = self.scores[joined], i
+                if at < 0:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                scores.append(best)
+                first.append(parts[0])
+                last.append(parts[-1])
+            got = self._steps[piece] = first, last, scores, len(parts) == 1
+        return got
+
+    def separate(self, before: int, piece: int) -> bool:
+        """Whether the merges, run on two pieces side by side, never join them: their own merges go on in order of score until one across the border would come first."""
+        _, last, left, whole = self.steps(before)
+        first, _, right, also = self.steps(piece)
+        i = j = 0
+        while whole and also:
+            across = self.pieces.get(last[i] + first[j])
+            mine, theirs = left[i] if i < len(left) else -INF, right[j] if j < len(right) else -INF
+            if across is not None and self.scores[across] > mine and self.scores[across] >= theirs:
+                return False
+            if mine == theirs == -INF:
+                return True
+            if mine >= theirs:
+                i += 1
+            else:
+                j += 1
+        return False
 
     def weight(self, before: int, piece: int) -> float:
         """Of the arc that reads a piece in the state left by the one before."""
@@ -112,9 +139,7 @@ class Transducer:
         key = before * len(self.texts) + piece
         got = self._pairs.get(key)
         if got is None:
-            own = self.texts[piece].decode()
-            want = [own] if before == START else [self.texts[before].decode(), own]
-            got = 0.0 if self.merged("".join(want)) == want else INF
+            got = 0.0 if (self.steps(piece)[3] if before == START else self.separate(before, piece)) else INF
             if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
             self._pairs[key] = got
