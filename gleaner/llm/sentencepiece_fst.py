@@ -52,7 +52,7 @@ class Transducer:
     def __init__(self, pieces: dict[str, int], scores: list[float], byte_ids: list[int], texts: list[bytes | None], merging: bool, prefix: bool, unknown: int):
         self.pieces, self.scores, self.byte_ids, self.texts = pieces, scores, byte_ids, texts
         self.merging, self.prefix, self.unknown = merging, prefix, unknown
-        self.longest = max(map(len, pieces), default=1)
+        self.prefixes = {p[:i]: -1 for p in pieces for i in range(1, len(p))} | pieces  # beginnings of pieces, -1 if they are none themselves
         self.neighbours = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}  # characters that some piece holds side by side
         self.loose = any(" " in p.lstrip(" ") for p in pieces)  # a piece with a mark inside: texts aren't cut at marks
         self._forget()
@@ -149,21 +149,22 @@ class Transducer:
 
     def path(self, text: str) -> list[int]:
         """Ids of the shortest path through the lattice of a part."""
-        n, get, longest, known, size = len(text), self.pieces.get, self.longest, self._pairs.get, len(self.texts)
+        n, get, single, known, size = len(text), self.prefixes.get, self.pieces, self._pairs.get, len(self.texts)
         cost, last, back = [0.0] + [INF] * n, [START] * (n + 1), [0] * (n + 1)
-        for j in range(1, n + 1):
-            if get(text[j - 1]) is None:  # byte arcs; their weight can't matter, as nothing else reads the character
-                cost[j], last[j], back[j] = cost[j - 1], START, j - 1
+        for i in range(n):
+            so_far, state = cost[i], last[i] * size
+            if text[i] not in single:  # byte arcs; their weight can't matter, as nothing else reads the character
+                cost[i + 1], last[i + 1], back[i + 1] = so_far, START, i
                 continue
-            for i in range(max(0, j - longest), j):
+            for j in range(i + 1, n + 1):
                 piece = get(text[i:j])
-                if piece is not None and cost[i] < cost[j]:
-                    arc = known(last[i] * size + piece)
-                    c = cost[i] + (self.weight(last[i], piece) if arc is None else arc)
+                if piece is None:
+                    break
+                if piece >= 0 and so_far < cost[j]:
+                    arc = known(state + piece)
+                    c = so_far + (self.weight(last[i], piece) if arc is None else arc)
                     if c < cost[j]:
                         cost[j], last[j], back[j] = c, piece, i
-                        if self.merging:  # nothing weighs less
-                            break
         out, j = [], n
         while j:
             if last[j] == START:
