@@ -63,6 +63,12 @@ def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def sampled(df: DataFrame, key: str, rows: int, seed: int = 0) -> DataFrame:
+    """About so many rows (all, if there are fewer), told by the hash of a key: the same rows each time, and no task sends more than its part."""
+    total = df.count()
+    return df if total <= rows else df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) < int(rows / total * (1 << 40)))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the component's smallest node.
 

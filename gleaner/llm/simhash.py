@@ -29,11 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import NUMBER_BATCH, TEXT_BATCH, batch_rows, connected_components, cut, table, with_row
+from gleaner.llm.common import NUMBER_BATCH, TEXT_BATCH, batch_rows, connected_components, cut, sampled, table, with_row
 
 _TO_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 SEED = 42
-#: Fingerprints that the vantage points are chosen on, at most; sample members in a shard; tries for a vantage point.
+#: Fingerprints that the vantage points are chosen on, about; sample members in a shard; tries for a vantage point.
 SAMPLE, SHARD_SAMPLE, TRIES = 16_384, 96, 6
 #: Branches up to this size are compared exactly; comparisons go in blocks of this many rows.
 SMALL, BLOCK = 384, 1024
@@ -202,8 +202,8 @@ def links(distinct: DataFrame, shape: Shape) -> DataFrame:
     """Edges (a, b) between row numbers `node` of distinct fingerprints (node, l0, ...): the shards' spanning links."""
     spark = distinct.sparkSession
     width, reach = 64 // shape.blocks, shape.radius // shape.blocks
-    # the lowest hashes: a bounded sample that only chooses vantage points
-    sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("l0"), "l0").limit(SAMPLE).select("l0").collect()], np.int64).view(np.uint64)
+    # a bounded sample that only chooses vantage points
+    sample = np.sort(np.array([r[0] for r in sampled(distinct.select("l0"), "l0", SAMPLE).collect()], np.int64)).view(np.uint64)
     cut_out = lambda x, i: (x >> np.uint64(i * width)) & np.uint64((1 << width) - 1)
     trees = [grow(cut_out(sample, i), reach) if len(sample) else 0 for i in range(shape.blocks)]
     names = [f"l{i}" for i in range(shape.lanes)]
