@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 def windows(events: DataFrame, gap_seconds: int = 3600) -> DataFrame:
     """(user_id, session_start, session_end, n): a session ends after an idle gap."""
-    return events.groupBy("user_id", F.session_window("ts", f"{gap_seconds} seconds").alias("s")).agg(F.count("*").alias("n"), F.max("ts").alias("last")).select("user_id", F.col("s.start").alias("session_start"), F.col("last").alias("session_end"), "n")
+    order = W.partitionBy("user_id").orderBy("ts", "event_id")
+    idle = F.col("ts") - F.lag("ts").over(order)
+    new = (~F.coalesce(idle < F.expr(f"INTERVAL {gap_seconds} SECONDS"), F.lit(False))).cast("int")  # a gap as long as the limit ends a session
+    return events.withColumn("new", new).withColumn("session", F.sum("new").over(order)).groupBy("user_id", "session").agg(F.min("ts").alias("session_start"), F.max("ts").alias("session_end"), F.count("*").alias("n")).drop("session")
 
 
 def recent_context(turns: DataFrame, n: int = 5) -> DataFrame:
