@@ -15,6 +15,12 @@ def _t(spark, d, name) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _documents(spark, d) -> DataFrame:
+    """doc_id and text; a table in fewer parts than there are cores (a small single file) is dealt out, a large one is read as it lies."""
+    docs, cores = _t(spark, d, "documents").select("doc_id", "text"), spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def benchmark_queries(spark, d) -> DataFrame:
     """(qid, query): the first words of each benchmark item."""
     return _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(tokens(F.col("text")), 1, QUERY_WORDS), " ").alias("query"))
@@ -31,7 +37,7 @@ def vector_queries(spark, d) -> DataFrame:
 
 def candidates(spark, d, k: int = 20) -> DataFrame:
     """(qid, retriever, doc_id, score, rank) of three retrievers; a benchmark item's vector is the one of its id."""
-    docs, terms = _t(spark, d, "documents").select("doc_id", "text"), sparse.query_terms(benchmark_queries(spark, d))
+    docs, terms = _documents(spark, d), sparse.query_terms(benchmark_queries(spark, d))
     q = vectors(spark, d).join(F.broadcast(benchmark_queries(spark, d).select("qid")), F.col("doc_id") == F.col("qid")).select("qid", F.col("v").alias("q"))
     parts = {"bm25": sparse.top(sparse.bm25(docs, terms), k), "coverage": sparse.top(sparse.coverage(docs, terms), k), "dense": dense.nearest(vectors(spark, d), q, k)}
     out = None
@@ -93,7 +99,7 @@ def _fuse(method: str):
 
 
 def _explain(s, d):
-    docs, terms = _t(s, d, "documents"), sparse.query_terms(benchmark_queries(s, d))
+    docs, terms = _documents(s, d), sparse.query_terms(benchmark_queries(s, d))
     best = sparse.top(sparse.bm25(docs, terms), 1).select("qid", "doc_id")
     return sparse.bm25_contributions(docs, terms).join(best, ["qid", "doc_id"]).select("qid", "doc_id", "term", F.round("idf", 6).alias("idf"), F.round("contribution", 6).alias("contribution"))
 
@@ -105,7 +111,7 @@ def _hybrid(s, d):
 
 def _with_text(s, d, k):
     """BM25 candidates with their words and their queries'."""
-    docs, queries = _t(s, d, "documents").select("doc_id", "text"), benchmark_queries(s, d)
+    docs, queries = _documents(s, d), benchmark_queries(s, d)
     best = sparse.top(sparse.bm25(docs, sparse.query_terms(queries)), k)
     return best.join(docs, "doc_id").join(F.broadcast(queries), "qid")
 
@@ -115,13 +121,13 @@ def _cascade(s, d):
 
 
 def _multihop(s, d):
-    docs, queries = _t(s, d, "documents").select("doc_id", "text"), benchmark_queries(s, d)
+    docs, queries = _documents(s, d), benchmark_queries(s, d)
     return rerank.multihop(docs, queries, hops=2, k=5)
 
 
 def _precision(s, d):
     labels = _t(s, d, "labels")
-    best = sparse.top(sparse.bm25(_t(s, d, "documents"), sparse.query_terms(benchmark_queries(s, d))), 10).join(labels, "doc_id", "left")
+    best = sparse.top(sparse.bm25(_documents(s, d), sparse.query_terms(benchmark_queries(s, d))), 10).join(labels, "doc_id", "left")
     good = F.coalesce(F.col("quality"), F.lit(0))
     return best.groupBy("qid").agg(F.round(F.sum(F.when(F.col("rank") <= 5, good).otherwise(0)) / 5, 6).alias("p_at_5"), F.sum(good).cast("long").alias("hits_at_10"))
 
@@ -141,10 +147,10 @@ c AS (SELECT b.*, list_distinct(string_split(query, ' ')) AS qw, len(list_inters
       FROM {_ranked("bm", 30)} b JOIN d USING (doc_id) JOIN qs USING (qid))"""
 
 QUERIES = {
-    "bm25_batch": lambda s, d: sparse.top(sparse.bm25(_t(s, d, "documents"), sparse.query_terms(benchmark_queries(s, d))), 10),
-    "bm25_topk": lambda s, d: sparse.top(sparse.bm25_all(_t(s, d, "documents"), sparse.query_terms(benchmark_queries(s, d)), 0), 10),
-    "tfidf_topk": lambda s, d: sparse.top(sparse.tfidf(_t(s, d, "documents"), sparse.query_terms(benchmark_queries(s, d))), 10),
-    "term_importance": lambda s, d: sparse.bm25_contributions(_t(s, d, "documents"), sparse.query_terms(benchmark_queries(s, d))).select("term", F.round("idf", 6).alias("idf")).distinct(),
+    "bm25_batch": lambda s, d: sparse.top(sparse.bm25(_documents(s, d), sparse.query_terms(benchmark_queries(s, d))), 10),
+    "bm25_topk": lambda s, d: sparse.top(sparse.bm25_all(_documents(s, d), sparse.query_terms(benchmark_queries(s, d)), 0), 10),
+    "tfidf_topk": lambda s, d: sparse.top(sparse.tfidf(_documents(s, d), sparse.query_terms(benchmark_queries(s, d))), 10),
+    "term_importance": lambda s, d: sparse.bm25_contributions(_documents(s, d), sparse.query_terms(benchmark_queries(s, d))).select("term", F.round("idf", 6).alias("idf")).distinct(),
     "explain_terms": _explain,
     "dense_batch": lambda s, d: dense.nearest(vectors(s, d), vector_queries(s, d), 10),
     "dense_similar": lambda s, d: dense.nearest(vectors(s, d), vector_queries(s, d), 5, exclude_self=True),
