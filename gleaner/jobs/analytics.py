@@ -60,6 +60,13 @@ def _claims(spark, d):
     return answers.supported(answers.claims(a), e)
 
 
+def _graph_scores(spark, d):
+    """Documents by the names within one hop of the two commonest names."""
+    named = graph.mentions(_t(spark, d, "documents"))
+    start = graph.nodes(named).orderBy(F.desc("occurrences"), "node").limit(2).select("node")
+    return graph.document_scores(named, graph.reach(graph.edges(named), start, 1))
+
+
 def _stream_counts(spark, d):
     return streams.drained(streams.counts(streams.stream(spark, d)), "complete")
 
@@ -73,6 +80,7 @@ QUERIES = {
     "kg_edges": lambda s, d: graph.edges(graph.mentions(_t(s, d, "documents"))),
     "kg_stats": lambda s, d: graph.degrees(graph.edges(graph.mentions(_t(s, d, "documents")))),
     "entity_docs": lambda s, d: graph.mentions(_t(s, d, "documents")).select("node", "doc_id").distinct(),
+    "graph_score_docs": _graph_scores,
     "graph_bfs": lambda s, d: graph.reach(_star_edges(s, d), s.createDataFrame([("region:0",)], "node string")),
     "graph_expand": lambda s, d: graph.reach(_star_edges(s, d), s.createDataFrame([("nation:0",), ("nation:1",)], "node string"), 1),
     "graph_relations": lambda s, d: graph.relation_counts(_star_edges(s, d)),
@@ -96,6 +104,7 @@ QUERIES = {
     "session_preferences": lambda s, d: sessions.preferences(_events(s, d)),
     "trend_windows": lambda s, d: sessions.trends(_events(s, d)),
     "queries_per_minute": lambda s, d: sessions.rate(_events(s, d)),
+    "session_patterns": lambda s, d: sessions.patterns(_t(s, d, "conversations")),
     "cache_exact_hits": lambda s, d: sessions.exact_hits(_t(s, d, "conversations")),
     "cache_ttl_evict": lambda s, d: sessions.live_entries(_events(s, d)),
     "dedupe_results": lambda s, d: sessions.deduplicated(_t(s, d, "documents")),
@@ -105,6 +114,7 @@ QUERIES = {
     "ece": lambda s, d: answers.calibration_error(_predicted(s, d)),
     "claims": lambda s, d: answers.claims(_answers(s, d)[0]),
     "claim_overlap_nli": _claims,
+    "confidence_components": lambda s, d: answers.evidence_confidence(_claims(s, d)),
     "verdicts": lambda s, d: answers.verdicts(_claims(s, d)),
     "feedback_summary": lambda s, d: feedback.summary(feedback.rated(_events(s, d))),
     "rating_patterns": lambda s, d: feedback.patterns(feedback.rated(_events(s, d))),
@@ -159,6 +169,9 @@ ORACLE = {
     "kg_edges": f"{_EDGES} SELECT * FROM e",
     "kg_stats": f"{_EDGES} SELECT node, count(*) AS degree FROM (SELECT source AS node FROM e UNION ALL SELECT target FROM e) GROUP BY node ORDER BY degree DESC, node LIMIT 5",
     "entity_docs": f"{_MENTIONS} SELECT DISTINCT node, doc_id FROM m",
+    "graph_score_docs": f"""{_EDGES}, st AS (SELECT node FROM m GROUP BY node ORDER BY count(*) DESC, node LIMIT 2), b AS (SELECT source, target FROM e UNION SELECT target, source FROM e),
+rr AS (SELECT node, min(hop) AS hop FROM (SELECT node, 0 AS hop FROM st UNION ALL SELECT target, 1 FROM b WHERE source IN (SELECT node FROM st)) GROUP BY node)
+SELECT doc_id, count(*) AS n_nodes, round(sum(1 / (1 + hop)), 6) AS score FROM (SELECT DISTINCT node, doc_id FROM m) JOIN rr USING (node) GROUP BY doc_id""",
     "graph_bfs": _reach("'region:0'", 3),
     "graph_expand": _reach("'nation:0', 'nation:1'", 1),
     "graph_relations": f"WITH {_STAR} SELECT target AS node, relation, count(*) AS n FROM e GROUP BY ALL",
@@ -183,6 +196,7 @@ len(list_filter(range(len(l)), lambda i: length(trim(l[i + 1], ' ')) > 0 AND (i
     "session_preferences": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS place FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)) WHERE place <= 3",
     "trend_windows": "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 8) AS recent, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 39 PRECEDING AND 20 PRECEDING), 8) AS earlier FROM events",
     "queries_per_minute": "SELECT event_id, CASE WHEN s > 0 THEN round(n * 60 / s, 6) END AS per_minute FROM (SELECT event_id, count(*) OVER w AS n, floor(epoch(max(ts) OVER w)) - floor(epoch(min(ts) OVER w)) AS s FROM events " + _SEEN.format(99, "CURRENT ROW") + ")",
+    "session_patterns": f"WITH x AS (SELECT conv_id, count(*) AS n, count(DISTINCT {_INTENT.replace('query', 'text')}) AS n_intents, count(*) FILTER (len(regexp_extract_all(lower(text), {_WORD})) > 15) AS n_long FROM conversations WHERE role = 'user' GROUP BY conv_id) SELECT *, CASE WHEN n < 3 THEN 'none' WHEN n_long >= 3 THEN 'complex' WHEN n_intents >= 3 THEN 'exploring' ELSE 'steady' END AS pattern FROM x",
     "cache_exact_hits": "SELECT md5(lower(trim(text, ' '))) AS key, count(*) AS asked, count(*) - 1 AS hits FROM conversations WHERE role = 'user' GROUP BY 1",
     "cache_ttl_evict": "SELECT event_id, ts FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOURS ORDER BY ts DESC, event_id LIMIT 1000",
     "dedupe_results": "SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY substr(text, 1, 100) ORDER BY doc_id) = 1",
@@ -192,6 +206,7 @@ len(list_filter(range(len(l)), lambda i: length(trim(l[i + 1], ' ')) > 0 AND (i
     "ece": f"{_PRED} SELECT (SELECT count(*) FROM pr) AS n, (SELECT round(avg(abs(p - y)), 6) FROM pr) AS mae, round(sum(n * gap) / sum(n), 5) AS ece FROM bins",
     "claims": f"{_CLAIM} SELECT * FROM c",
     "claim_overlap_nli": f"{_CLAIM} SELECT * FROM l",
+    "confidence_components": f"{_CLAIM} SELECT conv_id, turn, round(least(1.0, 0.4::DOUBLE * avg(share) + 0.4::DOUBLE * max(share) + 0.2::DOUBLE * least(count(*) / 3, 1.0)), 6) AS confidence FROM l GROUP BY ALL",
     "verdicts": f"{_CLAIM} SELECT conv_id, turn, count(*) AS n, CASE WHEN avg((label = 'contradicted')::INT) > 0.2 THEN 'regenerate' WHEN avg((label = 'entailed')::INT) >= 0.7 THEN 'satisfactory' WHEN avg((label = 'neutral')::INT) > 0.5 THEN 'expand' ELSE 'clarify' END AS verdict FROM l GROUP BY ALL",
     "feedback_summary": f"{_RATED} SELECT event_type, count(*) AS n, round(avg(rating), 6) AS mean_rating, max_by(event_id, (ts, event_id)) AS latest FROM r GROUP BY event_type",
     "rating_patterns": f"{_RATED} SELECT event_type, round(avg((rating <= 2)::INT), 6) AS low_share, avg((rating <= 2)::INT) > 0.3 AS alarm FROM r GROUP BY event_type",

@@ -53,3 +53,9 @@ def validated(cited: DataFrame, evidence: DataFrame) -> DataFrame:
     """(answer_id, n_valid, n_invalid): citations whose document is in the evidence (doc_id), and the others."""
     met = cited.join(evidence.select(F.col("doc_id").alias("cited"), F.lit(1).alias("there")), "cited", "left")
     return met.groupBy("answer_id").agg(F.count("there").alias("n_valid"), F.count_if(F.col("there").isNull()).alias("n_invalid"))
+
+
+def evidence_confidence(judged: DataFrame) -> DataFrame:
+    """(conv_id, turn, confidence): mean and best support of an answer's claims, and how many it has."""
+    by = judged.groupBy("conv_id", "turn").agg(F.avg("share").alias("mean"), F.max("share").alias("best"), F.count("*").alias("n"))
+    return by.select("conv_id", "turn", F.round(F.least(F.lit(1.0), 0.4 * F.col("mean") + 0.4 * F.col("best") + 0.2 * F.least(F.col("n") / 3, F.lit(1.0))), 6).alias("confidence"))

@@ -46,3 +46,9 @@ def reach(edges: DataFrame, start: DataFrame, hops: int = 3) -> DataFrame:
 
 def relation_counts(edges: DataFrame, node_col: str = "target") -> DataFrame:
     return edges.groupBy(F.col(node_col).alias("node"), "relation").agg(F.count("*").alias("n"))
+
+
+def document_scores(mentioned: DataFrame, reached: DataFrame) -> DataFrame:
+    """(doc_id, n_nodes, score): reached nodes that a document names, nearer ones for more."""
+    named = mentioned.select("node", "doc_id").distinct().join(reached, "node")
+    return named.groupBy("doc_id").agg(F.count("*").alias("n_nodes"), F.round(F.sum(1 / (1 + F.col("hop"))), 6).alias("score"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import question_type, tokens
+
 
 def windows(events: DataFrame, gap_seconds: int = 3600) -> DataFrame:
     """(user_id, session_start, session_end, n): a session ends after an idle gap."""
@@ -61,3 +63,9 @@ def deduplicated(results: DataFrame) -> DataFrame:
     """First result of each beginning of a text."""
     order = W.partitionBy(F.substring("text", 1, 100)).orderBy("doc_id")
     return results.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("doc_id")
+
+
+def patterns(turns: DataFrame, long_words: int = 15) -> DataFrame:
+    """(conv_id, n, n_intents, n_long, pattern) of each conversation's user turns; none before three turns."""
+    own = turns.where("role = 'user'").groupBy("conv_id").agg(F.count("*").alias("n"), F.count_distinct(question_type(F.col("text"))).alias("n_intents"), F.count_if(F.size(tokens(F.col("text"))) > long_words).alias("n_long"))
+    return own.withColumn("pattern", F.when(F.col("n") < 3, "none").when(F.col("n_long") >= 3, "complex").when(F.col("n_intents") >= 3, "exploring").otherwise("steady"))
