@@ -34,7 +34,7 @@ from gleaner.llm.common import NUMBER_BATCH, TEXT_BATCH, batch_rows, connected_c
 _TO_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 SEED = 42
 #: Fingerprints that the vantage points are chosen on, about; sample members in a shard; tries for a vantage point.
-SAMPLE, SHARD_SAMPLE, TRIES = 16_384, 96, 6
+SAMPLE, SHARD_SAMPLE, TRIES = 16_384, 384, 6
 #: Branches up to this size are compared exactly; comparisons go in blocks of this many rows.
 SMALL, BLOCK = 384, 1024
 #: Shingles whose bits are counted at a time.
@@ -43,18 +43,19 @@ _CHUNK = 1 << 15
 
 @dataclass(frozen=True)
 class Shape:
-    """words: of a shingle; radius: differing bits of the first 64; blocks of these; lanes: words of 64 bits in all; limit: differing bits over all lanes."""
+    """words: of a shingle; lanes: words of 64 bits; indexed: lanes of which one must differ in at most radius bits; blocks: of such a lane; limit: differing bits over all lanes."""
 
     words: int = 3
     radius: int = 3
     blocks: int = 2
     lanes: int = 1
     limit: int = 3
+    indexed: int = 1
 
 
 #: The contract's fingerprints, and those of the pipeline: five words; 256 bits, of which 39 differ at a resemblance of 0.8
 #: (cosine 0.89, angle 27 degrees of 180).
-CONTRACT, PIPELINE = Shape(), Shape(words=5, radius=11, blocks=4, lanes=4, limit=39)
+CONTRACT, PIPELINE = Shape(), Shape(words=5, radius=7, blocks=4, lanes=4, limit=39, indexed=4)
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -175,8 +176,8 @@ class Groups:
         return x
 
 
-def link_shard(lanes: np.ndarray, values: np.ndarray, radius: int, shape: Shape) -> np.ndarray:
-    """The root of each row: lanes is (rows, lanes) of uint64, values the block's bits, which are split further by vantage points."""
+def link_shard(lanes: np.ndarray, values: np.ndarray, radius: int, shape: Shape, lane: int = 0) -> np.ndarray:
+    """The root of each row: lanes is (rows, lanes) of uint64, values the bits of a block of one lane, which are split further by vantage points."""
     rng, groups, todo = np.random.default_rng(7), Groups(len(lanes)), [np.arange(len(lanes))]
     while todo:
         at = todo.pop()
@@ -188,7 +189,7 @@ def link_shard(lanes: np.ndarray, values: np.ndarray, radius: int, shape: Shape)
         for i in range(0, len(at), BLOCK):
             for j in range(i, len(at), BLOCK):
                 p, q = at[i : i + BLOCK], at[j : j + BLOCK]
-                a, b = np.nonzero(np.bitwise_count(lanes[p, 0][:, None] ^ lanes[q, 0][None, :]) <= shape.radius)
+                a, b = np.nonzero(np.bitwise_count(lanes[p, lane][:, None] ^ lanes[q, lane][None, :]) <= shape.radius)
                 a, b = p[a], q[b]
                 if shape.lanes > 1 and len(a):
                     near = np.bitwise_count(lanes[a] ^ lanes[b]).sum(axis=1) <= shape.limit
@@ -202,24 +203,26 @@ def links(distinct: DataFrame, shape: Shape) -> DataFrame:
     """Edges (a, b) between row numbers `node` of distinct fingerprints (node, l0, ...): the shards' spanning links."""
     spark = distinct.sparkSession
     width, reach = 64 // shape.blocks, shape.radius // shape.blocks
+    names = [f"l{i}" for i in range(shape.lanes)]
     # a bounded sample that only chooses vantage points
-    sample = np.sort(np.array([r[0] for r in sampled(distinct.select("l0"), "l0", SAMPLE).collect()], np.int64)).view(np.uint64)
+    sample = np.array(sorted(tuple(r) for r in sampled(distinct.select(*names), "l0", SAMPLE).collect()), np.int64).reshape(-1, shape.lanes).view(np.uint64)
     cut_out = lambda x, i: (x >> np.uint64(i * width)) & np.uint64((1 << width) - 1)
-    trees = [grow(cut_out(sample, i), reach) if len(sample) else 0 for i in range(shape.blocks)]
-    names = [f"l{i}" for i in range(shape.lanes)]
+    parts = [(lane, i) for lane in range(shape.indexed) for i in range(shape.blocks)]
+    trees = [grow(cut_out(sample[:, lane], i), reach) if len(sample) else 0 for lane, i in parts]
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = batch["l0"].to_numpy(np.int64).view(np.uint64)
-            dealt = [(shard * shape.blocks + i, at) for i, tree in enumerate(trees) for shard, at in route(tree, cut_out(x, i), reach) if len(at)]
-            if dealt:
-                rows = np.concatenate([at for _, at in dealt])
-                yield batch.iloc[rows].assign(shard=np.repeat([k for k, _ in dealt], [len(at) for _, at in dealt]))
+            x = np.ascontiguousarray(batch[names].to_numpy(np.int64)).view(np.uint64)
+            for k, ((lane, i), tree) in enumerate(zip(parts, trees)):
+                dealt = [(shard * len(parts) + k, at) for shard, at in route(tree, cut_out(x[:, lane], i), reach) if len(at)]
+                if dealt:
+                    rows = np.concatenate([at for _, at in dealt])
+                    yield batch.iloc[rows].assign(shard=np.repeat([s for s, _ in dealt], [len(at) for _, at in dealt]))
 
     def compare(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
         lanes = np.ascontiguousarray(shard[names].to_numpy(np.int64)).view(np.uint64)
-        nodes = shard["node"].to_numpy()
-        root = link_shard(lanes, cut_out(lanes[:, 0], key[0] % shape.blocks), reach, shape)
+        nodes, (lane, i) = shard["node"].to_numpy(), parts[key[0] % len(parts)]
+        root = link_shard(lanes, cut_out(lanes[:, lane], i), reach, shape, lane)
         apart = root != np.arange(len(root))
         return pd.DataFrame({"a": nodes[apart], "b": nodes[root[apart]]})
 

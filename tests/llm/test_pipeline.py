@@ -36,7 +36,7 @@ def brute_near(rows):
     for i in range(len(rows)):
         for j in range(i):
             d = np.bitwise_count(prints[i] ^ prints[j])
-            if d[0] <= shape.radius and d.sum() <= shape.limit and group[i] != group[j]:
+            if d[: shape.indexed].min() <= shape.radius and d.sum() <= shape.limit and group[i] != group[j]:
                 a, b = group[i], group[j]
                 group = [min(a, b) if g in (a, b) else g for g in group]
     return [r for k, r in enumerate(rows) if group[k] == k]
