@@ -51,8 +51,8 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.substr(rest, F.length(host) + 1))
 
 
-def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Each page with its payload, digest, and - if it is a revisit - the id of its response."""
+def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, runs: int = 1) -> DataFrame:
+    """Each page with its payload, digest, and - if it is a revisit - the id of its response, dealt to so many runs."""
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = with_row(pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), html.alias("html")))
     facts = cut(rows.select("_row", "page_id", F.octet_length("html").cast("long").alias("payload_bytes"), base32_sha1(F.col("html").cast("binary")).alias("payload_digest")))
@@ -60,10 +60,10 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     firsts = facts.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
     revisits = facts.where(F.col("payload_bytes") >= min_bytes).join(firsts, "payload_digest").where("first._row <> _row").select("_row", F.col("first.page_id").alias("refers_to"), F.lit("revisit").alias("record_type"))
     decided = facts.join(revisits, "_row", "left").withColumn("record_type", F.coalesce("record_type", F.lit("response"))).drop("page_id")
-    return rows.join(decided, "_row")
+    return rows.repartition(runs, "_row").join(decided, "_row")  # the deal serves the join too, so payloads move once
 
 
-def records(captured: DataFrame, payload_total: int) -> DataFrame:
+def records(captured: DataFrame) -> DataFrame:
     """(value): one WARC record a row, less its last line feed; sorted within archives."""
     at = F.timestamp_seconds(F.lit(FIRST_SECOND) + F.coalesce(F.pmod(F.col("page_id"), F.lit(1_000_000_000)), F.lit(0)))
     uri = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
@@ -82,15 +82,15 @@ def records(captured: DataFrame, payload_total: int) -> DataFrame:
         (F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes"))).cast("string"), F.lit("\r\n\r\n"),
     )
     value = F.concat(head, http, F.when(revisit, F.lit("")).otherwise(F.col("html")), F.lit("\r\n\r"))
-    runs = max(1, -(-payload_total // ARCHIVE_BYTES))
-    return captured.withColumn("surt", url_key(F.col("url"))).withColumn("at", at).repartition(runs, "_row").sortWithinPartitions("surt", "at", "page_id", "_row").select(value.alias("value"))
+    return captured.withColumn("surt", url_key(F.col("url"))).withColumn("at", at).sortWithinPartitions("surt", "at", "page_id", "_row").select(value.alias("value"))
 
 
 def write(pages: DataFrame, path: str, **columns) -> str:
     """Writes the archives to a new folder and returns its path."""
-    captured = captures(pages, **columns)
     total = pages.agg(F.sum(F.octet_length(columns.get("html_col", "html")))).first()[0] or 0
-    records(captured, total).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    # not fewer than a join has partitions, or Spark would deal once more
+    runs = max(-(-total // ARCHIVE_BYTES), int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    records(captures(pages, runs=runs, **columns)).write.option("lineSep", "\n").option("compression", "gzip").text(path)
     return path
 
 
