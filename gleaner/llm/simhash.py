@@ -15,6 +15,10 @@ components. Copies collapse to one fingerprint first.
 Null and empty texts have fingerprint zero and are linked like any other; rows with a null id
 take part, and a component's id is its smallest id that isn't null; repeated rows are rows of
 their own; an empty table gives an empty result; only the id and text columns are read.
+
+The pipeline's keep_one goes by resemblance (the share of common shingles among all distinct
+ones): bands of minima find candidate pairs, wide fingerprints drop most unlike ones, and a
+pair is linked only if its sets of shingle hashes, joined by a shuffle, are as alike as asked.
 """
 
 from __future__ import annotations
@@ -53,9 +57,11 @@ class Shape:
     indexed: int = 1
 
 
-#: The contract's fingerprints, and those of the pipeline: five words; 256 bits, of which 39 differ at a resemblance of 0.8
-#: (cosine 0.89, angle 27 degrees of 180).
-CONTRACT, PIPELINE = Shape(), Shape(words=5, radius=7, blocks=4, lanes=4, limit=39, indexed=4)
+#: The contract's fingerprints, and those of the pipeline: five words; 256 bits, of which about 39 differ at a resemblance of 0.8
+#: (cosine 0.89, angle 27 degrees of 180) and 48 in small sets; the limit only drops candidates that are far from it, and no lane is asked for alone.
+CONTRACT, PIPELINE = Shape(), Shape(words=5, radius=64, blocks=1, lanes=4, limit=80, indexed=4)
+#: Of 5 shingles, 4 must be common. A pair at 0.8 shares no band of minima in one of 40,000 cases: (1 - 0.8 ** 4) ** 20.
+ALIKE, BANDS, BAND_MINIMA = (4, 5), 20, 4
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -252,14 +258,104 @@ def near_duplicates(docs: DataFrame, shape: Shape = CONTRACT, id_col: str = "doc
     return components(prints, shape, "doc_id")
 
 
+# ---- resemblance ---------------------------------------------------------------------------
+
+_MULTIPLIERS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * BAND_MINIMA, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The distinct shingle hashes, in order."""
+    return np.unique(shingle_hashes(text, k))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A number for each band: equal if the minima of all its hash functions are; none for an empty set."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    minima = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max)
+    for i in range(0, len(hashes), _CHUNK):
+        part = hashes[i : i + _CHUNK]
+        for f, m in enumerate(_MULTIPLIERS):
+            x = (part ^ (part >> np.uint64(29))) * m
+            minima[f] = min(minima[f], (x ^ (x >> np.uint64(32))).min())
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(minima.reshape(BANDS, BAND_MINIMA))], np.uint64).view(np.int64)
+
+
+def sketches(docs: DataFrame, shape: Shape) -> DataFrame:
+    """_row, name, node (a hash of the shingle set), size, the lanes of the set, and bands, for docs (_row, name, text)."""
+    lanes = [f"l{i}" for i in range(shape.lanes)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t, shape.words) for t in batch.pop("text")]
+            lanes_of = np.array([fingerprint(s, shape.lanes) for s in sets], np.int64).reshape(len(sets), shape.lanes)
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            yield batch.assign(node=node, size=[len(s) for s in sets], **{c: lanes_of[:, i] for i, c in enumerate(lanes)}, bands=[bands(s) for s in sets])
+
+    kept = docs.select("_row", "name", "text")
+    name = kept.schema["name"].dataType.simpleString()
+    return kept.mapInPandas(run, f"_row long, name {name}, node long, size long, {', '.join(f'{c} long' for c in lanes)}, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame, shape: Shape) -> DataFrame:
+    """node and shingles (the array of distinct hashes) for docs (node, text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "shingles": [shingle_set(t, shape.words).view(np.int64) for t in batch["text"]]})
+
+    return docs.select("node", "text").mapInPandas(run, "node long, shingles array<long>")
+
+
+def alike(docs: DataFrame, shape: Shape) -> DataFrame:
+    """prints of docs (_row, name, text) with component_id: the smallest name among all rows reachable by pairs of the asked resemblance.
+
+    First each member of a band is compared with the band's smallest node; then, within a band,
+    all pairs that this didn't bring together. So a large group of copies stays linear.
+    """
+    spark = docs.sparkSession
+    lanes, (num, den) = [f"l{i}" for i in range(shape.lanes)], ALIKE
+    batch_rows(spark, TEXT_BATCH)
+    prints = cut(sketches(docs, shape))
+    batch_rows(spark, NUMBER_BATCH)
+    distinct = cut(prints.groupBy("node").agg(F.min("name").alias("least_id"), F.min("_row").alias("_row"), *(F.first(c).alias(c) for c in ["size", *lanes, "bands"])))
+    member = distinct.select("node", F.explode("bands").alias("band"))
+    shared = member.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
+    members = cut(member.join(shared, "band").select("band", "node", "first"))
+    batch_rows(spark, TEXT_BATCH)
+    wanted = members.select("node").distinct().join(distinct.select("node", "_row"), "node")
+    sets = cut(shingle_sets(docs.select("_row", "text").join(wanted, "_row"), shape).join(distinct.select("node", "size", *lanes), "node"))
+    batch_rows(spark, NUMBER_BATCH)
+    light = sets.drop("shingles")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        side = lambda rows, x: rows.select(*(F.col(c).alias(x if c == "node" else f"{x}_{c}") for c in rows.columns))
+        differing = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in lanes), F.lit(0))
+        # sizes alone bound the resemblance, too
+        fits = (F.least("a_size", "b_size") * den >= F.greatest("a_size", "b_size") * num) & (differing <= shape.limit)
+        near = pairs.distinct().join(side(light, "a"), "a").join(side(light, "b"), "b").where(fits).select("a", "b", "a_size", "b_size")
+        sets_of = sets.select("node", "shingles")
+        common = F.size(F.array_intersect("a_shingles", "b_shingles"))
+        whole = near.join(side(sets_of, "a"), "a").join(side(sets_of, "b"), "b").withColumn("common", common)
+        return whole.where(F.col("common") * den >= (F.col("a_size") + F.col("b_size") - F.col("common")) * num).select("a", "b")
+
+    edges = cut(verified(members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))))
+    rooted = members.join(connected_components(edges), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    split = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    rest = cut(rooted.join(split, "band"))
+    x, y = rest.select("band", F.col("node").alias("a"), F.col("root").alias("ra")), rest.select("band", F.col("node").alias("b"), F.col("root").alias("rb"))
+    more = verified(x.join(y, "band").where("a < b and ra <> rb").select("a", "b"))
+    roots = connected_components(edges.union(more))
+    rooted = distinct.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return prints.select("_row", "name", "node").join(rooted.join(least, "root").select("node", "component_id"), "node")
+
+
 def keep_one(docs: DataFrame, shape: Shape = PIPELINE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but one document of each group: the one with the smallest id (null last), of repeated ids the first row."""
-    batch_rows(docs.sparkSession, TEXT_BATCH)
     rows = with_row(docs.select(F.struct(*docs.columns).alias("carried"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     named = rows.select("_row", F.struct(F.col("id").isNull().alias("last"), "id", "_row").alias("name"), "text")
-    prints = cut(fingerprints(named, shape, ["_row", "name"], "text"))
-    batch_rows(docs.sparkSession, NUMBER_BATCH)
-    extra = components(prints, shape, "name").where("name <> component_id").select("_row")
+    extra = alike(named, shape).where("name <> component_id").select("_row")
     return rows.join(extra, "_row", "left_anti").select("carried.*")
 
 
