@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +17,17 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(df: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all that is there and returns its result."""
-    name = f"s_{uuid.uuid4().hex}"
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+    """Runs a stream over all that is there into Parquet files of a new folder, written by the tasks, and returns them read again."""
+    spark = df.sparkSession
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
+    rows = f"{folder}/rows"
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "complete":  # each batch is the whole result so far
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(rows))
+    else:
+        writer = writer.format("parquet").option("path", rows)
+    writer.start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(rows)
 
 
 def counts(events: DataFrame) -> DataFrame:
