@@ -82,6 +82,33 @@ def test_license_notice_with_gaps(spark):
     assert got[1][0].labels == "mit-text" and 0.8 < got[1][0].score <= 1 and got[2][0].labels == ""
 
 
+def test_license_near_misses(spark):
+    full = license_scan.NOTICES[-1][0].split()
+    texts = {
+        "licensed under CC BY-NC 4.0": "cc-by,cc-by-nc-4.0",
+        "Licensed under CC BY 4.0.": "cc-by,cc-by-4.0",
+        "licensed under CC BY-SA 4.0": "cc-by",
+        "licensed under cc by 3 0": "cc-by",
+        "Licensed under the GNU General Public License version 2": "gpl",
+        "Licensed under the GNU General Public License, version 3": "gpl,gpl-3.0",
+        "licensed under the Apache License, version 1.1": "apache",
+        # two places within the slack of one another
+        "Released under the MIT License. The MIT License follows": "mit,mit-release",
+        "the mit license released under the mit license the mit license the mit license": "mit,mit-release",
+        # a template of several parts, with words lost and put in
+        " ".join(full): "mit-full,mit-text",
+        " ".join([*full[:30], "hereby", *full[31:90], *full[93:]]): "mit-full,mit-text",
+        " ".join(full[:60]): "mit-text",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(license_scan.scan(df))
+    assert [got[i][0].labels for i in range(len(texts))] == list(texts.values())
+    with pytest.raises(ValueError):
+        license_scan.template_grams([], [("the of", "x", [])])
+    with pytest.raises(ValueError):
+        license_scan.template_grams([], [("some licence text", "x", ["other text"])])
+
+
 # ---- 2
 
 
