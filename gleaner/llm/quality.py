@@ -2,12 +2,14 @@
 
 Each text is reduced to two histograms: character classes, and the most common words of each
 reference language. The Jensen-Shannon distance (base 2, 0 to 1) to the nearest language
-reference is the verdict's measure; texts under a minimum length are too noisy to compare, so
-for them the verdict abstains and only the base rules speak.
+reference is the verdict's measure; texts under a minimum length are too noisy to compare, and
+texts with many letters of another script than the references' have nothing to be compared
+with, so for both the verdict abstains and only the base rules speak.
 
 Everything stays inside one row: no shuffle, no Python. Null texts count as no words (and fail
 the base rule of ten words); null ids are kept; repeated rows each give a row; an empty table
-gives an empty result; columns other than id and text aren't read.
+gives an empty result; texts of any length are judged whole; a text as near to two languages as
+to one gets that distance; columns other than id and text aren't read.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: Histograms of fewer characters or words than these aren't judged.
 MIN_CHARS_JUDGED, MIN_WORDS_JUDGED = 200, 60
+#: Nor are texts of which more than this percentage of the word characters are letters of a script without a reference.
+MAX_FOREIGN_PERCENT = 30
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.27
 CLASSES = ["lower", "space", "upper", "digit", "other", "symbol", "punctuation"]
 #: Share of each character class in running prose (in the order of CLASSES).
@@ -100,16 +104,19 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
         _count(F.col("rest"), SYMBOLS).cast("long").alias("n_symbols"),
         F.length("text").alias("n_chars"), F.length("rest").alias("n_rest"),
         _count(F.col("rest"), UPPER).alias("upper"), _count(F.col("rest"), "0123456789").alias("digit"),
-        F.length(F.regexp_replace("rest", r"[\x00-\x7F]++", "")).alias("other"),
+        F.regexp_replace("rest", r"[\x00-\x7F]++", "").alias("beyond"),
         lines.alias("lines"),
         F.coalesce(repeated_window_words(F.col("grams"), F.col("sorted")), F.lit(0).cast("long")).alias("n_repeat_words"),
     )
+    # letters that aren't Latin; most texts have few characters beyond ASCII to look at
+    foreign = F.when(F.col("beyond") == "", F.lit(0)).otherwise(F.length(F.regexp_replace("beyond", r"[^\p{L}]|\p{IsLatin}", "")))
+    measured = measured.select("*", F.length("beyond").alias("other"), foreign.alias("foreign")).drop("beyond")
     space = F.col("n_chars") - F.col("word_chars")
     counts = {"lower": F.col("n_chars") - F.col("n_rest") - space, "space": space, "upper": F.col("upper"), "digit": F.col("digit"), "other": F.col("other"), "symbol": F.col("n_symbols")}
     counts["punctuation"] = F.col("n_rest") - F.col("upper") - F.col("digit") - F.col("other") - F.col("n_symbols")
     measured = measured.select(
         "carried", "n_words", "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
-        ((F.col("n_chars") >= MIN_CHARS_JUDGED) & (F.col("n_words") >= MIN_WORDS_JUDGED)).alias("judged"),
+        ((F.col("n_chars") >= MIN_CHARS_JUDGED) & (F.col("n_words") >= MIN_WORDS_JUDGED) & (100 * F.col("foreign") <= MAX_FOREIGN_PERCENT * F.col("word_chars"))).alias("judged"),
         F.array(*[counts[c] / F.greatest(F.col("n_chars"), F.lit(1)) for c in CLASSES]).alias("classes"),
         *[(F.size("common") - F.size(F.array_remove("common", w))).alias(f"w_{w}") for w in _WORDS],
     )
@@ -164,11 +171,12 @@ b AS (SELECT r, doc_id, t, w, len(w)::BIGINT AS n_words, length(array_to_string(
         {count(SYMBOLS)}::BIGINT AS n_symbols,
         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
         {count(UPPER)} AS c_upper, {count(LOWER)} AS c_lower, {count("0123456789")} AS c_digit,
-        length(regexp_replace(t, '[\\x00-\\x7F]+', '', 'g')) AS c_other
+        length(regexp_replace(t, '[\\x00-\\x7F]+', '', 'g')) AS c_other,
+        length(regexp_replace(t, '[^\\p{{L}}]|\\p{{Latin}}', '', 'g')) AS c_foreign
       FROM d),
 c AS (SELECT *, n_chars - word_chars AS c_space, n_symbols AS c_symbol, n_chars - (n_chars - word_chars) - c_upper - c_lower - c_digit - c_other - n_symbols AS c_punct,
         list_transform(list_filter(w, lambda x: x IN ({", ".join(f"'{v}'" for w in _WORDS for v in dict.fromkeys((w, w.capitalize(), w.upper())))})), lambda x: lower(x)) AS lw,
-        (n_chars >= {MIN_CHARS_JUDGED} AND n_words >= {MIN_WORDS_JUDGED}) AS judged FROM b),
+        (n_chars >= {MIN_CHARS_JUDGED} AND n_words >= {MIN_WORDS_JUDGED} AND 100 * c_foreign <= {MAX_FOREIGN_PERCENT} * word_chars) AS judged FROM b),
 v AS (SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
         coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
         CASE WHEN judged THEN round(least({char}), 6) END AS char_distance,

@@ -207,6 +207,16 @@ def test_quality_verdict(spark):
     assert {r.doc_id: (r.kept, r.char_distance is None) for r in quality.judge(df).collect()} == {1: (True, False), 2: (False, False), 3: (False, False), 4: (True, True)}
 
 
+def test_quality_other_scripts(spark):
+    rng = random.Random(4)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
+    scripts = ["абвгдежзийклмнопрстуфхцчшщыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "的一是不了人我在有他这中大来上国", "אבגדהוזחטיכלמנסעפצקרשת"]
+    rows = [(k, " ".join(word(s) for _ in range(n)) + ".") for k, (s, n) in enumerate((s, n) for s in scripts for n in (50, 300, 3000))]
+    rows.append((99, " ".join("§¶±×÷" * 3 for _ in range(300))))  # signs are no letters
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k].kept and got[k].char_distance is None for k in range(15)) and not got[99].kept
+
+
 # ---- 4
 
 
