@@ -43,6 +43,8 @@ SAMPLE, SHARD_SAMPLE, TRIES = 16_384, 384, 6
 SMALL, BLOCK = 384, 1024
 #: Shingles whose bits are counted at a time.
 _CHUNK = 1 << 15
+#: Columns of the 0/1 matrices of shingle sets at a time.
+_COLUMNS = 4096
 
 
 @dataclass(frozen=True)
@@ -62,6 +64,8 @@ class Shape:
 CONTRACT, PIPELINE = Shape(), Shape(words=5, radius=64, blocks=1, lanes=4, limit=80, indexed=4)
 #: Of 5 shingles, 4 must be common. A pair at 0.8 shares no band of minima in one of 40,000 cases: (1 - 0.8 ** 4) ** 20.
 ALIKE, BANDS, BAND_MINIMA = (4, 5), 20, 4
+#: Members of a band that a task compares all with all; rounds of differently dealt chunks before what is left is compared with whole bands.
+CHUNK, ROUNDS = 256, 3
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -307,11 +311,60 @@ def shingle_sets(docs: DataFrame, shape: Shape) -> DataFrame:
     return docs.select("node", "text").mapInPandas(run, "node long, shingles array<long>")
 
 
+def common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of x has in common with each of y: a product of 0/1 matrices, so many columns at a time."""
+    out = np.zeros((len(x), len(y)))
+    hashes, column = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    row = np.repeat(np.arange(len(x) + len(y)), list(map(len, [*x, *y])))
+    both = np.zeros(len(hashes), np.int8)  # 3: on both sides
+    for bit, side in ((1, row < len(x)), (2, row >= len(x))):
+        both[np.unique(column[side])] |= bit
+    used = both[column] == 3
+    column, row = (np.cumsum(both == 3) - 1)[column[used]], row[used]
+    by = np.argsort(column, kind="stable")
+    column, row = column[by], row[by]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        part = slice(*np.searchsorted(column, [low, low + _COLUMNS]))
+        has = np.zeros((len(x) + len(y), _COLUMNS), np.float32)
+        has[row[part], column[part] - low] = 1
+        out += has[: len(x)] @ has[len(x) :].T
+    return out
+
+
+def joined(x: list[np.ndarray], y: list[np.ndarray], x_roots: np.ndarray, y_roots: np.ndarray) -> pd.DataFrame:
+    """Links (a, b) that join the groups of x's and y's members: enough of them, and none within a group."""
+    num, den = ALIKE
+    both, sizes = common(x, y), np.array(list(map(len, x)))[:, None] + np.array(list(map(len, y)))[None, :]
+    i, j = np.nonzero((both * den >= (sizes - both) * num) & (x_roots[:, None] != y_roots[None, :]))
+    roots, at = np.unique(np.concatenate([x_roots, y_roots]), return_inverse=True)
+    groups = Groups(len(roots))
+    if len(i):
+        groups.link(at[i], at[len(x) + j])
+    apart = groups.root != np.arange(len(roots))
+    return pd.DataFrame({"a": roots[apart], "b": roots[groups.root[apart]]})
+
+
+def _within(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    sets, roots = rows["shingles"].tolist(), rows["root"].to_numpy(np.int64)
+    return joined(sets, sets, roots, roots)
+
+
+def _across(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    x, y = rows[rows["outside"]], rows[~rows["outside"]]
+    if not len(x) or not len(y):
+        return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+    return joined(x["shingles"].tolist(), y["shingles"].tolist(), x["root"].to_numpy(np.int64), y["root"].to_numpy(np.int64))
+
+
 def alike(docs: DataFrame, shape: Shape) -> DataFrame:
     """prints of docs (_row, name, text) with component_id: the smallest name among all rows reachable by pairs of the asked resemblance.
 
-    First each member of a band is compared with the band's smallest node; then, within a band,
-    all pairs that this didn't bring together. So a large group of copies stays linear.
+    Each member of a band is compared with the band's smallest node. Bands whose members this
+    didn't bring together go on: their members are compared all with all inside tasks, which
+    settles a band of up to CHUNK members; larger ones are dealt into chunks, differently in each
+    round, until most members are in one group. What is left of a large band, the members outside
+    its largest group, is then compared with the whole band, block by block. Tasks give spanning
+    links only, so no pairs of a group are ever written out.
     """
     spark = docs.sparkSession
     lanes, (num, den) = [f"l{i}" for i in range(shape.lanes)], ALIKE
@@ -321,11 +374,10 @@ def alike(docs: DataFrame, shape: Shape) -> DataFrame:
     distinct = cut(prints.groupBy("node").agg(F.min("name").alias("least_id"), F.min("_row").alias("_row"), *(F.first(c).alias(c) for c in ["size", *lanes, "bands"])))
     member = distinct.select("node", F.explode("bands").alias("band"))
     shared = member.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-    members = cut(member.join(shared, "band").select("band", "node", "first"))
+    members = cut(member.join(shared, "band").select("band", "node", "first", "n"))
     batch_rows(spark, TEXT_BATCH)
     wanted = members.select("node").distinct().join(distinct.select("node", "_row"), "node")
     sets = cut(shingle_sets(docs.select("_row", "text").join(wanted, "_row"), shape).join(distinct.select("node", "size", *lanes), "node"))
-    batch_rows(spark, NUMBER_BATCH)
     light = sets.drop("shingles")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -335,17 +387,33 @@ def alike(docs: DataFrame, shape: Shape) -> DataFrame:
         fits = (F.least("a_size", "b_size") * den >= F.greatest("a_size", "b_size") * num) & (differing <= shape.limit)
         near = pairs.distinct().join(side(light, "a"), "a").join(side(light, "b"), "b").where(fits).select("a", "b", "a_size", "b_size")
         sets_of = sets.select("node", "shingles")
-        common = F.size(F.array_intersect("a_shingles", "b_shingles"))
-        whole = near.join(side(sets_of, "a"), "a").join(side(sets_of, "b"), "b").withColumn("common", common)
-        return whole.where(F.col("common") * den >= (F.col("a_size") + F.col("b_size") - F.col("common")) * num).select("a", "b")
+        both = F.size(F.array_intersect("a_shingles", "b_shingles"))
+        whole = near.join(side(sets_of, "a"), "a").join(side(sets_of, "b"), "b").withColumn("both", both)
+        return whole.where(F.col("both") * den >= (F.col("a_size") + F.col("b_size") - F.col("both")) * num).select("a", "b")
+
+    def open_bands(edges: DataFrame, among: DataFrame) -> DataFrame:
+        """(band, node, n, root) of the bands with several groups."""
+        rooted = among.join(connected_components(edges), "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
+        split = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+        return cut(rooted.join(split, "band"))
 
+    with_sets = lambda rows: rows.join(sets.select("node", "shingles"), "node")
     edges = cut(verified(members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))))
-    rooted = members.join(connected_components(edges), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    split = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    rest = cut(rooted.join(split, "band"))
-    x, y = rest.select("band", F.col("node").alias("a"), F.col("root").alias("ra")), rest.select("band", F.col("node").alias("b"), F.col("root").alias("rb"))
-    more = verified(x.join(y, "band").where("a < b and ra <> rb").select("a", "b"))
-    roots = connected_components(edges.union(more))
+    rest, turn = open_bands(edges, members.select("band", "node", "n")), 0
+    while turn < ROUNDS and not rest.isEmpty():
+        chunk = F.pmod(F.xxhash64("node", "band", F.lit(turn)), F.ceil(F.col("n") / CHUNK))
+        found = with_sets(rest).withColumn("chunk", chunk).groupBy("band", "chunk").applyInPandas(_within, "a long, b long")
+        edges = cut(edges.union(found))
+        rest, turn = open_bands(edges, rest.where(F.col("n") > CHUNK).select("band", "node", "n")), turn + 1
+    if not rest.isEmpty():
+        sizes = rest.groupBy("band", "root").agg(F.count("*").alias("m")).groupBy("band").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), (F.sum("m") - F.max("m")).alias("n_outside"))
+        blocked = rest.join(sizes, "band").withColumns({"xs": F.ceil(F.col("n_outside") / CHUNK), "ys": F.ceil(F.col("n") / CHUNK)})
+        own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        outside = blocked.where("root <> largest").select("band", "node", "root", own("xs").alias("x"), every("ys").alias("y"), F.lit(True).alias("outside"))
+        whole = blocked.select("band", "node", "root", every("xs").alias("x"), own("ys").alias("y"), F.lit(False).alias("outside"))
+        edges = edges.union(with_sets(outside.union(whole)).groupBy("band", "x", "y").applyInPandas(_across, "a long, b long"))
+    roots = connected_components(edges)
     rooted = distinct.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return prints.select("_row", "name", "node").join(rooted.join(least, "root").select("node", "component_id"), "node")

@@ -3,6 +3,9 @@
 import random
 from itertools import combinations
 
+import numpy as np
+import pytest
+
 from gleaner.llm import simhash
 
 COLUMNS = "doc_id long, text string"
@@ -31,8 +34,8 @@ def kept_by_all_pairs(rows):
     return {i for i, g in group.items() if i == g}
 
 
-def test_pairs_by_exact_resemblance(spark):
-    rng, rows = random.Random(3), []
+def many(rng):
+    rows = []
     for n in (60, 200, 600):
         for aim in (0.6, 0.7, 0.75, 0.79, 0.82, 0.85, 0.9):
             for _ in range(4):
@@ -45,9 +48,30 @@ def test_pairs_by_exact_resemblance(spark):
     for k in range(8):
         rows.append(chain)
         chain = chain[25:] + [f"w{rng.randrange(10**6)}" for _ in range(25)]
-    rows = list(enumerate(rows))
+    return rows
+
+
+def large_group(rng):
+    """Many copies, few of which are near the first, and some near no other."""
+    base = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+    return [edited(base, aim, rng) for aim in [0.91] * 60 + [0.86] * 25 + [0.75] * 15]
+
+
+@pytest.mark.parametrize("texts, chunk, rounds", [(many, 256, 3), (large_group, 256, 3), (large_group, 8, 2), (large_group, 8, 0)])
+def test_pairs_by_exact_resemblance(spark, monkeypatch, texts, chunk, rounds):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "ROUNDS", rounds)
+    rng = random.Random(3)
+    rows = list(enumerate(texts(rng)))
     rng.shuffle(rows)
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], COLUMNS)
     want = kept_by_all_pairs(rows)
     assert len(rows) - len(want) > 20
     assert {r.doc_id for r in simhash.keep_one(df).collect()} == want
+
+
+def test_common_counts(monkeypatch):
+    monkeypatch.setattr(simhash, "_COLUMNS", 7)
+    rng = np.random.default_rng(2)
+    x, y = ([np.unique(rng.integers(0, 60, n)) for n in sizes] for sizes in ((0, 5, 40, 20), (30, 1, 0, 50, 9)))
+    assert simhash.common(x, y).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in y] for a in x]
