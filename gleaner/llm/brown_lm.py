@@ -1,15 +1,24 @@
 """Language-model scores from Brown class-based bigrams.
 
 P(w | v) = P(class of w | class of v) * P(w | class of w). Counts of all training tokens are kept
-in Spark, keyed by a 64-bit hash of the word. The commonest words (a bounded vocabulary, a
-parameter) are assigned to classes by exchange clustering: from a frequency start, each round
-moves words to the class that raises the likelihood of the class bigrams most. All other words
-fall into classes by their shape, so that a class is known from the word alone; their counts
-still come from the whole corpus, through a shuffle.
+in Spark, keyed by a 64-bit hash of the word. Every word of the training texts that is seen often
+enough (LEAST_SEEN times) is assigned to a class by exchange clustering, in two steps:
+
+1. The commonest words, whose counts travel with the tasks, take part in rounds of exchange: a
+   round moves words to the class that raises the likelihood of the class bigrams most. A round
+   that doesn't raise it is undone and moves fewer words at a time.
+2. All other words, however many there are, stay in Spark as a table. Each is moved once, to the
+   class that its predecessors' classes make likeliest, and adds its counts to the class bigrams.
+   As predecessors these words count by their shape: the class of the predicted word and the
+   class of the history may differ, as in predictive class bigrams (Uszkoreit and Brants 2008).
+
+Rarer words and words that training hasn't seen share classes by their shape, so that a class is
+known from the word alone.
 
 Null texts are empty texts: one end token. The training fold is told by crc32 of the id as text
-(null ids: the empty string); repeated rows are rows of their own; an empty table gives an empty
-result; only the id and text columns are read. A text of any length is one row's work.
+(null ids: the empty string); repeated rows are rows of their own; of equally common words the
+one with the smaller hash comes first; an empty table gives an empty result; only the id and text
+columns are read. A text of any length is one row's work.
 """
 
 from __future__ import annotations
@@ -25,11 +34,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import NUMBER_BATCH, TEXT_BATCH, batch_rows, cut, table, with_row
+from gleaner.llm.common import NUMBER_BATCH, TEXT_BATCH, batch_rows, cut, table, with_row, written
 
 _TO_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
-#: Words whose counts travel with the tasks; words that are clustered; their classes; shape classes; rounds of exchange.
-RESOLVED, CLUSTERED, CLASSES, SHAPES, ROUNDS = 65_536, 4096, 64, 32, 6
+#: Words that travel with the tasks and are clustered in rounds; times that a clustered word must be seen; classes; shape classes; rounds of exchange.
+RESOLVED, LEAST_SEEN, CLASSES, SHAPES, ROUNDS = 65_536, 3, 64, 32, 8
 TOTAL = CLASSES + SHAPES
 #: Entries that a task merges before it hands them on.
 MERGED = 500_000
@@ -110,38 +119,47 @@ class Lexicon:
             got = [self.code(w) if c is None else c for w, c in zip(words, got)]
         return np.array(got, np.int64)
 
-    def narrow(self, codes: np.ndarray, clustered: int) -> np.ndarray:
-        """Codes as indices into the class table: clustered ranks stay, all others become clustered + shape class."""
-        known = codes >= 0
-        shapes = np.where(known, self.shapes[np.where(known, codes, 0)], -1 - codes)
-        return np.where(known & (codes < clustered), codes, clustered + shapes)
+    def narrow(self, codes: np.ndarray) -> np.ndarray:
+        """Codes as indices into the class table: the lexicon's words come first, then the shape classes, by which all others count as predecessors."""
+        return np.where(codes >= 0, codes, len(self.hashes) - 1 - codes)
+
 
+def bigrams(docs: DataFrame, lexicon) -> DataFrame:
+    """(a, b, hash, n): neighbouring training tokens, counted within tasks; a text begins after an end.
 
-def bigrams(docs: DataFrame, lexicon, clustered: int) -> DataFrame:
-    """(a, b, n): neighbouring training tokens, as indices into the class table; a text begins after an end."""
-    width = clustered + TOTAL
+    a and b are indices into the class table; hash is null for b in the lexicon, else b is the word's shape class.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex, parts, size = lexicon.value, [], 0
-        end = lex.narrow(lex.codes([END]), clustered)
+        lex, parts, size, rare = lexicon.value, [], 0, Counter()
+        end, width = lex.narrow(lex.codes([END])), len(lex.hashes) + TOTAL
 
-        def rows() -> pd.DataFrame:
+        def rows() -> Iterator[pd.DataFrame]:
             pairs, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pd.DataFrame({"a": pairs // width, "b": pairs % width, "n": n})
+            yield pd.DataFrame({"a": pairs // width, "b": pairs % width, "hash": pd.array([None] * len(n), "Int64"), "n": n})
+            if rare:
+                key = np.array([(a, b, _hash(w)) for a, b, w in rare], np.int64)
+                yield pd.DataFrame({"a": key[:, 0], "b": key[:, 1], "hash": pd.array(key[:, 2], "Int64"), "n": list(rare.values())})
+                rare.clear()
 
         for batch in batches:
             for text in batch["text"]:
-                c = np.concatenate([end, lex.narrow(lex.codes(tokens(text)), clustered)])
-                parts.append(c[:-1] * width + c[1:])
+                words = tokens(text)
+                codes = lex.codes(words)
+                c = np.concatenate([end, lex.narrow(codes)])
+                known = codes >= 0
+                parts.append((c[:-1] * width + c[1:])[known])
+                at = np.nonzero(~known)[0].tolist()
+                before, own = c[:-1].tolist(), c[1:].tolist()
+                rare.update((before[i], own[i], words[i]) for i in at)
                 size += len(c)
             if size > 4 * MERGED:
-                yield rows()
+                yield from rows()
                 parts, size = [], 0
         if parts:
-            yield rows()
+            yield from rows()
 
-    counted = docs.where(~F.col("held_out")).select("text").mapInPandas(count, "a long, b long, n long")
-    return counted.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return docs.where(~F.col("held_out")).select("text").mapInPandas(count, "a long, b long, hash long, n long")
 
 
 def class_matrix(pairs: DataFrame, assigned: np.ndarray) -> np.ndarray:
@@ -153,34 +171,45 @@ def class_matrix(pairs: DataFrame, assigned: np.ndarray) -> np.ndarray:
             at = flat.nonzero()[0]
             yield pd.DataFrame({"at": at, "n": flat[at].astype(np.int64)})
 
+    return _matrix(pairs.mapInPandas(named, "at long, n long"))
+
+
+def _matrix(rows: DataFrame) -> np.ndarray:
+    """From (at, n), at = class before * TOTAL + class."""
     matrix = np.zeros(TOTAL * TOTAL)
-    for r in pairs.mapInPandas(named, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    for r in rows.groupBy("at").agg(F.sum("n").alias("n")).collect():
         matrix[r["at"]] = r["n"]
     return matrix.reshape(TOTAL, TOTAL)
 
 
-def exchange(pairs: DataFrame, clustered: int, rounds: int = ROUNDS) -> np.ndarray:
-    """The class table: the class of each clustered word, then of each shape class (its own).
+def likelihood(matrix: np.ndarray) -> float:
+    """Of the class bigrams, without what doesn't depend on the classes: sum of n log n over pairs, less that over either class."""
+    part = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+    return part(matrix) - part(matrix.sum(0)) - part(matrix.sum(1))
+
+
+def exchange(pairs: DataFrame, clustered: int, rounds: int = ROUNDS) -> tuple[np.ndarray, list[float]]:
+    """The class table - the class of each clustered word, then of each shape class (its own) - and the likelihood of the class bigrams after each round.
 
     A round counts, in Spark, the classes before and after each word, and moves the word to the
     class under which its occurrences are likeliest, given the class bigrams at the round's start.
-    Alternate words move in turn, so that two neighbours don't swap for ever. The driver gets one
-    number a clustered word.
+    Words move in turn (every second one at first), so that two neighbours don't swap for ever. If
+    a round lowers the likelihood, it is undone and half as many words move at a time. The driver
+    gets one number a clustered word.
     """
     assigned = np.concatenate([np.arange(clustered) % CLASSES, np.arange(TOTAL)])  # the commonest words seed the classes
-    still = 0
+    matrix = class_matrix(pairs, assigned)
+    history, turns, still = [likelihood(matrix)], 2, 0
     for turn in range(rounds):
-        matrix = class_matrix(pairs, assigned)
-        tokens_of = np.log(matrix.sum(0) + 1)
-        log = np.log(matrix + 0.5)
+        tokens_of, log = np.log(matrix.sum(0) + 1), np.log(matrix + 0.5)
 
-        def around(batches: Iterator[pd.DataFrame], assigned=assigned) -> Iterator[pd.DataFrame]:
+        def around(batches: Iterator[pd.DataFrame], assigned=assigned, turn=turn, turns=turns) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 a, b, n = (batch[c].to_numpy() for c in ("a", "b", "n"))
                 keys = np.concatenate([a * 2 * TOTAL + assigned[b], b * 2 * TOTAL + TOTAL + assigned[a]])
                 keys, at = np.unique(keys, return_inverse=True)
                 rows = pd.DataFrame({"w": keys // (2 * TOTAL), "c": keys % (2 * TOTAL), "n": np.bincount(at, np.concatenate([n, n])).astype(np.int64)})
-                yield rows[(rows["w"] < clustered) & (rows["w"] % 2 == turn % 2)]
+                yield rows[(rows["w"] < clustered) & (rows["w"] % turns == turn % turns)]
 
         def best(batches: Iterator[pd.DataFrame], log=log, tokens_of=tokens_of) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -197,80 +226,126 @@ def exchange(pairs: DataFrame, clustered: int, rounds: int = ROUNDS) -> np.ndarr
         now = assigned.copy()
         for r in seen.mapInPandas(best, "w long, k long").collect():
             now[r["w"]] = r["k"]
-        still = still + 1 if (now == assigned).all() else 0
-        assigned = now
-        if still == 2:
-            break
-    return assigned
-
-
-def learn(docs: DataFrame, clustered: int = CLUSTERED, resolved: int = RESOLVED) -> dict:
-    """The model. docs: text, held_out. vocabulary stays in Spark; everything else is bounded by the parameters."""
-    words = cut(vocabulary(docs))
-    whole = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    # counts fall into narrow bins; the highest bins that hold at most `resolved` words together are taken whole
-    fine = F.floor(F.log("n") * 16).alias("bin")
-    floor, held = None, 0
-    for r in sorted(words.groupBy(fine).agg(F.count("*").alias("v"), F.min("n").alias("least")).collect(), key=lambda r: -r["bin"]):  # a few hundred bins
-        held += r["v"]
-        if held > resolved:
+        if (now == assigned).all():
+            still += 1
+            if still == turns:
+                break
+            continue
+        moved = class_matrix(pairs, now)
+        if likelihood(moved) > history[-1]:
+            assigned, matrix, still = now, moved, 0
+            history.append(likelihood(moved))
+        else:
+            turns *= 2
+    return assigned, history
+
+
+def commonest(words: DataFrame, most: int) -> DataFrame:
+    """The rows of the most common words, at most so many: all with a count above some number, and of those with that number the ones with the smallest hashes."""
+    # counts fall into narrow bins, of which there are a few hundred; a bin that doesn't fit is looked at by count, then by hash
+    fine = F.floor(F.log("n") * 16)
+    room, low, kept = most, None, F.lit(False)
+    for r in sorted(words.groupBy(fine.alias("bin")).agg(F.count("*").alias("v"), F.min("n").alias("low")).collect(), key=lambda r: -r["bin"]):
+        if r["v"] > room:
+            inside = words.where(fine == r["bin"])
+            counts = sorted(inside.groupBy("n").agg(F.count("*").alias("v")).orderBy(F.desc("n")).limit(most + 1).collect(), key=lambda c: -c["n"])
+            for c in counts:
+                if c["v"] > room:
+                    last = inside.where(F.col("n") == c["n"]).orderBy("hash").limit(room).agg(F.max("hash").alias("h")).first()["h"] if room else None
+                    kept = (F.col("n") == c["n"]) & (F.col("hash") <= last) if last is not None else F.lit(False)
+                    break
+                room, low = room - c["v"], c["n"]
             break
-        floor = r["least"]
-    top = words.where(F.lit(False) if floor is None else F.col("n") >= floor).toPandas().sort_values(["n", "hash"], ascending=[False, True])
-    lexicon = Lexicon(top["hash"].to_numpy(np.int64), top["n"].to_numpy(np.int64), top["shape"].to_numpy(np.int64)) if len(top) else Lexicon(np.zeros(1, np.int64), np.zeros(1, np.int64), np.full(1, CLASSES))
-    clustered = min(clustered, len(top))
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    pairs = cut(bigrams(docs, shared, clustered))
-    batch_rows(docs.sparkSession, NUMBER_BATCH)
-    assigned = exchange(pairs, clustered)
+        room, low = room - r["v"], r["low"]
+    return words.where(kept if low is None else kept | (F.col("n") >= low))
+
+
+def classified(rare: DataFrame, assigned: np.ndarray, matrix: np.ndarray, first_shape: int) -> DataFrame:
+    """(hash, n, k, seen): the words outside the lexicon with their counts, classes, and counts by class of the predecessor. rare: as bigrams() gives it."""
+    log, tokens_of = np.log(matrix[:, :CLASSES] + 0.5), np.log(matrix.sum(0)[:CLASSES] + 1)
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"hash": batch["hash"], "shape": batch["b"] - first_shape, "h": assigned[batch["a"]], "n": batch["n"]})
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            of = np.repeat(np.arange(len(batch)), batch["seen"].map(len))
+            entries = [e for seen in batch["seen"] for e in seen]
+            h, n = np.array([e["h"] for e in entries], np.int64), np.array([e["n"] for e in entries], np.float64)
+            gain = np.zeros((len(batch), CLASSES))
+            np.add.at(gain, of, n[:, None] * (log[h] - tokens_of))
+            k = np.where(batch["n"] >= LEAST_SEEN, gain.argmax(1), batch["shape"])
+            yield batch.assign(k=k)[["hash", "n", "k", "seen"]]
+
+    moved = rare.mapInPandas(named, "hash long, shape long, h long, n long").repartition("hash")
+    by_class = moved.groupBy("hash", "shape", "h").agg(F.sum("n").alias("n"))
+    whole = by_class.groupBy("hash", "shape").agg(F.sum("n").alias("n"), F.collect_list(F.struct("h", "n")).alias("seen"))  # at most TOTAL entries
+    return whole.mapInPandas(best, "hash long, n long, k long, seen array<struct<h: long, n: long>>")
+
+
+def learn(docs: DataFrame, resolved: int = RESOLVED) -> dict:
+    """The model. docs: text, held_out. Counts and classes of all but the commonest words stay in Spark; everything else is bounded by the parameters."""
+    spark = docs.sparkSession
+    counted = written(vocabulary(docs))
+    whole = counted.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    top = commonest(counted.where(F.col("n") >= LEAST_SEEN), resolved).toPandas().sort_values(["n", "hash"], ascending=[False, True])
+    lexicon = Lexicon(top["hash"].to_numpy(np.int64), top["n"].to_numpy(np.int64), top["shape"].to_numpy(np.int64))
+    shared = spark.sparkContext.broadcast(lexicon)
+    found = written(bigrams(docs, shared))
+    pairs = written(found.where("hash is null").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    batch_rows(spark, NUMBER_BATCH)
+    assigned, history = exchange(pairs, len(top))
     matrix = class_matrix(pairs, assigned)
-    n_of, v_of = np.zeros(TOTAL), np.zeros(TOTAL)
-    for r in words.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        n_of[r["shape"]], v_of[r["shape"]] = r["n"], r["v"]
-    for i in range(clustered):
-        n_of[lexicon.shapes[i]] -= lexicon.counts[i]
-        v_of[lexicon.shapes[i]] -= 1
-        n_of[assigned[i]] += lexicon.counts[i]
-        v_of[assigned[i]] += 1
+    words = written(classified(found.where("hash is not null"), assigned, matrix, len(top)))
+    matrix += _matrix(words.select("k", F.explode("seen").alias("s")).select((F.col("s.h") * TOTAL + F.col("k")).alias("at"), F.col("s.n").alias("n")))
+    n_of, v_of = (np.bincount(assigned[: len(top)], x, TOTAL).astype(float) for x in (lexicon.counts, np.ones(len(top))))
+    for r in words.groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        n_of[r["k"]] += r["n"]
+        v_of[r["k"]] += r["v"]
     unigram = (n_of + 1) / (n_of.sum() + TOTAL)
     follow = np.log10((matrix + BACKOFF * unigram[None, :]) / (matrix.sum(1)[:, None] + BACKOFF))
-    return {"words": words, "n": whole["n"] or 0, "v": whole["v"], "lexicon": shared, "clustered": clustered, "assigned": assigned, "follow": follow, "mass": n_of + v_of + 1}
+    return {"words": words.select("hash", F.col("n"), "k"), "n": whole["n"] or 0, "v": whole["v"], "lexicon": shared, "assigned": assigned, "follow": follow, "mass": n_of + v_of + 1, "likelihood": history}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """One row per row of docs (_row, doc_id, held_out, text): counts, base_score, score (both log10)."""
-    batch_rows(docs.sparkSession, TEXT_BATCH)
-    lexicon, clustered, assigned, follow = model["lexicon"], model["clustered"], model["assigned"], model["follow"]
+    spark = docs.sparkSession
+    batch_rows(spark, TEXT_BATCH)
+    lexicon, assigned, follow = model["lexicon"], model["assigned"], model["follow"]
     mass, floor = np.log10(model["mass"]), math.log10(model["n"] + model["v"] + 1)
+    columns = ["kind", "_row", "hash", "h", "shape", "tf", "known", "base", "score"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex = lexicon.value
-        end, plus_one = assigned[lex.narrow(lex.codes([END]), clustered)], np.log10(lex.counts + 1.0)
+        end, plus_one = assigned[lex.narrow(lex.codes([END]))], np.log10(lex.counts + 1.0)
         for batch in batches:
             whole, rare = [], []
             for row, text in zip(batch["_row"].tolist(), batch["text"]):
                 words = tokens(text)
                 codes = lex.codes(words)
-                cls = assigned[lex.narrow(codes, clustered)]
-                known = codes >= 0
+                cls = assigned[lex.narrow(codes)]
+                before, known = np.concatenate([end, cls[:-1]]), codes >= 0
                 counts = plus_one[codes[known]].sum()
-                moves = follow[np.concatenate([end, cls[:-1]]), cls].sum()
-                # what rare words add to both sums follows from their counts, below
-                whole.append((row, len(words), int((lex.counts[codes[known]] > 0).sum()), counts - floor * len(words), moves + counts - mass[cls].sum()))
-                rare += [(row, _hash(w), n) for w, n in Counter(words[i] for i in np.nonzero(~known)[0]).items()]
-            rows = np.array([r[0] for r in whole], np.int64)
-            yield pd.DataFrame({"kind": 0, "_row": rows, "hash": rows, "tf": [r[1] for r in whole], "known": [r[2] for r in whole], "base": [r[3] for r in whole], "score": [r[4] for r in whole]})
-            yield pd.DataFrame({"kind": 1, "_row": np.array([r[0] for r in rare], np.int64), "hash": np.array([r[1] for r in rare], np.int64), "tf": np.array([r[2] for r in rare], np.int64), "known": 0, "base": 0.0, "score": 0.0})
-
-    parts = docs.select("_row", "text").mapInPandas(run, "kind int, _row long, hash long, tf long, known long, base double, score double")
-    counts = model["words"].select(F.lit(1).alias("kind"), "hash", "n")
-    met = parts.join(counts, ["kind", "hash"], "left")
-    gain = F.when(F.col("n").isNotNull(), F.col("tf") * F.log10(F.col("n") + F.lit(1.0))).otherwise(F.lit(0.0))
+                moves = (follow[before[known], cls[known]] - mass[cls[known]]).sum()
+                # what rare words add to both sums follows from their counts and classes, below
+                whole.append((0, row, row, 0, 0, len(words), int(known.sum()), counts - floor * len(words), moves + counts))
+                own, ahead = cls.tolist(), before.tolist()
+                rare += [(1, row, _hash(w), h, s, n, 0, 0.0, 0.0) for (w, h, s), n in Counter((words[i], ahead[i], own[i]) for i in np.nonzero(~known)[0].tolist()).items()]
+            yield pd.DataFrame(whole + rare, columns=columns)
+
+    parts = docs.select("_row", "text").mapInPandas(run, "kind int, _row long, hash long, h int, shape int, tf long, known long, base double, score double")
+    met = parts.join(model["words"].select(F.lit(1).alias("kind"), "hash", "n", "k"), ["kind", "hash"], "left")
+    # follow less mass for every pair of classes: a constant table
+    chance = F.split(F.lit(",".join(map(repr, (follow - mass[None, :]).ravel().tolist()))), ",").cast("array<double>")
+    seen = F.coalesce(F.col("n"), F.lit(0))
+    gain = F.when(F.col("kind") == 1, F.col("tf") * F.log10(seen + F.lit(1.0))).otherwise(F.lit(0.0))
+    move = F.when(F.col("kind") == 1, F.col("tf") * F.get(chance, (F.col("h") * TOTAL + F.coalesce(F.col("k"), F.col("shape"))).cast("int"))).otherwise(F.lit(0.0))
     summed = met.groupBy("_row").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("tf"))).alias("n_tokens"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(F.col("known"))).alias("n_known"),
         F.sum(F.col("base") + gain).alias("base_score"),
-        F.sum(F.col("score") + gain).alias("score"),
+        F.sum(F.col("score") + gain + move).alias("score"),
     )
     return docs.select("_row", "doc_id", "held_out").join(summed, "_row").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model["n"]).cast("long").alias("train_tokens"), "base_score", "score")
 

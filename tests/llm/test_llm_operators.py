@@ -393,29 +393,81 @@ def test_loser_tree():
 # ---- 9
 
 
-def test_brown(docs, none):
+def folds(rows):
+    return [t for i, t in rows if binascii.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
+
+
+def brute_brown(rows, model):
+    """Scores recounted word by word; only the choice of classes is taken from the model."""
+    lex, classes = model["lexicon"].value, {}
+    for rank, h in enumerate(lex.hashes.tolist()):
+        classes[h] = int(model["assigned"][rank]), True
+    for r in model["words"].collect():
+        classes[r["hash"]] = r.k, False
+    k_of = lambda w: classes[brown_lm._hash(w)][0] if brown_lm._hash(w) in classes else brown_lm.shape_class(w)
+    h_of = lambda w: k_of(w) if classes.get(brown_lm._hash(w), (0, False))[1] else brown_lm.shape_class(w)
+    train = [brown_lm.tokens(t) for t in folds(rows)]
+    c, moves, mass = Counter(w for t in train for w in t), Counter(), Counter(range(brown_lm.TOTAL))
+    mass = {k: 1 for k in range(brown_lm.TOTAL)}
+    for w, n in c.items():
+        mass[k_of(w)] += n + 1
+    tokens_of = Counter(k_of(w) for t in train for w in t)
+    for t in train:
+        moves.update((h_of(v), k_of(w)) for v, w in zip([brown_lm.END, *t], t))
+    ahead = Counter()
+    for (h, _), n in moves.items():
+        ahead[h] += n
+    total = sum(c.values()) + brown_lm.TOTAL
+    out = []
+    for _, text in rows:
+        t, s = brown_lm.tokens(text), 0.0
+        for v, w in zip([brown_lm.END, *t], t):
+            h, k = h_of(v), k_of(w)
+            follow = (moves[h, k] + brown_lm.BACKOFF * (tokens_of[k] + 1) / total) / (ahead[h] + brown_lm.BACKOFF)
+            s += math.log10(follow * (c[w] + 1) / mass[k])
+        out.append(s)
+    return out
+
+
+@pytest.mark.parametrize("resolved", [0, 3, 12, 1000])
+def test_brown(docs, none, resolved):
     got = brown_lm.prepared(docs)
-    rows = brown_lm.score(got, brown_lm.learn(got, clustered=6, resolved=12)).collect()
-    train = [t for i, t in TEXTS if binascii.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
-    c = Counter(w for t in train for w in brown_lm.tokens(t))
+    model = brown_lm.learn(got, resolved=resolved)
+    rows = brown_lm.score(got, model).collect()
+    c = Counter(w for t in folds(TEXTS) for w in brown_lm.tokens(t))
     n, v = sum(c.values()), len(c)
     want = []
-    for i, t in TEXTS:
+    for (i, t), s in zip(TEXTS, brute_brown(TEXTS, model)):
         w = brown_lm.tokens(t)
-        want.append((i, len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 6)))
-    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rows) == Counter(want)
-    assert all(r.score < 0 for r in rows)
+        want.append((i, len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 5), round(s, 5)))
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in rows) == Counter(want)
+    held = min(resolved, sum(x >= brown_lm.LEAST_SEEN for x in c.values()))
+    assert len(model["lexicon"].value.hashes) == held and model["words"].count() == v - held
+    assert np.allclose((10 ** model["follow"]).sum(1), 1)
     empty = brown_lm.prepared(none)
     assert brown_lm.score(empty, brown_lm.learn(empty)).count() == 0
 
 
-def test_brown_sums_to_one(docs):
-    model = brown_lm.learn(brown_lm.prepared(docs), clustered=6, resolved=100)
-    assert np.allclose((10 ** model["follow"]).sum(1), 1)
-    lex, classes = model["lexicon"].value, Counter()
-    for rank, n in enumerate(lex.counts):
-        classes[model["assigned"][rank] if rank < 6 else lex.shapes[rank]] += (n + 1) / 1.0
-    assert all(math.isclose(s + 1, model["mass"][k]) for k, s in classes.items())  # the rest of 1 is for unseen words
+def test_brown_commonest_words_with_ties(spark):
+    words = spark.createDataFrame([(h, 5 if h < 3 else 2 if h < 40 else 1) for h in range(60)], "hash long, n long")
+    for most in (0, 2, 3, 10, 40, 45, 60, 99):
+        assert sorted(r["hash"] for r in brown_lm.commonest(words, most).collect()) == list(range(min(most, 60)))
+
+
+def test_brown_exchange_raises_the_likelihood(spark):
+    # two kinds of words that take turns, and a third kind after every fourth word
+    rng, text = random.Random(9), []
+    kinds = [[f"{k}{i}" for i in range(40)] for k in "abc"]
+    for i in range(20_000):
+        text.append(rng.choice(kinds[2] if i % 4 == 3 else kinds[i % 2]))
+    rows = [(i, " ".join(text[i * 100 : i * 100 + 100])) for i in range(200)]
+    got = brown_lm.prepared(common.cut(spark.createDataFrame(rows, "doc_id long, text string")))
+    for resolved in (1000, 100):
+        model = brown_lm.learn(got, resolved=resolved)
+        history = model["likelihood"]
+        assert len(history) > 1 and all(a < b for a, b in zip(history, history[1:]))
+        scored = brown_lm.score(got, model).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+        assert scored[0] > scored[1] + 0.1 * scored[2]  # each token of unseen texts is likelier than without the classes
 
 
 # ---- 10
