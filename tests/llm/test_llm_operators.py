@@ -339,13 +339,13 @@ def test_cascade_is_exact(spark):
 # ---- 7
 
 
-def test_ann(spark):
+def test_ann(spark, monkeypatch):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(20, 16))
     rows = [(i, [float(x) for x in centres[i % 20] + 0.3 * rng.normal(size=16)], "clash") for i in range(3000)]
     for i in range(0, 600, 3):
         rows[i] = (i, rows[0][1], "clash")  # one common vector
-    rows += [(5000, None, ""), (5001, [0.0] * 16, ""), (5002, [float("nan")] + [1.0] * 15, ""), (5003, [None] + [1.0] * 15, ""), (3, rows[3][1], ""), (None, rows[1][1], "")]
+    rows += [(5004, [1.0], ""), (5100, [1.0, 2.0], ""), (5000, None, ""), (5001, [0.0] * 16, ""), (5002, [float("nan")] + [1.0] * 15, ""), (5003, [None] + [1.0] * 15, ""), (3, rows[3][1], ""), (None, rows[1][1], "")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
     got = {}
     for r in ann.search(df, F.col("id") % 100 == 0).collect():
@@ -359,6 +359,10 @@ def test_ann(spark):
         assert sorted(found) == list(range(1, 11)) and all(found[k][1] == d[found[k][0]] for k in found)
         hits += len(set(want) & {v for v, _ in found.values()})
     assert hits >= 0.9 * 10 * len(got)
+    monkeypatch.setattr(ann, "LEAF_BLOCK", 50)
+    monkeypatch.setattr(ann, "ASK_BLOCK", 3)
+    split = ann.search(df, F.col("id") % 100 == 0)
+    assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in split.collect()} == {(q, k): v for q, found in got.items() for k, v in found.items()}
     assert ann.search(df.where("vec_id < 3"), F.col("id") == 0).count() == 2 and ann.search(df.limit(0), F.col("id") == 0).count() == 0
 
 
