@@ -7,16 +7,25 @@ though they aren't listed; level 3 the listed keys that level 2 lets through; an
 level lets nothing wrong through. Over that universe the cascade's answer is exact, and a page is
 judged by bit tests inside its own row: no join, no Python.
 
+Level 1 is made so precise that it lets through about as many wrong keys as are listed, however
+large the universe is. So all levels together take a few bytes a listed key for each power of ten
+that the universe is larger: the filters' size follows the list and not the corpus.
+
 Null urls and urls without :// have empty host and path, fit no rule, and are allowed by the
 method as is any page without a listed key; repeated rows each give a row; an empty table gives
-an empty result; only the id and url columns are read.
+an empty result; of several rules that fit the longest wins; urls of any length are judged whole;
+only the id and url columns are read.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import LOWER, UPPER, cut
+
 #: Verdict, host, path.
 RULES = [
     ("allow", "com", "/"),
@@ -27,12 +36,10 @@ RULES = [
 ]
 #: The method's own list: a host with one of these words is blocked unless a rule fits.
 HOST_WORDS = ["bets", "casino", "poker", "porn", "viagra", "xxx"]
-#: Bits a key and hash functions of a level; a level's filter may take this many bits (16 MB) at most.
-BITS, HASHES, MAX_BITS = 16, 4, 1 << 27
-#: Levels after which the build gives up; each leaves about a thousandth of the keys before it.
-MAX_LEVELS = 24
-
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Hash functions of level 2 and above (1.44 bits a key each); bits that a level may take at most (128 MB: some 40 million listed keys).
+HASHES, MAX_BITS = 4, 1 << 30
+#: Levels after which the build gives up; each lets through about a sixteenth of the keys before it.
+MAX_LEVELS = 32
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -47,41 +54,41 @@ def split_url(url: Column) -> tuple[Column, Column]:
 class Level:
     """One Bloom filter: words of 64 bits. Its size follows the number of its keys."""
 
-    def __init__(self, keys: DataFrame, n: int, seed: int):
-        self.bits, self.seed = max(64, 64 * -(-n * BITS // 64)), seed
+    def __init__(self, keys: DataFrame, n: int, seed: int, hashes: int = HASHES):
+        self.hashes, self.seed = hashes, seed
+        self.bits = max(64, 64 * math.ceil(n * hashes / math.log(2) / 64))
         if self.bits > MAX_BITS:
             raise ValueError(f"{n} keys need {self.bits} bits; a level may have {MAX_BITS}")
-        spots = keys.select(F.explode(F.array(*self._spots(F.col("key")))).alias("spot"))
+        spots = keys.select(F.explode(self._spots(F.col("key"))).alias("spot"))
         rows = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot % 64 as int)))").alias("bits")).collect()
-        words = [0] * (self.bits // 64)  # bounded by MAX_BITS, however large the corpus
+        words = ["0"] * (self.bits // 64)  # bounded by MAX_BITS, however large the corpus
         for r in rows:
-            words[r["word"]] = r["bits"]
-        self.words = words
+            words[r["word"]] = str(r["bits"])
+        # one literal, which the optimizer turns into an array once
+        self.words = F.split(F.lit(",".join(words)), ",").cast("array<bigint>")
 
-    def _spots(self, key: Column) -> list[Column]:
-        return [F.pmod(F.xxhash64(key, F.lit(self.seed * HASHES + i)), F.lit(self.bits)) for i in range(HASHES)]
+    def _spots(self, key: Column) -> Column:
+        return F.array(*[F.pmod(F.xxhash64(key, F.lit(self.seed * 64 + i)), F.lit(self.bits)) for i in range(self.hashes)])
 
     def passes(self, key: Column) -> Column:
-        words = F.lit(self.words)
-        tests = [F.getbit(F.get(words, F.shiftright(s, 6).cast("int")), (s % 64).cast("int")) == 1 for s in self._spots(key)]
-        out = tests[0]
-        for t in tests[1:]:
-            out = out & t
-        return out
+        return F.forall(self._spots(key), lambda s: F.getbit(F.get(self.words, F.shiftright(s, 6).cast("int")), (s % 64).cast("int")) == 1)
 
 
 def build(listed: DataFrame, universe: DataFrame) -> list[Level]:
     """The cascade that separates listed keys from the other keys of the universe; both have a column key."""
     listed = listed.distinct()
-    levels = [Level(listed, listed.count(), 0)]
-    # of the universe, only false positives of level 1 go on: about one key in two thousand
-    wrong, right = universe.where(levels[0].passes(F.col("key"))).join(listed, "key", "left_anti").distinct(), listed
+    n = listed.count()
+    # wrong keys of level 1: about as many as are listed
+    share = max(1, universe.agg(F.approx_count_distinct("key")).first()[0]) / max(1, n)
+    levels = [Level(listed, n, 0, max(HASHES, math.ceil(math.log2(share))))]
+    # only false positives of level 1 go on; they are found once
+    wrong, right = cut(universe.where(levels[0].passes(F.col("key"))).distinct().join(listed, "key", "left_anti")), listed
     while n := wrong.count():
         if len(levels) == MAX_LEVELS:
             raise ValueError("the cascade doesn't settle: two keys share all their hashes")
         level = Level(wrong, n, len(levels))
         levels.append(level)
-        wrong, right = right.where(level.passes(F.col("key"))), wrong
+        wrong, right = cut(right.where(level.passes(F.col("key")))), wrong
     return levels
 
 
@@ -113,11 +120,11 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     host, path = split_url(F.col(url_col))
     split = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     keyed = split.select("*", F.transform(candidate_keys(F.col("host"), F.col("path"), rules), lambda x: x["key"]).alias("keys"), host_words(F.col("host")).alias("words"))
-    universe = keyed.select(F.explode(F.concat("keys", "words")).alias("key")).distinct()
-    # three cascades: every listed key; of these the allowing ones; the words
-    both = lambda which: spark.createDataFrame([(k,) for k in which], "key string")
-    every = build(both([h + p for _, h, p in rules] + [f"word:{w}" for w in words]), universe)
-    allowing = build(both([h + p for v, h, p in rules if v == "allow"]), both([h + p for v, h, p in rules if v != "allow"]))
+    universe = keyed.select(F.explode(F.array_distinct(F.concat("keys", "words"))).alias("key"))
+    # two cascades: every listed key and word; of the rules the allowing ones
+    keys = lambda which: spark.createDataFrame([(k,) for k in which], "key string").coalesce(1)
+    every = build(keys([h + p for _, h, p in rules] + [f"word:{w}" for w in words]), universe)
+    allowing = build(keys([h + p for v, h, p in rules if v == "allow"]), keys([h + p for v, h, p in rules if v != "allow"]))
     fits = F.filter("keys", lambda k: member(every, k))
     ruled = keyed.select("page_id", "host", "path", F.get(fits, F.lit(0)).alias("rule"), F.exists("words", lambda w: member(every, w)).alias("worded"))
     verdict = F.when(F.col("rule").isNotNull(), F.when(member(allowing, F.col("rule")), F.lit("allow")).otherwise(F.lit("block"))).when(F.col("worded"), F.lit("block")).otherwise(F.lit(default))

@@ -327,13 +327,14 @@ def test_url_filter(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
-def test_cascade_is_exact(spark):
-    universe = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
-    listed = universe.where(F.crc32("key") % 7 == 0)
+@pytest.mark.parametrize("size, every", [(20_000, 7), (20_000, 20_000), (300_000, 2)])
+def test_cascade_is_exact(spark, size, every):
+    universe = spark.range(size).select(F.concat(F.lit("k"), "id").alias("key"))
+    listed = universe.where(F.col("key") == "k7" if every == size else F.crc32("key") % every == 0)
     levels = url_filter.build(listed, universe)
-    assert len(levels) > 1
-    got = {r.key for r in universe.where(url_filter.member(levels, F.col("key"))).collect()}
-    assert got == {r.key for r in listed.collect()}
+    got = universe.withColumn("found", url_filter.member(levels, F.col("key"))).join(listed.withColumn("there", F.lit(True)), "key", "left")
+    assert got.where("found <> coalesce(there, false)").count() == 0 and got.where("found").count() == listed.count() > 0
+    assert every == size or len(levels) > 1 and sum(level.bits for level in levels) < 20 * listed.count()
 
 
 # ---- 7
