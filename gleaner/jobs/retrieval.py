@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import preview, tokens
 from gleaner.operators import dense, fusion, rerank, sparse
 
-QUERY_WORDS = 5
+#: Queries up to this many rows are broadcast.
+BROADCAST_QUERIES = 10_000
 
 
 def _t(spark, d, name) -> DataFrame:
@@ -16,14 +19,25 @@ def _t(spark, d, name) -> DataFrame:
 
 
 def _documents(spark, d) -> DataFrame:
-    """doc_id and text; a table in fewer parts than there are cores (a small single file) is dealt out, a large one is read as it lies."""
-    docs, cores = _t(spark, d, "documents").select("doc_id", "text"), spark.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+    return _t(spark, d, "documents").select("doc_id", "text")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_QUERIES else df
 
 
 def benchmark_queries(spark, d) -> DataFrame:
-    """(qid, query): the first words of each benchmark item."""
-    return _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(tokens(F.col("text")), 1, QUERY_WORDS), " ").alias("query"))
+    """(qid, query): the words of each benchmark item."""
+    return _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(tokens(F.col("text")), " ").alias("query"))
+
+
+def _indexed(spark, d) -> tuple[sparse.Index, DataFrame]:
+    terms = sparse.query_terms(benchmark_queries(spark, d))
+    return sparse.index(_documents(spark, d), terms), terms
+
+
+def _best(spark, d, k: int) -> DataFrame:
+    return sparse.top(sparse.bm25(*_indexed(spark, d)), k)
 
 
 def vectors(spark, d) -> DataFrame:
@@ -37,9 +51,9 @@ def vector_queries(spark, d) -> DataFrame:
 
 def candidates(spark, d, k: int = 20) -> DataFrame:
     """(qid, retriever, doc_id, score, rank) of three retrievers; a benchmark item's vector is the one of its id."""
-    docs, terms = _documents(spark, d), sparse.query_terms(benchmark_queries(spark, d))
-    q = vectors(spark, d).join(F.broadcast(benchmark_queries(spark, d).select("qid")), F.col("doc_id") == F.col("qid")).select("qid", F.col("v").alias("q"))
-    parts = {"bm25": sparse.top(sparse.bm25(docs, terms), k), "coverage": sparse.top(sparse.coverage(docs, terms), k), "dense": dense.nearest(vectors(spark, d), q, k)}
+    ix, terms = _indexed(spark, d)
+    q = vectors(spark, d).join(_small(benchmark_queries(spark, d).select("qid")), F.col("doc_id") == F.col("qid")).select("qid", F.col("v").alias("q"))
+    parts = {"bm25": sparse.top(sparse.bm25(ix, terms), k), "coverage": sparse.top(sparse.coverage(ix, terms), k), "dense": dense.nearest(vectors(spark, d), q, k)}
     out = None
     for name, rows in parts.items():
         rows = rows.select("qid", F.lit(name).alias("retriever"), "doc_id", "score", "rank")
@@ -51,7 +65,7 @@ TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 _BASE = f"""
 d AS (SELECT doc_id, text, {TOKENS} AS w FROM documents),
 st AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS a FROM d),
-qs AS (SELECT item_id AS qid, array_to_string({TOKENS}[1:{QUERY_WORDS}], ' ') AS query FROM benchmark),
+qs AS (SELECT item_id AS qid, array_to_string({TOKENS}, ' ') AS query FROM benchmark),
 qt AS (SELECT qid, term, count(*) AS qn FROM (SELECT qid, unnest(string_split(query, ' ')) AS term FROM qs) GROUP BY ALL),
 m AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
 f AS (SELECT term, count(*) AS df FROM m GROUP BY term),
@@ -94,26 +108,32 @@ _FUSED = {
 }
 
 
-def _fuse(method: str):
-    return lambda s, d: sparse.top(fusion.fuse(fusion.normalize(candidates(s, d)), method), 10)
+def _fuse(method: str, spark, d, k: int = 10) -> DataFrame:
+    found = candidates(spark, d)
+    return sparse.top(fusion.fuse(found if method in ("rrf", "borda") else fusion.normalize(found), method), k)
 
 
 def _explain(s, d):
-    docs, terms = _documents(s, d), sparse.query_terms(benchmark_queries(s, d))
-    best = sparse.top(sparse.bm25(docs, terms), 1).select("qid", "doc_id")
-    return sparse.bm25_contributions(docs, terms).join(best, ["qid", "doc_id"]).select("qid", "doc_id", "term", F.round("idf", 6).alias("idf"), F.round("contribution", 6).alias("contribution"))
+    ix, terms = _indexed(s, d)
+    best = sparse.top(sparse.bm25(ix, terms), 1).select("qid", "doc_id")
+    return sparse.bm25_contributions(ix, terms).join(best, ["qid", "doc_id"]).select("qid", "doc_id", "term", F.round("idf", 6).alias("idf"), F.round("contribution", 6).alias("contribution"))
 
 
 def _hybrid(s, d):
-    fused = sparse.top(fusion.fuse(fusion.normalize(candidates(s, d)), "rrf"), 10)
-    return fused.join(_t(s, d, "documents").select("doc_id", preview(F.col("text"), 80).alias("preview")), "doc_id", "left").select("qid", "doc_id", "score", "rank", "preview")
+    return _fuse("rrf", s, d).join(_t(s, d, "documents").select("doc_id", preview(F.col("text"), 80).alias("preview")), "doc_id", "left").select("qid", "doc_id", "score", "rank", "preview")
+
+
+def _contributions(s, d):
+    """Of each fused result: which retrievers found it, and at what ranks."""
+    found = candidates(s, d)
+    best = sparse.top(fusion.fuse(found, "rrf"), 10).select("qid", "doc_id", "rank")
+    by = found.groupBy("qid", "doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("retriever", "rank"))), lambda x: F.concat(x["retriever"], F.lit(":"), x["rank"].cast("string"))), ",").alias("found_by"), F.count("*").alias("n_retrievers"))
+    return best.join(by, ["qid", "doc_id"])
 
 
 def _with_text(s, d, k):
     """BM25 candidates with their words and their queries'."""
-    docs, queries = _documents(s, d), benchmark_queries(s, d)
-    best = sparse.top(sparse.bm25(docs, sparse.query_terms(queries)), k)
-    return best.join(docs, "doc_id").join(F.broadcast(queries), "qid")
+    return _best(s, d, k).join(_documents(s, d), "doc_id").join(_small(benchmark_queries(s, d)), "qid")
 
 
 def _cascade(s, d):
@@ -121,15 +141,23 @@ def _cascade(s, d):
 
 
 def _multihop(s, d):
-    docs, queries = _documents(s, d), benchmark_queries(s, d)
-    return rerank.multihop(docs, queries, hops=2, k=5)
+    return rerank.multihop(_documents(s, d), benchmark_queries(s, d), hops=2, k=5)
 
 
 def _precision(s, d):
     labels = _t(s, d, "labels")
-    best = sparse.top(sparse.bm25(_documents(s, d), sparse.query_terms(benchmark_queries(s, d))), 10).join(labels, "doc_id", "left")
+    n_good = labels.agg(F.coalesce(F.sum("quality"), F.lit(0)).cast("long").alias("n_good"))
+    best = _best(s, d, 10).join(labels, "doc_id", "left")
     good = F.coalesce(F.col("quality"), F.lit(0))
-    return best.groupBy("qid").agg(F.round(F.sum(F.when(F.col("rank") <= 5, good).otherwise(0)) / 5, 6).alias("p_at_5"), F.sum(good).cast("long").alias("hits_at_10"))
+    by = best.groupBy("qid").agg(F.round(F.sum(F.when(F.col("rank") <= 5, good).otherwise(0)) / 5, 6).alias("p_at_5"), F.sum(good).cast("long").alias("hits_at_10"))
+    total = n_good.first()["n_good"]  # one number
+    return by.withColumn("recall_at_10", F.round(F.col("hits_at_10") / F.lit(max(total, 1)), 6))
+
+
+def _signal_statistics(s, d):
+    x = rerank.signals(_with_text(s, d, 30))
+    parts = [F.struct(F.lit(c).alias("signal"), F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_pop(c), 6).alias("sd")) for c in ("text_overlap", "length_penalty", "bm25", "combined")]
+    return x.agg(F.array(*parts).alias("p")).select(F.inline("p"))
 
 
 _TFIDF = f"""WITH {_BASE},
@@ -147,16 +175,17 @@ c AS (SELECT b.*, list_distinct(string_split(query, ' ')) AS qw, len(list_inters
       FROM {_ranked("bm", 30)} b JOIN d USING (doc_id) JOIN qs USING (qid))"""
 
 QUERIES = {
-    "bm25_batch": lambda s, d: sparse.top(sparse.bm25(_documents(s, d), sparse.query_terms(benchmark_queries(s, d))), 10),
-    "bm25_topk": lambda s, d: sparse.top(sparse.bm25_all(_documents(s, d), sparse.query_terms(benchmark_queries(s, d)), 0), 10),
+    "bm25_batch": lambda s, d: _best(s, d, 10),
+    "bm25_topk": lambda s, d: sparse.bm25_all(_documents(s, d), *_indexed(s, d), 10),
     "tfidf_topk": lambda s, d: sparse.top(sparse.tfidf(_documents(s, d), sparse.query_terms(benchmark_queries(s, d))), 10),
-    "term_importance": lambda s, d: sparse.bm25_contributions(_documents(s, d), sparse.query_terms(benchmark_queries(s, d))).select("term", F.round("idf", 6).alias("idf")).distinct(),
+    "term_importance": lambda s, d: sparse.bm25_contributions(*_indexed(s, d)).select("term", F.round("idf", 6).alias("idf")).distinct(),
     "explain_terms": _explain,
     "dense_batch": lambda s, d: dense.nearest(vectors(s, d), vector_queries(s, d), 10),
     "dense_similar": lambda s, d: dense.nearest(vectors(s, d), vector_queries(s, d), 5, exclude_self=True),
     "dense_threshold": lambda s, d: dense.nearest(vectors(s, d), vector_queries(s, d), 10, threshold=0.45),
     **{f"norm_{how}": (lambda how: lambda s, d: fusion.normalize(candidates(s, d), how))(how) for how in _NORMS},
-    **{f"fuse_{m}": _fuse(m) for m in _FUSED},
+    **{f"fuse_{m}": partial(_fuse, m) for m in _FUSED},
+    "fusion_contributions": _contributions,
     "fusion_quality": lambda s, d: fusion.quality(candidates(s, d)),
     "hybrid_retrieve": _hybrid,
     "overlap_rerank": lambda s, d: rerank.by_overlap(_with_text(s, d, 20)).select("qid", "doc_id", "score", "boosted", "rank"),
@@ -168,6 +197,7 @@ QUERIES = {
     "jaccard_pairs": lambda s, d: rerank.jaccard_to_best(_with_text(s, d, 30)),
     "signals": lambda s, d: rerank.signals(_with_text(s, d, 30)).select("qid", "doc_id", "text_overlap", "length_penalty", "bm25", "combined"),
     "signals_normalized": lambda s, d: rerank.normalized(rerank.signals(_with_text(s, d, 30))).select("qid", "doc_id", "combined_norm"),
+    "signal_statistics": _signal_statistics,
     "signal_corr": lambda s, d: rerank.correlations(rerank.signals(_with_text(s, d, 30))),
     "multihop_retrieve": _multihop,
     "precision_recall_at_k": _precision,
@@ -179,7 +209,9 @@ sc AS (SELECT *, round(least(1.0::DOUBLE, 0.25::DOUBLE * greatest(0.0::DOUBLE, b
 
 ORACLE = {
     "bm25_batch": f"WITH {_BASE} SELECT * FROM {_ranked('bm', 10)}",
-    "bm25_topk": f"WITH {_BASE}, al AS (SELECT 0 AS qid, d.doc_id, coalesce(score, 0.0) AS score FROM d LEFT JOIN (SELECT * FROM bm WHERE qid = 0) b USING (doc_id)) SELECT * FROM {_ranked('al', 10)}",
+    "bm25_topk": f"""WITH {_BASE},
+al AS (SELECT q.qid, d.doc_id, coalesce(score, 0.0) AS score FROM qs q, d LEFT JOIN bm ON bm.qid = q.qid AND bm.doc_id = d.doc_id)
+SELECT * FROM {_ranked('al', 10)}""",
     "tfidf_topk": _TFIDF,
     "term_importance": f"WITH {_BASE} SELECT DISTINCT term, round(idf, 6) AS idf FROM con",
     "explain_terms": f"WITH {_BASE} SELECT con.qid, con.doc_id, term, round(idf, 6) AS idf, round(c, 6) AS contribution FROM con JOIN {_ranked('bm', 1)} b ON con.qid = b.qid AND con.doc_id = b.doc_id",
@@ -190,6 +222,9 @@ ORACLE = {
     **{f"fuse_{m}": f"WITH {_normed('min_max')}, fs AS (SELECT qid, doc_id, round(s, 9) AS score FROM ({sql})) SELECT * FROM {_ranked('fs', 10)}" for m, sql in _FUSED.items()},
     "fusion_quality": f"WITH {_CANDIDATES} SELECT qid, retriever, count(*) AS n, round(min(score), 9) AS low, round(max(score), 9) AS high, round(avg(score), 9) AS mean, round(stddev_pop(score), 9) AS sd, round(median(score), 9) AS middle FROM cand GROUP BY ALL",
     "hybrid_retrieve": f"WITH {_normed('min_max')}, fs AS (SELECT qid, doc_id, round(s, 9) AS score FROM ({_FUSED['rrf']})) SELECT t.qid, t.doc_id, t.score, t.rank, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '...' ELSE text END AS preview FROM {_ranked('fs', 10)} t LEFT JOIN d USING (doc_id)",
+    "fusion_contributions": f"""WITH {_normed('min_max')}, fs AS (SELECT qid, doc_id, round(s, 9) AS score FROM ({_FUSED['rrf']})),
+by_doc AS (SELECT qid, doc_id, string_agg(retriever || ':' || rank, ',' ORDER BY retriever) AS found_by, count(*) AS n_retrievers FROM cand GROUP BY ALL)
+SELECT t.qid, t.doc_id, t.rank, found_by, n_retrievers FROM {_ranked('fs', 10)} t JOIN by_doc USING (qid, doc_id)""",
     "overlap_rerank": f"{_RERANK}, b AS (SELECT qid, doc_id, score, round(score + 0.1::DOUBLE * ov, 6) AS boosted FROM c WHERE rank <= 20) SELECT *, row_number() OVER (PARTITION BY qid ORDER BY boosted DESC, doc_id) AS rank FROM b",
     "cascade_rerank": f"{_RERANK}, a AS (SELECT qid, doc_id, score, ov, len(w) AS n, row_number() OVER (PARTITION BY qid ORDER BY round(score + 0.1::DOUBLE * ov, 6) DESC, doc_id) AS first_rank FROM c), b AS (SELECT *, round(0.7::DOUBLE * ov + 0.3::DOUBLE * CASE WHEN n < 100 THEN 0.8 WHEN n <= 500 THEN 1.0 WHEN n > 1000 THEN 0.7 ELSE 0.9 END::DOUBLE, 6) AS final FROM a) SELECT qid, doc_id, first_rank, final, row_number() OVER (PARTITION BY qid ORDER BY final DESC, doc_id) AS rank FROM b QUALIFY rank <= 7",
     "rerank_impact": f"{_RERANK}, b AS (SELECT qid, rank AS old_rank, row_number() OVER (PARTITION BY qid ORDER BY round(score + 0.1::DOUBLE * ov, 6) DESC, doc_id) AS rank FROM c) SELECT qid, count(*) FILTER (rank < old_rank) AS promoted, count(*) FILTER (rank > old_rank) AS demoted, round(avg(abs(rank - old_rank)), 6) AS mean_move FROM b GROUP BY qid",
@@ -198,6 +233,9 @@ ORACLE = {
     "jaccard_pairs": f"{_RERANK}, b AS (SELECT qid, doc_id AS best_id, w AS bw FROM c WHERE rank = 1) SELECT qid, best_id, doc_id, round(len(list_intersect(w, bw)) / len(list_distinct(list_concat(w, bw))), 6) AS resemblance FROM c JOIN b USING (qid) WHERE rank > 1",
     "signals": f"{_SIGNALS} SELECT * FROM sc",
     "signals_normalized": f"{_SIGNALS}, r AS (SELECT *, min(combined) OVER (PARTITION BY qid) AS lo, max(combined) OVER (PARTITION BY qid) AS hi FROM sc) SELECT qid, doc_id, round(CASE WHEN hi = lo THEN CASE WHEN combined > 0 THEN 1.0 ELSE 0.0 END ELSE (combined - lo) / (hi - lo) END, 6) AS combined_norm FROM r",
+    "signal_statistics": " UNION ALL ".join(
+        f"SELECT * FROM ({_SIGNALS} SELECT '{c}' AS signal, count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS sd FROM sc)" for c in ("text_overlap", "length_penalty", "bm25", "combined")
+    ),
     "signal_corr": f"{_SIGNALS} SELECT round(corr(text_overlap, length_penalty), 6) AS overlap_length, round(corr(text_overlap, bm25), 6) AS overlap_bm25, round(corr(length_penalty, bm25), 6) AS length_bm25 FROM sc",
-    "precision_recall_at_k": f"WITH {_BASE} SELECT qid, round(sum(CASE WHEN rank <= 5 THEN coalesce(quality, 0) ELSE 0 END) / 5, 6) AS p_at_5, sum(coalesce(quality, 0))::BIGINT AS hits_at_10 FROM {_ranked('bm', 10)} b LEFT JOIN labels USING (doc_id) GROUP BY qid",
+    "precision_recall_at_k": f"WITH {_BASE} SELECT qid, round(sum(CASE WHEN rank <= 5 THEN coalesce(quality, 0) ELSE 0 END) / 5, 6) AS p_at_5, sum(coalesce(quality, 0))::BIGINT AS hits_at_10, round(sum(coalesce(quality, 0)) / (SELECT greatest(sum(quality), 1) FROM labels), 6)::DOUBLE AS recall_at_10 FROM {_ranked('bm', 10)} b LEFT JOIN labels USING (doc_id) GROUP BY qid",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleaner.functions.shared import cut
 from gleaner.functions.text import jaccard, overlap, tokens
 from gleaner.operators import sparse
 
@@ -96,12 +97,13 @@ def correlations(signalled: DataFrame) -> DataFrame:
 
 
 def multihop(docs: DataFrame, queries: DataFrame, hops: int = 2, k: int = 5, words: int = 5) -> DataFrame:
-    """(qid, doc_id, hop, score, rank): each hop adds capitalised words of the best three documents to the query; a document keeps its first hop."""
+    """(qid, doc_id, hop, score, rank): each hop adds capitalised words of the best three documents to the query; a document keeps its first hop. Hops are cut."""
     found, now = None, queries
     for hop in range(1, hops + 1):
-        best = sparse.top(sparse.bm25(docs, sparse.query_terms(now)), k).withColumn("hop", F.lit(hop))
+        terms = sparse.query_terms(now)
+        best = cut(sparse.top(sparse.bm25(sparse.index(docs, terms), terms), k)).withColumn("hop", F.lit(hop))
         found = best if found is None else found.unionByName(best)
-        names = F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{L}{4,}"), F.lit(0))
+        names = F.filter(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), lambda w: F.rlike(w, F.lit(r"^\p{Lu}\p{L}{4,}$")))
         more = best.where("rank <= 3").join(docs, "doc_id").groupBy("qid").agg(F.array_join(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(names)))), 1, words), " ").alias("more"))
         now = now.join(more, "qid", "left").select("qid", F.concat_ws(" ", "query", "more").alias("query"))
     first = W.partitionBy("qid", "doc_id").orderBy("hop")

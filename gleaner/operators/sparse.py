@@ -1,15 +1,19 @@
 """Keyword retrieval over batches of queries: BM25 and TF-IDF.
 
-Documents are read once: words are counted within each row and only query terms leave it, so the
-shuffle carries matches and not postings of the whole corpus.
+A document's words are filtered by the queries' terms inside its row, so only matches leave it.
+The matches are written once (index()), with how many documents have each term and how long
+documents are on average; all scores are made from them.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleaner.functions.shared import cut
 from gleaner.functions.text import tokens
 
 K1, B = 1.2, 0.75
@@ -30,7 +34,23 @@ def matches(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col:
     """(doc_id, dl, term, tf) for the terms only."""
     words = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("words"))
     each = words.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    return each.join(_small(terms.select("term").distinct()), "term").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    return each.join(_small(terms.select("term").distinct()), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+
+
+@dataclass(frozen=True)
+class Index:
+    """found: (doc_id, dl, term, tf), df: (term, df), documents and their mean words."""
+
+    found: DataFrame
+    df: DataFrame
+    n: int
+    average: float
+
+
+def index(docs: DataFrame, terms: DataFrame) -> Index:
+    """What all scores of these terms need, made once."""
+    found = cut(matches(docs, terms))
+    return Index(found, found.groupBy("term").agg(F.count("*").alias("df")), *statistics(docs))
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> tuple[int, float]:
@@ -47,43 +67,56 @@ def bm25_weight(average: float) -> Column:
     return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / average))
 
 
-def bm25_contributions(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def bm25_contributions(ix: Index, terms: DataFrame) -> DataFrame:
     """(qid, doc_id, term, idf, contribution) of each query term that a document has."""
-    n, average = statistics(docs)
-    found = matches(docs, terms)
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    return found.join(df, "term").join(_small(terms), "term").select("qid", "doc_id", "term", bm25_idf(n).alias("idf"), (F.col("qn") * bm25_idf(n) * bm25_weight(average)).alias("contribution"))
+    weighted = terms.join(ix.df, "term")
+    return ix.found.join(_small(weighted), "term").select("qid", "doc_id", "term", bm25_idf(ix.n).alias("idf"), (F.col("qn") * bm25_idf(ix.n) * bm25_weight(ix.average)).alias("contribution"))
 
 
-def bm25(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def bm25(ix: Index, terms: DataFrame) -> DataFrame:
     """(qid, doc_id, score) of documents with a query term; scores are rounded, so that ties break alike everywhere."""
-    return bm25_contributions(docs, terms).groupBy("qid", "doc_id").agg(F.round(F.sum("contribution"), 6).alias("score"))
+    return bm25_contributions(ix, terms).groupBy("qid", "doc_id").agg(F.round(F.sum("contribution"), 6).alias("score"))
+
 
+def bm25_all(docs: DataFrame, ix: Index, terms: DataFrame, k: int) -> DataFrame:
+    """Each query's best k of all documents: those that match nothing score 0, which ranks above common words' negative scores.
 
-def bm25_all(docs: DataFrame, terms: DataFrame, qid: int) -> DataFrame:
-    """One query's score of every document: 0 where nothing matches, which ranks above common words' negative scores."""
-    scored = bm25(docs, terms.where(F.col("qid") == qid)).select("doc_id", "score")
-    return docs.select("doc_id").join(scored, "doc_id", "left").select(F.lit(qid).alias("qid"), "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    Only a query with fewer than k scores above 0 needs documents that it doesn't match: the k
+    smallest ids that are not among its matches, which are among as many and k smallest of all.
+    """
+    scored = cut(bm25(ix, terms))
+    counts = scored.groupBy("qid").agg(F.count("*").alias("m"), F.count_if(F.col("score") > 0).alias("good"))
+    asked = terms.select("qid").distinct().join(counts, "qid", "left").where(F.coalesce("good", F.lit(0)) < k).select("qid", F.coalesce("m", F.lit(0)).alias("m"))
+    most = (asked.agg(F.max("m").alias("m")).first()["m"] or 0) + k
+    first = docs.select("doc_id").orderBy("doc_id").limit(most).withColumn("place", F.row_number().over(W.orderBy("doc_id")))
+    zero = asked.select("qid", F.explode(F.sequence(F.lit(1), (F.col("m") + k).cast("int"))).alias("place")).join(first, "place").select("qid", "doc_id").join(scored.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
+    return top(scored.unionByName(zero.withColumn("score", F.lit(0.0))), k)
 
 
 def tfidf(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(qid, doc_id, score): cosine of smoothed TF-IDF vectors; norms are over all words of a document."""
-    n, _ = statistics(docs)
-    each = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    """(qid, doc_id, score): cosine of smoothed TF-IDF vectors; norms are over all words of a document.
+
+    The corpus's postings are written once; document counts of words are pre-aggregated in tasks.
+    """
+    n = docs.count()
+    each = cut(docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf")))
     idf = each.groupBy("term").agg((F.ln((1 + F.lit(float(n))) / (1 + F.count("*"))) + 1).alias("idf"))
     weighted = each.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    wanted = terms.join(idf, "term").withColumn("qw", F.col("qn") * F.col("idf"))
     own = W.partitionBy("qid")
-    wanted = wanted.withColumn("qw", F.col("qw") / F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(own))).select("qid", "term", "qw")
-    dots = weighted.join(_small(wanted), "term").groupBy("qid", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    return dots.join(norms, "doc_id").select("qid", "doc_id", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    wanted = terms.join(idf, "term").withColumn("qw", F.col("qn") * F.col("idf"))
+    wanted = wanted.withColumn("qw", F.col("qw") / F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(own))).select("term", F.struct("qid", "qw").alias("q"))
+    # a word meets the queries that ask for it as one list, so norms and products come from one pass over the postings
+    asked = wanted.groupBy("term").agg(F.collect_list("q").alias("asked"))
+    met = weighted.join(_small(asked), "term", "left")
+    norms = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc_id")))
+    dots = met.withColumn("norm", norms).where("asked is not null").select("doc_id", "norm", "w", F.inline("asked"))
+    return dots.groupBy("qid", "doc_id", "norm").agg(F.sum(F.col("w") * F.col("qw")).alias("dot")).select("qid", "doc_id", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
 
 
-def coverage(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def coverage(ix: Index, terms: DataFrame) -> DataFrame:
     """(qid, doc_id, score): share of the query's distinct words that a document has."""
     sizes = terms.groupBy("qid").agg(F.count("*").alias("size"))
-    hit = matches(docs, terms).join(_small(terms), "term").groupBy("qid", "doc_id").agg(F.count("*").alias("hit"))
+    hit = ix.found.join(_small(terms), "term").groupBy("qid", "doc_id").agg(F.count("*").alias("hit"))
     return hit.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_TERMS else sizes, "qid").select("qid", "doc_id", F.round(F.col("hit") / F.col("size"), 6).alias("score"))
 
 

@@ -27,9 +27,11 @@ def test_text_functions(spark):
 def test_bm25_common_terms_rank_below_no_match(spark):
     docs = spark.createDataFrame([(1, "x x y"), (2, "x z"), (3, "x"), (4, "q"), (5, None)], "doc_id long, text string")
     terms = sparse.query_terms(spark.createDataFrame([(0, "x")], "qid long, query string"))
-    got = sparse.top(sparse.bm25_all(docs, terms, 0), 2).collect()
+    got = sparse.bm25_all(docs, sparse.index(docs, terms), terms, 2).orderBy("rank").collect()
     assert [(r.doc_id, r.score) for r in got] == [(4, 0.0), (5, 0.0)]  # x is in over half of the documents
-    assert sparse.bm25(docs, sparse.query_terms(spark.createDataFrame([(0, "none")], "qid long, query string"))).count() == 0
+    nothing = sparse.query_terms(spark.createDataFrame([(0, "none")], "qid long, query string"))
+    assert sparse.bm25(sparse.index(docs, nothing), nothing).count() == 0
+    assert [r.doc_id for r in sparse.bm25_all(docs, sparse.index(docs, nothing), nothing, 3).orderBy("rank").collect()] == [1, 2, 3]
 
 
 def test_dense_threshold_comes_after_the_cut(spark):
