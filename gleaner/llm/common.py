@@ -79,6 +79,10 @@ def sampled(df: DataFrame, key: str, rows: int, seed: int = 0) -> DataFrame:
     return df if total <= rows else df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) < int(rows / total * (1 << 40)))
 
 
+#: Edges in a partition of the rounds below, about; a small graph isn't dealt over hundreds of files.
+EDGES = 50_000
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the component's smallest node.
 
@@ -89,11 +93,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before, after = None, mark(now)
     while after != before and after["n"]:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        parts = 1 + after["n"] // EDGES
+        now = now.coalesce(parts)
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        now = cut(small.union(least.select("u", F.col("m").alias("v"))).coalesce(parts).distinct().coalesce(parts))
         before, after = after, mark(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

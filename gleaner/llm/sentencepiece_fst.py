@@ -36,7 +36,7 @@ from gleaner.llm.common import TEXT_BATCH, batch_rows, table
 
 INF = float("inf")
 #: Entries of the caches of parts and of neighbouring pairs.
-PARTS, PAIRS = 400_000, 200_000
+PARTS, PAIRS = 250_000, 200_000
 #: State before the first piece, and after a character without a piece: no merge reaches across it.
 START = -1
 MARK = "▁"

@@ -65,7 +65,7 @@ CONTRACT, PIPELINE = Shape(), Shape(words=5, radius=64, blocks=1, lanes=4, limit
 #: Of 5 shingles, 4 must be common. A pair at 0.8 shares no band of minima in one of 40,000 cases: (1 - 0.8 ** 4) ** 20.
 ALIKE, BANDS, BAND_MINIMA = (4, 5), 20, 4
 #: Members of a band that a task compares all with all; rounds of differently dealt chunks before what is left is compared with whole bands.
-CHUNK, ROUNDS = 256, 3
+CHUNK, ROUNDS = 256, 2
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -391,20 +391,23 @@ def alike(docs: DataFrame, shape: Shape) -> DataFrame:
         whole = near.join(side(sets_of, "a"), "a").join(side(sets_of, "b"), "b").withColumn("both", both)
         return whole.where(F.col("both") * den >= (F.col("a_size") + F.col("b_size") - F.col("both")) * num).select("a", "b")
 
-    def open_bands(edges: DataFrame, among: DataFrame) -> DataFrame:
+    def open_bands(rooted: DataFrame) -> DataFrame:
         """(band, node, n, root) of the bands with several groups."""
-        rooted = among.join(connected_components(edges), "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
         split = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
         return cut(rooted.join(split, "band"))
 
     with_sets = lambda rows: rows.join(sets.select("node", "shingles"), "node")
     edges = cut(verified(members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))))
-    rest, turn = open_bands(edges, members.select("band", "node", "n")), 0
+    # a member's group so far: the band's smallest node, if it is near it
+    near_first = members.join(edges.select(F.col("a").alias("first"), F.col("b").alias("node"), F.lit(True).alias("near")), ["first", "node"], "left")
+    rest, turn = open_bands(near_first.select("band", "node", "n", F.when(F.col("near"), F.col("first")).otherwise(F.col("node")).alias("root"))), 0
     while turn < ROUNDS and not rest.isEmpty():
         chunk = F.pmod(F.xxhash64("node", "band", F.lit(turn)), F.ceil(F.col("n") / CHUNK))
         found = with_sets(rest).withColumn("chunk", chunk).groupBy("band", "chunk").applyInPandas(_within, "a long, b long")
-        edges = cut(edges.union(found))
-        rest, turn = open_bands(edges, rest.where(F.col("n") > CHUNK).select("band", "node", "n")), turn + 1
+        edges, rest, turn = cut(edges.union(found)), rest.where(F.col("n") > CHUNK), turn + 1
+        if not rest.isEmpty():
+            rooted = rest.drop("root").join(connected_components(edges), "node", "left")
+            rest = open_bands(rooted.select("band", "node", "n", F.coalesce("root", "node").alias("root")))
     if not rest.isEmpty():
         sizes = rest.groupBy("band", "root").agg(F.count("*").alias("m")).groupBy("band").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), (F.sum("m") - F.max("m")).alias("n_outside"))
         blocked = rest.join(sizes, "band").withColumns({"xs": F.ceil(F.col("n_outside") / CHUNK), "ys": F.ceil(F.col("n") / CHUNK)})
