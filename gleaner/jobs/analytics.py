@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import keywords, normalized, preview, question_type
 from gleaner.operators import answers, feedback, graph, planning, profile, sessions
+from gleaner.operators.relations import NO_NAMES
 from gleaner.streaming import events as streams
 
 
@@ -72,7 +73,8 @@ def _stream_counts(spark, d):
 
 
 def _stream_sessions(spark, d):
-    return streams.drained(streams.sessions(streams.stream(spark, d)), "append")
+    closed = streams.drained(streams.sessions(streams.stream(spark, d)), "append")
+    return closed.withColumn("session_start", F.to_timestamp_ntz(F.date_format("session_start", "yyyy-MM-dd HH:mm:ss.SSSSSS")))
 
 
 QUERIES = {
@@ -126,7 +128,9 @@ QUERIES = {
 }
 
 _WORD = r"'[\p{L}\p{N}_]+'"
-_MENTIONS = r"""WITH m AS (SELECT doc_id, pos, t AS text, lower(t) AS node FROM (SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS t FROM (SELECT doc_id, regexp_extract_all(text, '\p{Lu}\p{Ll}{6,}') AS x FROM documents)))"""
+_NO_NAMES = ", ".join(f"'{w}'" for w in NO_NAMES)
+_MENTIONS = rf"""WITH m AS (SELECT doc_id, pos, t AS text, lower(t) AS node FROM (SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS t FROM
+  (SELECT doc_id, list_filter(regexp_extract_all(text, '\p{{L}}+'), lambda x: regexp_full_match(x, '\p{{Lu}}\p{{Ll}}+') AND x NOT IN ({_NO_NAMES})) AS x FROM documents)))"""
 _EDGES = f"{_MENTIONS}, e AS (SELECT source, target, count(*) AS weight FROM (SELECT node AS source, lead(node) OVER (PARTITION BY doc_id ORDER BY pos) AS target FROM m) WHERE target IS NOT NULL AND source <> target GROUP BY ALL)"
 _STAR = """e AS (SELECT 'nation:' || n_nationkey AS source, 'region:' || n_regionkey AS target, 'IN_REGION' AS relation FROM nation
   UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'IN_NATION' FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'SUPPLIES_FROM' FROM supplier),
@@ -213,5 +217,7 @@ len(list_filter(range(len(l)), lambda i: length(trim(l[i + 1], ' ')) > 0 AND (i
     "rating_histogram": f"{_RATED} SELECT rating, count(*) AS n FROM r GROUP BY rating",
     "health": f"{_RATED}, h AS (SELECT round(avg(least(1.0, m / 4.0)), 6) AS health FROM (SELECT avg(rating) AS m FROM r GROUP BY event_type)) SELECT health, CASE WHEN health >= 0.9 THEN 'good' WHEN health >= 0.7 THEN 'fair' ELSE 'poor' END AS band FROM h",
     "metric_ema": f"{_RATED[:5]}RECURSIVE {_RATED[5:]}, dd AS (SELECT event_type, ts::DATE AS day, avg(rating) AS mean, row_number() OVER (PARTITION BY event_type ORDER BY ts::DATE) AS k FROM r GROUP BY 1, 2), x AS (SELECT event_type, day, mean, k, mean AS ema FROM dd WHERE k = 1 UNION ALL SELECT dd.event_type, dd.day, dd.mean, dd.k, 0.1::DOUBLE * dd.mean + 0.9::DOUBLE * x.ema FROM x JOIN dd ON dd.event_type = x.event_type AND dd.k = x.k + 1) SELECT event_type, strftime(day, '%Y-%m-%d') AS day, round(mean, 6) AS mean, round(ema, 6) AS ema FROM x",
+    # sessions that the final watermark, an hour before the newest event, has passed
+    "stream_sessions": "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 3600 SECONDS THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
     "stream_feedback_counts": "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type",
 }

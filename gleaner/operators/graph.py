@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Names: capitalised words of this many letters or more.
-NAME = r"\p{Lu}\p{Ll}{6,}"
+from gleaner.functions.shared import cut
+from gleaner.operators.relations import is_name
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, text, node): capitalised words in order; node is the lower-cased name."""
-    found = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(NAME), F.lit(0))).alias("pos", "text"))
+    """(doc_id, pos, text, node): capitalised words in order, without function words; node is the lower-cased name."""
+    found = docs.select("doc_id", F.posexplode(F.filter(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), is_name)).alias("pos", "text"))
     return found.withColumn("node", F.lower("text"))
 
 
@@ -34,12 +34,14 @@ def degrees(edges: DataFrame, k: int = 5) -> DataFrame:
 
 
 def reach(edges: DataFrame, start: DataFrame, hops: int = 3) -> DataFrame:
-    """(node, hop): nodes within some hops of the start nodes, either way along edges, with the fewest hops."""
+    """(node, hop): nodes within some hops of the start nodes, either way along edges, with the fewest hops; hops are cut."""
     both = edges.select("source", "target").unionAll(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+    both = cut(both) if hops > 1 else both
     seen = start.select("node", F.lit(0).alias("hop"))
     edge_of = seen
     for hop in range(1, hops + 1):
         new = edge_of.join(both, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hop", F.lit(hop))
+        new = cut(new) if hop < hops else new
         seen, edge_of = seen.unionAll(new), new
     return seen
 
