@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Queries that meet a vector at a time.
-BLOCK = 512
+#: Bytes of query vectors that a task holds at a time, about; vectors that meet them at a time.
+QUERY_BYTES, BLOCK = 32 << 20, 2048
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -17,13 +21,55 @@ def squared_distance(a: Column, b: Column) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, exclude_self: bool = False) -> DataFrame:
     """(qid, doc_id, score, rank). vectors: doc_id, v; queries: qid, q. A threshold is applied after the cut at k.
 
-    Queries are dealt into blocks that each vector meets by an equi-join on the block number.
+    Queries go to the tasks in blocks of bounded size, one pass over the vectors for each. A task
+    keeps each query's best few of its own vectors, so what is shuffled is that and not all pairs.
+    Null vectors and vectors of another length than the query's have no score.
     """
-    blocks = max(1, -(-queries.count() // BLOCK))
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-    met = vectors.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "block")
-    met = met.where("qid <> doc_id") if exclude_self else met
-    scored = met.select("qid", "doc_id", F.round(1 / (1 + squared_distance(F.col("v"), F.col("q"))), 6).alias("score"))
+    if k < 1:
+        return vectors.sparkSession.createDataFrame([], "qid long, doc_id long, score double, rank int")
+    counted = queries.agg(F.count("*").alias("n"), F.max(F.size("q")).alias("size")).first()
+    blocks = max(1, -(-counted["n"] * 8 * max(1, counted["size"] or 1) // QUERY_BYTES))
+    parts = queries.where("q is not null").withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
+    found = None
+    for b in range(blocks):
+        block = parts.where(F.col("block") == b).select("qid", "q").collect()  # QUERY_BYTES at most, about
+        if block:
+            best = vectors.where("v is not null").select("doc_id", "v").mapInPandas(_task(vectors, block, k, exclude_self), "qid long, doc_id long, score double")
+            found = best if found is None else found.unionAll(best)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "qid long, doc_id long, score double, rank int")
     order = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
-    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.where(F.col("score") >= threshold) if threshold else best
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.where(F.col("score") >= threshold) if threshold else ranked
+
+
+def _task(vectors: DataFrame, block: list, k: int, exclude_self: bool):
+    """What a task does with its vectors: the best k of each query, by rounded score and then id."""
+    ids = np.array([r["qid"] for r in block], np.int64)
+    by_size = {n: (ids[at], np.array([block[i]["q"] for i in at], float)) for n in {len(r["q"]) for r in block} for at in [np.array([i for i, r in enumerate(block) if len(r["q"]) == n])]}
+    shared = vectors.sparkSession.sparkContext.broadcast(by_size)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = {n: [np.empty((len(i), 0), np.int64), np.empty((len(i), 0))] for n, (i, _) in shared.value.items()}
+        for batch in batches:
+            sizes = batch["v"].map(len)
+            for n, (qid, q) in shared.value.items():
+                rows = batch[sizes == n]
+                for at in range(0, len(rows), BLOCK):
+                    part = rows.iloc[at : at + BLOCK]
+                    own, x = part["doc_id"].to_numpy(np.int64), np.array(part["v"].tolist(), float)
+                    d = np.zeros((len(q), len(x)))
+                    for j in range(n):  # summed in the order of the components, as anywhere else
+                        d += (x[:, j][None, :] - q[:, j][:, None]) ** 2
+                    score = np.round(1 / (1 + d), 6)
+                    if exclude_self:
+                        score[qid[:, None] == own[None, :]] = -1
+                    docs, scores = np.hstack([held[n][0], np.broadcast_to(own, score.shape)]), np.hstack([held[n][1], score])
+                    best = np.lexsort((docs, -scores), axis=1)[:, :k]
+                    held[n] = [np.take_along_axis(docs, best, 1), np.take_along_axis(scores, best, 1)]
+        for n, (qid, _) in shared.value.items():
+            docs, scores = held[n]
+            kept = scores.ravel() >= 0
+            yield pd.DataFrame({"qid": np.repeat(qid, docs.shape[1])[kept], "doc_id": docs.ravel()[kept], "score": scores.ravel()[kept]})
+
+    return run
