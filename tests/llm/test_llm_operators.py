@@ -385,9 +385,28 @@ def test_warc(spark, tmp_path):
         revisit = first is None
         want.append((i, len((h or "").encode()), sha(h), "revisit" if revisit else "response", seen[h or ""] if revisit else None))
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == Counter(want)
+    # any record can be taken out by its place alone, and a revisit names its response's record
+    taken = {(r.archive, r.offset): r for r in warc.fetch(spark, str(tmp_path / "warc"), index.where("payload_bytes > 3")).collect()}
+    assert set(taken) == {(r.archive, r.offset) for r in got if r.payload_bytes > 3}
+    ids = {r.headers["X-Page-Id"]: r.headers["WARC-Record-ID"] for r in taken.values() if r.headers["WARC-Type"] == "response" and "X-Page-Id" in r.headers}
+    for r in taken.values():
+        if r.headers["WARC-Type"] == "revisit":
+            assert r.headers["WARC-Refers-To"] == ids[r.headers["X-Refers-To-Page-Id"]]
+        elif "X-Page-Id" in r.headers:
+            assert bytes(r.block).partition(b"\r\n\r\n")[2].decode() == html[int(r.headers["X-Page-Id"])]
     assert warc.merged(warc.read(spark, warc.write(df.limit(0), str(tmp_path / "none")))).count() == 0
 
 
+def test_warc_members_end_in_zero():
+    records = [b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (n, b"x" * n) for n in (0, 10, 1 << 24, 5, (1 << 25) + 7)]
+    data = b"".join(map(warc.member, records))
+    assert all(warc.member(r)[-1] == 0 for r in records)
+    found = list(warc.walk(data))
+    assert [len(block) for *_, block in found] == [0, 10, 1 << 24, 5, (1 << 25) + 7] and [at for at, *_ in found][1:] == [at + n for at, n, *_ in found][:-1]
+    with pytest.raises(ValueError):
+        warc.parsed(records[1][:-1])
+
+
 def test_loser_tree():
     rng = random.Random(6)
     for k in (1, 2, 3, 7, 16):
