@@ -38,7 +38,7 @@ from gleaner.llm.common import NUMBER_BATCH, TEXT_BATCH, batch_rows, cut, table,
 
 _TO_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 #: Words that travel with the tasks and are clustered in rounds; times that a clustered word must be seen; classes; shape classes; rounds of exchange.
-RESOLVED, LEAST_SEEN, CLASSES, SHAPES, ROUNDS = 65_536, 3, 64, 32, 8
+RESOLVED, LEAST_SEEN, CLASSES, SHAPES, ROUNDS = 65_536, 3, 64, 32, 4
 TOTAL = CLASSES + SHAPES
 #: Entries that a task merges before it hands them on.
 MERGED = 500_000
@@ -125,53 +125,42 @@ class Lexicon:
 
 
 def bigrams(docs: DataFrame, lexicon) -> DataFrame:
-    """(a, b, hash, n): neighbouring training tokens, counted within tasks; a text begins after an end.
+    """(a, b, hash, rare, n): neighbouring training tokens; a text begins after an end.
 
-    a and b are indices into the class table; hash is null for b in the lexicon, else b is the word's shape class.
+    a and b are indices into the class table. Words of the lexicon are counted within tasks and
+    have no hash; others (rare) have theirs, and b is their shape class.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex, parts, size, rare = lexicon.value, [], 0, Counter()
+        lex, parts, size = lexicon.value, [], 0
         end, width = lex.narrow(lex.codes([END])), len(lex.hashes) + TOTAL
 
-        def rows() -> Iterator[pd.DataFrame]:
+        def rows() -> pd.DataFrame:
             pairs, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pd.DataFrame({"a": pairs // width, "b": pairs % width, "hash": pd.array([None] * len(n), "Int64"), "n": n})
-            if rare:
-                key = np.array([(a, b, _hash(w)) for a, b, w in rare], np.int64)
-                yield pd.DataFrame({"a": key[:, 0], "b": key[:, 1], "hash": pd.array(key[:, 2], "Int64"), "n": list(rare.values())})
-                rare.clear()
+            return pd.DataFrame({"a": pairs // width, "b": pairs % width, "hash": np.int64(0), "rare": False, "n": n})
 
         for batch in batches:
+            before, own, hashes = [], [], []
             for text in batch["text"]:
                 words = tokens(text)
                 codes = lex.codes(words)
                 c = np.concatenate([end, lex.narrow(codes)])
                 known = codes >= 0
                 parts.append((c[:-1] * width + c[1:])[known])
-                at = np.nonzero(~known)[0].tolist()
-                before, own = c[:-1].tolist(), c[1:].tolist()
-                rare.update((before[i], own[i], words[i]) for i in at)
+                at = np.nonzero(~known)[0]
+                before.append(c[at])
+                own.append(c[at + 1])
+                hashes += [_hash(words[i]) for i in at.tolist()]
                 size += len(c)
+            if hashes:
+                yield pd.DataFrame({"a": np.concatenate(before), "b": np.concatenate(own), "hash": np.array(hashes, np.int64), "rare": True, "n": np.int64(1)})
             if size > 4 * MERGED:
-                yield from rows()
+                yield rows()
                 parts, size = [], 0
         if parts:
-            yield from rows()
-
-    return docs.where(~F.col("held_out")).select("text").mapInPandas(count, "a long, b long, hash long, n long")
+            yield rows()
 
-
-def class_matrix(pairs: DataFrame, assigned: np.ndarray) -> np.ndarray:
-    """n[c, d]: how often a token of class d follows one of class c. The driver gets one number a pair of classes."""
-
-    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            flat = np.bincount(assigned[batch["a"]] * TOTAL + assigned[batch["b"]], batch["n"], TOTAL * TOTAL)
-            at = flat.nonzero()[0]
-            yield pd.DataFrame({"at": at, "n": flat[at].astype(np.int64)})
-
-    return _matrix(pairs.mapInPandas(named, "at long, n long"))
+    return docs.where(~F.col("held_out")).select("text").mapInPandas(count, "a long, b long, hash long, rare boolean, n long")
 
 
 def _matrix(rows: DataFrame) -> np.ndarray:
@@ -188,56 +177,60 @@ def likelihood(matrix: np.ndarray) -> float:
     return part(matrix) - part(matrix.sum(0)) - part(matrix.sum(1))
 
 
-def exchange(pairs: DataFrame, clustered: int, rounds: int = ROUNDS) -> tuple[np.ndarray, list[float]]:
-    """The class table - the class of each clustered word, then of each shape class (its own) - and the likelihood of the class bigrams after each round.
+def exchange(pairs: DataFrame, clustered: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """The class table - the class of each clustered word, then of each shape class (its own) -, the class bigrams, and their likelihood after each round.
 
-    A round counts, in Spark, the classes before and after each word, and moves the word to the
-    class under which its occurrences are likeliest, given the class bigrams at the round's start.
-    Words move in turn (every second one at first), so that two neighbours don't swap for ever. If
-    a round lowers the likelihood, it is undone and half as many words move at a time. The driver
-    gets one number a clustered word.
+    A round counts, in Spark, the classes before and after each word, which gives the class bigrams
+    too, and moves the word to the class under which its occurrences are likeliest, given the class
+    bigrams. Words move in turn (every second one at first), so that two neighbours don't swap for
+    ever. If a round has lowered the likelihood, it is undone and half as many words move at a
+    time. The driver gets one number a clustered word and one a pair of classes.
     """
     assigned = np.concatenate([np.arange(clustered) % CLASSES, np.arange(TOTAL)])  # the commonest words seed the classes
-    matrix = class_matrix(pairs, assigned)
-    history, turns, still = [likelihood(matrix)], 2, 0
-    for turn in range(rounds):
-        tokens_of, log = np.log(matrix.sum(0) + 1), np.log(matrix + 0.5)
+    best, turns = None, 2
+    history: list[float] = []
+    for turn in range(rounds + 1):
 
-        def around(batches: Iterator[pd.DataFrame], assigned=assigned, turn=turn, turns=turns) -> Iterator[pd.DataFrame]:
+        def around(batches: Iterator[pd.DataFrame], assigned=assigned) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 a, b, n = (batch[c].to_numpy() for c in ("a", "b", "n"))
                 keys = np.concatenate([a * 2 * TOTAL + assigned[b], b * 2 * TOTAL + TOTAL + assigned[a]])
                 keys, at = np.unique(keys, return_inverse=True)
-                rows = pd.DataFrame({"w": keys // (2 * TOTAL), "c": keys % (2 * TOTAL), "n": np.bincount(at, np.concatenate([n, n])).astype(np.int64)})
-                yield rows[(rows["w"] < clustered) & (rows["w"] % turns == turn % turns)]
+                yield pd.DataFrame({"w": keys // (2 * TOTAL), "c": keys % (2 * TOTAL), "n": np.bincount(at, np.concatenate([n, n])).astype(np.int64)})
+
+        def named(batches: Iterator[pd.DataFrame], assigned=assigned) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({"at": assigned[batch["w"]] * TOTAL + batch["c"], "n": batch["n"]})
 
-        def best(batches: Iterator[pd.DataFrame], log=log, tokens_of=tokens_of) -> Iterator[pd.DataFrame]:
+        # at most 2 * TOTAL entries a word
+        seen = written(pairs.mapInPandas(around, "w long, c long, n long").groupBy("w", "c").agg(F.sum("n").alias("n")))
+        matrix = _matrix(seen.where(F.col("c") < TOTAL).mapInPandas(named, "at long, n long"))
+        if not history or likelihood(matrix) > history[-1]:
+            best = assigned, matrix, seen
+            history.append(likelihood(matrix))
+        else:
+            assigned, matrix, seen = best
+            turns *= 2
+        if turn == rounds:
+            break
+        log, tokens_of = np.log(matrix + 0.5), np.log(matrix.sum(0) + 1)
+
+        def move(batches: Iterator[pd.DataFrame], log=log, tokens_of=tokens_of) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                seen = np.zeros((len(batch), 2 * TOTAL))
-                for i, entries in enumerate(batch["seen"]):
-                    for e in entries:
-                        seen[i, e["c"]] = e["n"]
-                after, before = seen[:, :TOTAL], seen[:, TOTAL:]
+                counts = np.zeros((len(batch), 2 * TOTAL))
+                of = np.repeat(np.arange(len(batch)), batch["seen"].map(len))
+                entries = [(e["c"], e["n"]) for row in batch["seen"] for e in row]
+                counts[of, [c for c, _ in entries]] = [n for _, n in entries]
+                after, before = counts[:, :TOTAL], counts[:, TOTAL:]
                 gain = after @ log.T + before @ log - 2 * after.sum(1)[:, None] * tokens_of[None, :]
                 yield pd.DataFrame({"w": batch["w"], "k": gain[:, :CLASSES].argmax(1)})
 
-        # at most 2 * TOTAL entries a word
-        seen = pairs.mapInPandas(around, "w long, c long, n long").groupBy("w", "c").agg(F.sum("n").alias("n")).groupBy("w").agg(F.collect_list(F.struct("c", "n")).alias("seen"))
+        mine = seen.where((F.col("w") < clustered) & (F.col("w") % turns == turn % turns)).groupBy("w").agg(F.collect_list(F.struct("c", "n")).alias("seen"))
         now = assigned.copy()
-        for r in seen.mapInPandas(best, "w long, k long").collect():
+        for r in mine.mapInPandas(move, "w long, k long").collect():
             now[r["w"]] = r["k"]
-        if (now == assigned).all():
-            still += 1
-            if still == turns:
-                break
-            continue
-        moved = class_matrix(pairs, now)
-        if likelihood(moved) > history[-1]:
-            assigned, matrix, still = now, moved, 0
-            history.append(likelihood(moved))
-        else:
-            turns *= 2
-    return assigned, history
+        assigned = now
+    return best[0], best[1], history
 
 
 def commonest(words: DataFrame, most: int) -> DataFrame:
@@ -293,12 +286,11 @@ def learn(docs: DataFrame, resolved: int = RESOLVED) -> dict:
     lexicon = Lexicon(top["hash"].to_numpy(np.int64), top["n"].to_numpy(np.int64), top["shape"].to_numpy(np.int64))
     shared = spark.sparkContext.broadcast(lexicon)
     found = written(bigrams(docs, shared))
-    pairs = written(found.where("hash is null").groupBy("a", "b").agg(F.sum("n").alias("n")))
-    batch_rows(spark, NUMBER_BATCH)
-    assigned, history = exchange(pairs, len(top))
-    matrix = class_matrix(pairs, assigned)
-    words = written(classified(found.where("hash is not null"), assigned, matrix, len(top)))
-    matrix += _matrix(words.select("k", F.explode("seen").alias("s")).select((F.col("s.h") * TOTAL + F.col("k")).alias("at"), F.col("s.n").alias("n")))
+    batch_rows(spark, 4 * NUMBER_BATCH)
+    pairs = written(found.where("not rare").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    assigned, matrix, history = exchange(pairs, len(top))
+    words = written(classified(found.where("rare"), assigned, matrix, len(top)))
+    matrix = matrix + _matrix(words.select("k", F.explode("seen").alias("s")).select((F.col("s.h") * TOTAL + F.col("k")).alias("at"), F.col("s.n").alias("n")))
     n_of, v_of = (np.bincount(assigned[: len(top)], x, TOTAL).astype(float) for x in (lexicon.counts, np.ones(len(top))))
     for r in words.groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         n_of[r["k"]] += r["n"]
@@ -320,7 +312,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         lex = lexicon.value
         end, plus_one = assigned[lex.narrow(lex.codes([END]))], np.log10(lex.counts + 1.0)
         for batch in batches:
-            whole, rare = [], []
+            whole, rare, hashes = [], [], []
             for row, text in zip(batch["_row"].tolist(), batch["text"]):
                 words = tokens(text)
                 codes = lex.codes(words)
@@ -330,9 +322,13 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 moves = (follow[before[known], cls[known]] - mass[cls[known]]).sum()
                 # what rare words add to both sums follows from their counts and classes, below
                 whole.append((0, row, row, 0, 0, len(words), int(known.sum()), counts - floor * len(words), moves + counts))
-                own, ahead = cls.tolist(), before.tolist()
-                rare += [(1, row, _hash(w), h, s, n, 0, 0.0, 0.0) for (w, h, s), n in Counter((words[i], ahead[i], own[i]) for i in np.nonzero(~known)[0].tolist()).items()]
-            yield pd.DataFrame(whole + rare, columns=columns)
+                at = np.nonzero(~known)[0]
+                rare.append((np.full(len(at), row), before[at], cls[at]))
+                hashes += [_hash(words[i]) for i in at.tolist()]
+            yield pd.DataFrame(whole, columns=columns)
+            if hashes:
+                rows, ahead, own = map(np.concatenate, zip(*rare))
+                yield pd.DataFrame({"kind": 1, "_row": rows, "hash": np.array(hashes, np.int64), "h": ahead, "shape": own, "tf": 1, "known": 0, "base": 0.0, "score": 0.0})
 
     parts = docs.select("_row", "text").mapInPandas(run, "kind int, _row long, hash long, h int, shape int, tf long, known long, base double, score double")
     met = parts.join(model["words"].select(F.lit(1).alias("kind"), "hash", "n", "k"), ["kind", "hash"], "left")
