@@ -1,7 +1,9 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The model file is compiled once on the driver into three parts: the normaliser (a leading space,
-spaces as word marks), the piece arcs, and byte arcs for characters without a piece. Composing
+The model file is compiled once on the driver into three parts: the normaliser (replacements of
+character sequences, longest first; squeezed and edge spaces; a leading space; spaces as word
+marks), the piece arcs, and byte arcs for characters without a piece. User-defined pieces are
+never normalised or divided: the text between them is a lattice of its own. Composing
 them with a text gives a lattice whose states are (position, last piece); the encoding is its
 shortest path in the tropical semiring (min, +).
 
@@ -48,8 +50,65 @@ def default_model() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+class Normaliser:
+    """Rewrites a text by the longest sequence that a model's table of replacements has at each place.
+
+    The table is a double array: a unit has its label in the low byte, a flag for an end, and how
+    far its children lie off; an end's child holds the place of the replacement, which a zero byte
+    ends.
+    """
+
+    def __init__(self, table: bytes, squeeze: bool, kept: list[str]):
+        size = int.from_bytes(table[:4], "little") if table else 0
+        self.units, self.strings = np.frombuffer(table[4 : 4 + size], "<u4").tolist(), table[4 + size :]
+        self.squeeze = squeeze
+        self.kept = re.compile("|".join(map(re.escape, sorted(kept, key=len, reverse=True)))) if kept else None
+
+    def _longest(self, data: bytes, at: int) -> tuple[int, int]:
+        """(length, place of the replacement) of the longest sequence at a place; length 0 if there is none."""
+        units, best = self.units, (0, 0)
+        offset = lambda u: (u >> 10) << ((u & 512) >> 6)
+        node = offset(units[0])
+        for i in range(at, len(data)):
+            node ^= data[i]
+            unit = units[node]
+            if unit & 0x800000FF != data[i]:
+                break
+            node ^= offset(unit)
+            if unit >> 8 & 1:
+                best = i + 1 - at, units[node] & 0x7FFFFFFF
+        return best
+
+    def _rewritten(self, text: str) -> str:
+        if not self.units:
+            return text
+        data, out, at = text.encode("utf-8", "replace"), [], 0
+        while at < len(data):
+            length, place = self._longest(data, at)
+            if length:
+                out.append(self.strings[place : self.strings.index(b"\0", place)])
+            else:
+                length = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
+                out.append(data[at : at + length])
+            at += length
+        return b"".join(out).decode("utf-8", "replace")
+
+    def __call__(self, text: str) -> str:
+        if self.kept:
+            parts, at = [], 0
+            for m in self.kept.finditer(text):
+                parts += [self._rewritten(text[at : m.start()]), m.group()]
+                at = m.end()
+            text = "".join([*parts, self._rewritten(text[at:])])
+        else:
+            text = self._rewritten(text)
+        return re.sub(" +", " ", text).strip(" ") if self.squeeze else text
+
+
 class Transducer:
-    def __init__(self, pieces: dict[str, int], scores: list[float], byte_ids: list[int], texts: list[bytes | None], merging: bool, prefix: bool, unknown: int):
+    def __init__(self, pieces: dict[str, int], scores: list[float], byte_ids: list[int], texts: list[bytes | None], merging: bool, prefix: bool, unknown: int, normaliser: Normaliser | None = None, own: dict[str, int] | None = None):
+        self.normaliser, self.own = normaliser, own or {}
+        self.own_cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.own, key=len, reverse=True))) + ")") if self.own else None
         self.pieces, self.scores, self.byte_ids, self.texts = pieces, scores, byte_ids, texts
         self.merging, self.prefix, self.unknown = merging, prefix, unknown
         self.prefixes = {p[:i]: -1 for p in pieces for i in range(1, len(p))} | pieces  # beginnings of pieces, -1 if they are none themselves
@@ -67,16 +126,16 @@ class Transducer:
 
     @classmethod
     def compile(cls, path: str) -> Transducer:
-        """From a SentencePiece model file with an identity normaliser."""
+        """From a SentencePiece model file."""
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
         kinds, spec = model.SentencePiece, model.normalizer_spec
-        if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
-            raise ValueError("the normaliser must be the identity and keep all spaces")
-        pieces, byte_ids, texts, unknown = {}, [0] * 256, [], 0
+        if not spec.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("spaces must be word marks at the beginning of words")
+        pieces, byte_ids, texts, unknown, own = {}, [0] * 256, [], 0, {}
         for i, p in enumerate(model.pieces):
             text = None
             if p.type == kinds.NORMAL:
@@ -85,11 +144,15 @@ class Transducer:
             elif p.type == kinds.BYTE:
                 byte_ids[int(p.piece[3:5], 16)] = i
                 text = bytes([int(p.piece[3:5], 16)])
+            elif p.type == kinds.USER_DEFINED:
+                own[p.piece.replace(MARK, " ")] = i
+                text = p.piece.replace(MARK, " ").encode()
             elif p.type == kinds.UNKNOWN:
                 unknown = i
             texts.append(text)
         merging = model.trainer_spec.model_type == model.trainer_spec.BPE
-        return cls(pieces, [p.score for p in model.pieces], byte_ids if model.trainer_spec.byte_fallback else [], texts, merging, spec.add_dummy_prefix, unknown)
+        normaliser = Normaliser(spec.precompiled_charsmap, spec.remove_extra_whitespaces, list(own)) if spec.precompiled_charsmap or spec.remove_extra_whitespaces else None
+        return cls(pieces, [p.score for p in model.pieces], byte_ids if model.trainer_spec.byte_fallback else [], texts, merging, spec.add_dummy_prefix, unknown, normaliser, own)
 
     # ---- weights
 
@@ -192,10 +255,19 @@ class Transducer:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
+        text = self.normaliser(text) if self.normaliser else text
+        text = text.replace(MARK, " ")
+        text = text.rstrip(" ") if self.normaliser and self.normaliser.squeeze else text
         if not text:
             return np.empty(0, np.dtype("<i4"))
-        text = text.replace(MARK, " ")
         text = " " + text if self.prefix else text
+        if self.own_cuts:
+            parts = [np.array([self.own[x]], np.dtype("<i4")) if i % 2 else self._lattice(x) for i, x in enumerate(self.own_cuts.split(text)) if x]
+            return np.concatenate(parts)
+        return self._lattice(text)
+
+    def _lattice(self, text: str) -> np.ndarray:
+        """Ids of a text without user-defined pieces."""
         cuts = _WHOLE if self.loose else _CUTS
         units = cuts.findall(text)
         got = list(map(self._parts.get, units))

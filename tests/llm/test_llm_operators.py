@@ -512,6 +512,31 @@ def test_sentencepiece(docs, none):
     assert all(r.text == r.back for r in back)
 
 
+def test_sentencepiece_normaliser_and_own_pieces(tmp_path):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    texts = ["  a  b ", "", "   ", "ﬁne ①② Ｆｕｌｌ　ｗｉｄｔｈ", "e\u0301te\u0301 A\u030a", "a\tb\nc\u200bd", "가각 한글", "x [SEP]  [SEP]y [SEP", "<a><ab>ﬁ", "▁ ▁x▁", "x ▁ ", "日本語 🙂", "½ ℃ ™ …", *(t for _, t in TEXTS if t and len(t) < 2000)]
+    for rule in ("identity", "nfkc", "nmt_nfkc", "nmt_nfkc_cf"):
+        for squeeze in (True, False):
+            for own in ([], ["[SEP]", "<a>", "<ab>"]):
+                model = pb.ModelProto()
+                with open(sentencepiece_fst.default_model(), "rb") as f:
+                    model.ParseFromString(f.read())
+                got = pb.ModelProto()
+                got.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+                model.normalizer_spec.precompiled_charsmap = got.normalizer_spec.precompiled_charsmap
+                model.normalizer_spec.remove_extra_whitespaces = squeeze
+                for k, piece in enumerate(own):
+                    model.pieces[500 + k].piece, model.pieces[500 + k].type = piece, model.SentencePiece.USER_DEFINED
+                path = f"{tmp_path}/{rule}{squeeze}{len(own)}.model"
+                with open(path, "wb") as f:
+                    f.write(model.SerializeToString())
+                lib, fst = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_fst.Transducer.compile(path)
+                for t in texts:
+                    assert fst.encode(t).tolist() == lib.encode(t), (rule, squeeze, own, t[:60])
+
+
 def test_unigram_path_is_the_best():
     pieces = {" ": 0, "a": 1, "b": 2, " a": 3, "ab": 4, "b ": 5, " ab": 6}
     scores = [-3.0, -3.0, -3.0, -4.0, -2.5, -4.0, -9.0]
