@@ -27,7 +27,7 @@ def texts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def structure(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_bullets, n_numbered, n_paragraphs, n_words): a paragraph is a run of lines that aren't blank."""
+    """(doc_id, n_lines, n_bullets, n_numbered, n_paragraphs): a paragraph is a run of lines that aren't blank."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     filled = F.transform(lines, lambda x: (F.length(F.trim(x)) > 0).cast("int"))
     split = docs.select("doc_id", "text", lines.alias("lines"), filled.alias("filled"))
@@ -40,9 +40,15 @@ def structure(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Buckets of keys at most; their counts are what one task orders.
+BUCKETS = 100_000
+
+
 def row_chunks(df: DataFrame, key: str, size: int) -> DataFrame:
-    """df with chunk: blocks of so many rows in order of an integer key. Row numbers are running sums over key buckets, so no task holds all rows."""
-    bucketed = df.withColumn("_bucket", F.floor(F.col(key) / 10_000))
+    """df with chunk: blocks of so many rows in order of an integer key. Row numbers are running sums over key buckets, so no task holds all rows, and the buckets' number doesn't grow with the table."""
+    ends = df.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+    width = max(10_000, -(-((ends["high"] or 0) - (ends["low"] or 0) + 1) // BUCKETS))
+    bucketed = df.withColumn("_bucket", F.floor((F.col(key) - (ends["low"] or 0)) / width))
     counts = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     ahead = counts.select("_bucket", F.coalesce(F.sum("_n").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
     number = F.row_number().over(W.partitionBy("_bucket").orderBy(key)) - 1
