@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from gleaner.jobs import knowledge
-from gleaner.operators import insight, relations, sparse
+from gleaner.operators import insight, relations, rerank, sparse
 from gleaner.sources import index
 
 DATA = "/root/testdata/sf0.001"
@@ -75,3 +75,10 @@ def test_stored_indexes(spark, tmp_path):
     assert nodes.count() == edges.count() == 3
     vectors = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "id long, v array<double>")
     assert [tuple(r) for r in index.statistics(spark, index.write_embeddings(vectors, "id", "v", f"{tmp_path}/e")).collect()] == [(1, 1, 2)]
+
+
+def test_multihop_follows_names(spark):
+    docs = [(1, "where apples grow near Granville"), (2, "Granville has orchards"), (3, "nothing of it"), (4, "other words here"), (5, "and some more")]
+    q = spark.createDataFrame([(0, "apples"), (1, "absent")], "qid long, query string")
+    got = {(r.qid, r.doc_id): r.hop for r in rerank.multihop(spark.createDataFrame(docs, "doc_id long, text string"), q, hops=2, k=3).collect()}
+    assert got == {(0, 1): 1, (0, 2): 2}
