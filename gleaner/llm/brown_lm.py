@@ -192,11 +192,22 @@ def exchange(pairs: DataFrame, clustered: int, rounds: int = ROUNDS) -> tuple[np
     for turn in range(rounds + 1):
 
         def around(batches: Iterator[pd.DataFrame], assigned=assigned) -> Iterator[pd.DataFrame]:
+            held, size = [], 0
+
+            def rows() -> pd.DataFrame:
+                keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+                return pd.DataFrame({"w": keys // (2 * TOTAL), "c": keys % (2 * TOTAL), "n": n})
+
             for batch in batches:
                 a, b, n = (batch[c].to_numpy() for c in ("a", "b", "n"))
-                keys = np.concatenate([a * 2 * TOTAL + assigned[b], b * 2 * TOTAL + TOTAL + assigned[a]])
-                keys, at = np.unique(keys, return_inverse=True)
-                yield pd.DataFrame({"w": keys // (2 * TOTAL), "c": keys % (2 * TOTAL), "n": np.bincount(at, np.concatenate([n, n])).astype(np.int64)})
+                held.append((np.concatenate([a * 2 * TOTAL + assigned[b], b * 2 * TOTAL + TOTAL + assigned[a]]), np.concatenate([n, n])))
+                size += 2 * len(n)
+                if size > 4 * MERGED:
+                    yield rows()
+                    held, size = [], 0
+            if held:
+                yield rows()
 
         def named(batches: Iterator[pd.DataFrame], assigned=assigned) -> Iterator[pd.DataFrame]:
             for batch in batches:
