@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import ann, brown_lm, license_scan, mixing, quality, sentencepiece_fst, simhash, suffix_dedup, url_filter, warc
+from gleaner.llm import ann, brown_lm, decontaminate, filter_audit, license_scan, mixing, quality, sentencepiece_fst, simhash, suffix_dedup, url_filter, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_warc_index": warc.op8_warc_index,
         "op9_brown_lm": brown_lm.op9_brown_lm,
         "op10_sentencepiece": sentencepiece_fst.op10_sentencepiece,
+        "op11_decontaminate": decontaminate.op11_decontaminate,
+        "op12_filter_audit": filter_audit.op12_filter_audit,
     }
 
 
@@ -27,4 +29,6 @@ def oracle_sql() -> dict:
         "op4_source_mix": mixing.oracle(),
         "op6_url_filter": url_filter.oracle(),
         "op8_warc_index": warc.oracle(),
+        "op11_decontaminate": decontaminate.oracle(),
+        "op12_filter_audit": filter_audit.oracle(),
     }
