@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import ann, brown_lm, decontaminate, filter_audit, license_scan, mixing, quality, sentencepiece_fst, simhash, suffix_dedup, url_filter, warc
+from gleaner.llm import ann, brown_lm, conversation_repair, decontaminate, filter_audit, license_scan, mixing, quality, sentencepiece_fst, simhash, suffix_dedup, url_filter, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_sentencepiece": sentencepiece_fst.op10_sentencepiece,
         "op11_decontaminate": decontaminate.op11_decontaminate,
         "op12_filter_audit": filter_audit.op12_filter_audit,
+        "op13_conversation_repair": conversation_repair.op13_conversation_repair,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict:
         "op8_warc_index": warc.oracle(),
         "op11_decontaminate": decontaminate.oracle(),
         "op12_filter_audit": filter_audit.oracle(),
+        "op13_conversation_repair": conversation_repair.oracle(),
     }
