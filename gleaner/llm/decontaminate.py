@@ -1,8 +1,8 @@
 """Benchmark decontamination through a positional inverted index.
 
-The training texts' words are stored once as postings (term, row, pos): a segment a task, sorted
-by term, so a search for a few terms passes over the row groups without them, no common term meets
-in one task, and building needs no shuffle. A search takes the benchmark's windows of words.
+The training texts' words are stored once as postings (hash, term, row, pos): a segment a task, sorted
+by the term's hash, so a search for a few terms passes over the row groups without them, no common
+term meets in one task, and building needs no shuffle. A search takes the benchmark's windows of words.
 The KEYS rarest terms of each window are looked up first; their lists, each shifted by the
 term's offset in the item, are intersected on (row, item, diagonal). Only the places that are left
 ask for the window's other terms at exactly their positions. Runs of neighbouring offsets found on a
@@ -35,7 +35,7 @@ BROADCAST_ROWS = 500_000
 
 @dataclass(frozen=True)
 class Index:
-    """A stored index: postings (term, row, pos) and documents (row, doc_id, n_words)."""
+    """A stored index: postings (hash, term, row, pos) and documents (row, doc_id, n_words)."""
 
     postings: DataFrame
     docs: DataFrame
@@ -50,7 +50,8 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folde
     """Writes the index of docs to a folder (a new one in the shared storage, if none is given)."""
     folder = folder or f"{shared_dir(docs.sparkSession)}/index-{uuid.uuid4().hex}"
     words = with_row(docs.select(F.col(id_col).alias("doc_id"), letter_words(F.col(text_col)).alias("words")), "row")
-    words.select("row", F.posexplode("words").alias("pos", "term")).select("term", "row", "pos").sortWithinPartitions("term", "row", "pos").write.parquet(f"{folder}/postings")
+    each = words.select("row", F.posexplode("words").alias("pos", "term")).select(F.xxhash64("term").alias("hash"), "term", "row", "pos")
+    each.sortWithinPartitions("hash").write.parquet(f"{folder}/postings")
     words.select("row", "doc_id", F.size("words").cast("long").alias("n_words")).write.parquet(f"{folder}/docs")
     return load(docs.sparkSession, folder)
 
@@ -79,25 +80,25 @@ def windows(index: Index, terms: DataFrame) -> DataFrame:
 
 def _lists(index: Index, keys: DataFrame) -> DataFrame:
     """(row, term, pos) of the rarest terms."""
-    return cut(index.postings.join(_small(keys.select("term").distinct()), "term", "left_semi"))
+    return cut(index.postings.join(_small(keys.select("term").distinct()), "term", "left_semi").select("row", "term", "pos"))
 
 
 def phrases(index: Index, found: DataFrame, keys: DataFrame, lists: DataFrame) -> DataFrame:
     """(row, item, low, high): stretches of words in a row that windows of an item cover."""
-    shifted = lists.join(_small(keys.select("item", "offset", "term").distinct()), "term").select("row", "item", (F.col("pos") - F.col("offset")).alias("diagonal"), "offset")
-    needed = keys.groupBy("item", "start").agg(F.count("*").alias("n"))
-    fewest = needed.groupBy("item").agg(F.min("n").alias("fewest"))
-    met = shifted.groupBy("row", "item", "diagonal").agg(F.collect_set("offset").alias("offsets")).join(_small(fewest), "item").where(F.size("offsets") >= F.col("fewest"))
-    in_window = keys.join(needed, ["item", "start"]).select("item", "start", "offset", "n")
-    places = met.select("row", "item", "diagonal", F.explode("offsets").alias("offset")).join(_small(in_window), ["item", "offset"])
-    places = cut(places.groupBy("row", "item", "diagonal", "start", "n").agg(F.count("*").alias("hit")).where("hit = n").select("row", "item", "diagonal", "start"))
-    asked = places.join(_small(found.select("item", "start", "offset", "term")), ["item", "start"]).select("row", "item", "diagonal", "offset", "term", (F.col("diagonal") + F.col("offset")).alias("pos")).distinct()
+    keyed = _small(keys.select("item", "offset", "term").distinct())
+    # dealt by row, what follows stays where it is
+    shifted = lists.repartition("row").join(keyed, "term").select("row", "item", (F.col("pos") - F.col("offset")).alias("diagonal"), "offset")
+    fewest = keys.groupBy("item", "start", "span").agg(F.count("*").alias("n")).groupBy("item", "span").agg(F.min("n").alias("fewest"))
+    met = shifted.groupBy("row", "item", "diagonal").agg(F.count("*").alias("n"), F.min("offset").alias("first"), F.max("offset").alias("last"))
+    places = cut(met.join(_small(fewest), "item").where("n >= fewest").select("row", "item", "diagonal", (F.col("first") - F.col("span") + 1).alias("first"), (F.col("last") + F.col("span") - 1).alias("last")))
+    words = _small(found.select("item", "offset", "term").distinct())
+    asked = places.join(words, "item").where("offset between first and last").select("row", "item", "diagonal", "offset", "term", (F.col("diagonal") + F.col("offset")).alias("pos"))
     # of the postings, only those of the items' terms in rows with a place are moved
-    near = index.postings.join(_small(found.select("term").distinct()), "term", "left_semi").join(_small(places.select("row").distinct()), "row", "left_semi")
+    near = index.postings.join(_small(found.select("term").distinct()), "term", "left_semi").join(_small(places.select("row").distinct()), "row", "left_semi").select("row", "term", "pos")
     matched = asked.join(near, ["row", "term", "pos"]).select("row", "item", "diagonal", "offset")
     line = W.partitionBy("row", "item", "diagonal").orderBy("offset")
     runs = matched.withColumn("run", F.col("offset") - F.row_number().over(line)).groupBy("row", "item", "diagonal", "run").agg(F.min("offset").alias("a"), F.max("offset").alias("b"))
-    spans = found.groupBy("item").agg(F.max("span").alias("span"))
+    spans = found.select("item", "span").distinct()
     return runs.join(_small(spans), "item").where("b - a + 1 >= span").select("row", "item", (F.col("diagonal") + F.col("a")).alias("low"), (F.col("diagonal") + F.col("b")).alias("high"))
 
 
@@ -105,9 +106,12 @@ def proximities(keys: DataFrame, lists: DataFrame, span: int = SPAN) -> DataFram
     """(row, item) where the rarest terms of one of the item's windows stand within so many words, in any order."""
     sets = keys.groupBy("item", "start").agg(F.array_sort(F.collect_list("term")).alias("terms")).select("item", "terms").distinct()
     bits = sets.select("item", F.xxhash64("item", "terms").alias("set"), F.size("terms").alias("n"), F.posexplode("terms").alias("bit", "term"))
-    hits = lists.join(_small(bits), "term").select("row", "item", "set", "n", "pos", F.expr("shiftleft(1, bit)").alias("mask"))
+    hits = lists.repartition("row").join(_small(bits), "term").select("row", "item", "set", "n", "pos", F.expr("shiftleft(1, bit)").alias("mask"))
+    # only rows with all of a set's terms anywhere are looked at place by place
+    whole = hits.groupBy("row", "set", "n").agg(F.bit_or("mask").alias("seen")).where(F.bit_count("seen") == F.col("n")).select("row", "set")
     over = W.partitionBy("row", "item", "set").orderBy("pos").rangeBetween(0, span - 1)
-    return hits.withColumn("seen", F.bit_or("mask").over(over)).where(F.bit_count("seen") == F.col("n")).select("row", "item").distinct()
+    close = hits.join(whole, ["row", "set"], "left_semi").withColumn("seen", F.bit_or("mask").over(over))
+    return close.where(F.bit_count("seen") == F.col("n")).select("row", "item").distinct()
 
 
 def matches(index: Index, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, n_keys: int = KEYS, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
