@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import preview, tokens
 from gleaner.operators import dense, fusion, rerank, sparse
+from gleaner.sources import keyword_index, vector_index
 
 #: Queries up to this many rows are broadcast.
 BROADCAST_QUERIES = 10_000
@@ -160,6 +161,43 @@ def _signal_statistics(s, d):
     return x.agg(F.array(*parts).alias("p")).select(F.inline("p"))
 
 
+def _bm25_stored(s, d):
+    return keyword_index.search(s, keyword_index.put(_documents(s, d)), benchmark_queries(s, d), 10)
+
+
+def _bm25_changed(s, d):
+    """An index of all documents, from which those labelled toxic are deleted and in which the good ones are replaced by their text after their source's name; compacted in between."""
+    docs, labels = _t(s, d, "documents"), _t(s, d, "labels")
+    path = keyword_index.put(docs)
+    keyword_index.delete(s, path, labels.where("toxic = 1"))
+    keyword_index.compact(s, path)
+    good = docs.join(labels.where("quality = 1 and toxic = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    keyword_index.put(good.select("doc_id", F.concat_ws(" ", "source", "text").alias("text")), path)
+    return keyword_index.search(s, path, benchmark_queries(s, d), 10)
+
+
+def _vector_rows(s, d):
+    return _t(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
+def _ivf(s, d):
+    """Every vector whose id is divisible by 50 searches two thirds of the cells, as these data's directions have no structure."""
+    rows = _vector_rows(s, d)
+    path = vector_index.build(rows)
+    cells = vector_index.Reader(s, path).model.centres.shape[0]
+    return vector_index.search(s, path, vector_queries(s, d), 10, probe=-(-2 * cells // 3), shortlist=100)
+
+
+def _vector_changes(s, d):
+    """What an index of all vectors holds after those of label 0 are deleted, those of label 1 halved, and both are compacted."""
+    e = _t(s, d, "embeddings")
+    path = vector_index.build(_vector_rows(s, d))
+    vector_index.delete(s, path, e.where("label = 0"), "vec_id")
+    vector_index.put(e.where("label = 1").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x / 2).alias("v")), path)
+    vector_index.compact(s, path)
+    return vector_index.Reader(s, path).vectors().select("id", F.size("v").cast("long").alias("dimension"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"))
+
+
 _TFIDF = f"""WITH {_BASE},
 e AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
 i AS (SELECT term, ln((1 + (SELECT n FROM st)) / (1 + count(*))) + 1 AS idf FROM e GROUP BY term),
@@ -176,6 +214,10 @@ c AS (SELECT b.*, list_distinct(string_split(query, ' ')) AS qw, len(list_inters
 
 QUERIES = {
     "bm25_batch": lambda s, d: _best(s, d, 10),
+    "bm25_stored": _bm25_stored,
+    "bm25_stored_changes": _bm25_changed,
+    "ivf_search": _ivf,
+    "vector_index_changes": _vector_changes,
     "bm25_topk": lambda s, d: sparse.bm25_all(_documents(s, d), *_indexed(s, d), 10),
     "tfidf_topk": lambda s, d: sparse.top(sparse.tfidf(_documents(s, d), sparse.query_terms(benchmark_queries(s, d))), 10),
     "term_importance": lambda s, d: sparse.bm25_contributions(*_indexed(s, d)).select("term", F.round("idf", 6).alias("idf")).distinct(),
@@ -209,6 +251,9 @@ sc AS (SELECT *, round(least(1.0::DOUBLE, 0.25::DOUBLE * greatest(0.0::DOUBLE, b
 
 ORACLE = {
     "bm25_batch": f"WITH {_BASE} SELECT * FROM {_ranked('bm', 10)}",
+    "bm25_stored": f"WITH {_BASE} SELECT * FROM {_ranked('bm', 10)}",
+    "bm25_stored_changes": f"WITH now AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) THEN concat_ws(' ', source, text) ELSE text END AS text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), {_BASE.replace('FROM documents', 'FROM now')} SELECT * FROM {_ranked('bm', 10)}",
+    "vector_index_changes": "SELECT vec_id AS id, len(embedding)::BIGINT AS dimension, round(CASE WHEN label = 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END * list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total FROM embeddings WHERE label <> 0",
     "bm25_topk": f"""WITH {_BASE},
 al AS (SELECT q.qid, d.doc_id, coalesce(score, 0.0) AS score FROM qs q, d LEFT JOIN bm ON bm.qid = q.qid AND bm.doc_id = d.doc_id)
 SELECT * FROM {_ranked('al', 10)}""",
