@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +39,10 @@ from gleaner.llm.common import NUMBER_BATCH, TEXT_BATCH, batch_rows, cut, table,
 
 _TO_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 #: Words that travel with the tasks and are clustered in rounds; times that a clustered word must be seen; classes; shape classes; rounds of exchange.
-RESOLVED, LEAST_SEEN, CLASSES, SHAPES, ROUNDS = 65_536, 3, 64, 32, 4
+RESOLVED, LEAST_SEEN, CLASSES, SHAPES, ROUNDS = 65_536, 3, 64, 32, 8
 TOTAL = CLASSES + SHAPES
+#: Lists of neighbours that a task looks at together.
+LISTS_BATCH = 1000
 #: Entries that a task merges before it hands them on.
 MERGED = 500_000
 #: Weight of the class unigram in the smoothed class bigram.
@@ -177,68 +180,72 @@ def likelihood(matrix: np.ndarray) -> float:
     return part(matrix) - part(matrix.sum(0)) - part(matrix.sum(1))
 
 
+def neighbours(pairs: DataFrame) -> DataFrame:
+    """(w, others, counts): of each entry of the class table what stands next to it, written once for all rounds; others holds 2 b for b after it and 2 a + 1 for a before it.
+
+    A list has at most two entries for each of the table's.
+    """
+    both = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("w"), (2 * F.col("b")).alias("other"), "n"), F.struct(F.col("b").alias("w"), (2 * F.col("a") + 1).alias("other"), "n"))))
+    listed = both.groupBy("w").agg(F.collect_list(F.struct("other", "n")).alias("seen"))
+    return written(listed.select("w", F.col("seen.other").alias("others"), F.col("seen.n").alias("counts")))
+
+
+def _by_class(batch: pa.RecordBatch, assigned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a batch of neighbours() the words, and a row for each: counts of the classes after it, then of those before it."""
+    w, others, counts = (batch.column(c) for c in ("w", "others", "counts"))
+    of = np.repeat(np.arange(len(w)), np.diff(others.offsets.to_numpy()))
+    other = others.flatten().to_numpy()
+    at = of * 2 * TOTAL + assigned[other >> 1] + TOTAL * (other & 1)
+    return w.to_numpy(), np.bincount(at, counts.flatten().to_numpy(), len(w) * 2 * TOTAL).reshape(len(w), 2 * TOTAL)
+
+
 def exchange(pairs: DataFrame, clustered: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """The class table - the class of each clustered word, then of each shape class (its own) -, the class bigrams, and their likelihood after each round.
 
-    A round counts, in Spark, the classes before and after each word, which gives the class bigrams
-    too, and moves the word to the class under which its occurrences are likeliest, given the class
-    bigrams. Words move in turn (every second one at first), so that two neighbours don't swap for
-    ever. If a round has lowered the likelihood, it is undone and half as many words move at a
-    time. The driver gets one number a clustered word and one a pair of classes.
+    A round counts, in Spark, the classes before and after each word and moves the word to the class
+    under which its occurrences are likeliest, given the class bigrams. Words move in turn (every
+    second one at first), so that two neighbours don't swap for ever. If a round has lowered the
+    likelihood, it is undone and half as many words move at a time. Rounds read the lists of neighbours
+    and shuffle nothing but sums. The driver gets one number a clustered word and one a pair of classes.
     """
+    spark = pairs.sparkSession
+    lists = neighbours(pairs)
+    batch_rows(spark, LISTS_BATCH)
     assigned = np.concatenate([np.arange(clustered) % CLASSES, np.arange(TOTAL)])  # the commonest words seed the classes
     best, turns = None, 2
     history: list[float] = []
     for turn in range(rounds + 1):
 
-        def around(batches: Iterator[pd.DataFrame], assigned=assigned) -> Iterator[pd.DataFrame]:
-            held, size = [], 0
-
-            def rows() -> pd.DataFrame:
-                keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
-                return pd.DataFrame({"w": keys // (2 * TOTAL), "c": keys % (2 * TOTAL), "n": n})
-
-            for batch in batches:
-                a, b, n = (batch[c].to_numpy() for c in ("a", "b", "n"))
-                held.append((np.concatenate([a * 2 * TOTAL + assigned[b], b * 2 * TOTAL + TOTAL + assigned[a]]), np.concatenate([n, n])))
-                size += 2 * len(n)
-                if size > 4 * MERGED:
-                    yield rows()
-                    held, size = [], 0
-            if held:
-                yield rows()
-
-        def named(batches: Iterator[pd.DataFrame], assigned=assigned) -> Iterator[pd.DataFrame]:
+        def summed(batches: Iterator[pa.RecordBatch], assigned=assigned) -> Iterator[pa.RecordBatch]:
+            matrix = np.zeros((TOTAL, TOTAL))
             for batch in batches:
-                yield pd.DataFrame({"at": assigned[batch["w"]] * TOTAL + batch["c"], "n": batch["n"]})
+                w, counts = _by_class(batch, assigned)
+                np.add.at(matrix, assigned[w], counts[:, :TOTAL])
+            at = np.nonzero(matrix.ravel())[0]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(matrix.ravel()[at].astype(np.int64))], ["at", "n"])
 
-        # at most 2 * TOTAL entries a word
-        seen = written(pairs.mapInPandas(around, "w long, c long, n long").groupBy("w", "c").agg(F.sum("n").alias("n")))
-        matrix = _matrix(seen.where(F.col("c") < TOTAL).mapInPandas(named, "at long, n long"))
+        matrix = _matrix(lists.mapInArrow(summed, "at long, n long"))
         if not history or likelihood(matrix) > history[-1]:
-            best = assigned, matrix, seen
+            best = assigned, matrix
             history.append(likelihood(matrix))
         else:
-            assigned, matrix, seen = best
+            assigned, matrix = best
             turns *= 2
         if turn == rounds:
             break
         log, tokens_of = np.log(matrix + 0.5), np.log(matrix.sum(0) + 1)
 
-        def move(batches: Iterator[pd.DataFrame], log=log, tokens_of=tokens_of) -> Iterator[pd.DataFrame]:
+        def move(batches: Iterator[pa.RecordBatch], assigned=assigned, log=log, tokens_of=tokens_of) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                counts = np.zeros((len(batch), 2 * TOTAL))
-                of = np.repeat(np.arange(len(batch)), batch["seen"].map(len))
-                entries = [(e["c"], e["n"]) for row in batch["seen"] for e in row]
-                counts[of, [c for c, _ in entries]] = [n for _, n in entries]
+                if not len(batch):
+                    continue
+                w, counts = _by_class(batch, assigned)
                 after, before = counts[:, :TOTAL], counts[:, TOTAL:]
                 gain = after @ log.T + before @ log - 2 * after.sum(1)[:, None] * tokens_of[None, :]
-                yield pd.DataFrame({"w": batch["w"], "k": gain[:, :CLASSES].argmax(1)})
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(gain[:, :CLASSES].argmax(1))], ["w", "k"])
 
-        mine = seen.where((F.col("w") < clustered) & (F.col("w") % turns == turn % turns)).groupBy("w").agg(F.collect_list(F.struct("c", "n")).alias("seen"))
         now = assigned.copy()
-        for r in mine.mapInPandas(move, "w long, k long").collect():
+        for r in lists.where((F.col("w") < clustered) & (F.col("w") % turns == turn % turns)).mapInArrow(move, "w long, k long").collect():
             now[r["w"]] = r["k"]
         assigned = now
     return best[0], best[1], history
@@ -300,6 +307,7 @@ def learn(docs: DataFrame, resolved: int = RESOLVED) -> dict:
     batch_rows(spark, 4 * NUMBER_BATCH)
     pairs = written(found.where("not rare").groupBy("a", "b").agg(F.sum("n").alias("n")))
     assigned, matrix, history = exchange(pairs, len(top))
+    batch_rows(spark, 4 * NUMBER_BATCH)
     words = written(classified(found.where("rare"), assigned, matrix, len(top)))
     matrix = matrix + _matrix(words.select("k", F.explode("seen").alias("s")).select((F.col("s.h") * TOTAL + F.col("k")).alias("at"), F.col("s.n").alias("n")))
     n_of, v_of = (np.bincount(assigned[: len(top)], x, TOTAL).astype(float) for x in (lexicon.counts, np.ones(len(top))))
