@@ -50,10 +50,10 @@ def _predicted(spark, d) -> DataFrame:
 
 
 def _cited(spark, d) -> DataFrame:
-    """Each benchmark item's text with marks of three documents, of which the last may be missing."""
+    """Each benchmark item's whole text with marks of three documents, of which the last may be missing."""
     mark = lambda c: F.concat(F.lit(" ["), c.cast("string"), F.lit("]"))
     i = F.col("item_id")
-    return _t(spark, d, "benchmark").select(i.alias("answer_id"), F.concat(F.substring("text", 1, 40), mark(i), mark(i), mark(i * 7), mark(i * 60)).alias("answer"))
+    return _t(spark, d, "benchmark").select(i.alias("answer_id"), F.concat("text", mark(i), mark(i), mark(i * 7), mark(i * 60)).alias("answer"))
 
 
 def _claims(spark, d):

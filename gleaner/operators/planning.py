@@ -50,3 +50,39 @@ def for_speed(planned: DataFrame) -> DataFrame:
     """The two fastest retrievers, smaller k, one hop at most."""
     cap = lambda c: F.least(F.col(c), F.lit(75))
     return planned.select("qid", cap("dense_k").alias("dense_k"), cap("bm25_k").alias("bm25_k"), F.lit(0).alias("graph_k"), F.least("hops", F.lit(1)).alias("hops"))
+
+
+#: Rounds of shrinking at most: by a fifth each, from 500 to ten.
+ROUNDS = 20
+
+
+def constrained(planned: DataFrame, seconds: float, most_k: int) -> DataFrame:
+    """(qid, dense_k, bm25_k, graph_k, hops, rerank, seconds, rounds, fits): plans within most_k results a retriever, shrunk until their estimate is within so many seconds.
+
+    A round takes a fifth off every retriever's results (ten stay), leaves out the slowest retriever while there
+    are several, a hop, and reranking. What is still too slow with ten results each doesn't fit. The rounds are a
+    fold over a constant number of steps inside the row.
+    """
+    slowest_first = sorted(PROFILES, key=lambda n: PROFILES[n][0])
+    ks = [f"{n}_k" for n in PROFILES]
+
+    def estimate(x: Column) -> Column:
+        total = sum((x[k] for k in ks), F.lit(0))
+        took = sum((x[f"{n}_k"] / 100 * (2 / p[0]) for n, p in PROFILES.items()), F.lit(0.0)) + F.when(x["rerank"], total / 200).otherwise(0.0)
+        return F.round(took * (1 + 0.5 * x["hops"]), 6)
+
+    def shrink(x: Column) -> Column:
+        used = sum(((x[k] > 0).cast("int") for k in ks), F.lit(0))
+        new, faster = {}, F.lit(True)
+        for n in slowest_first:
+            k = x[f"{n}_k"]
+            less = F.when(k > 10, F.greatest(F.lit(10), F.floor(k * 0.8))).otherwise(k)
+            new[f"{n}_k"] = F.when((used > 1) & (k > 0) & faster, F.lit(0)).otherwise(less).cast("long")
+            faster = faster & (k == 0)
+        return F.struct(*[new[k].alias(k) for k in ks], F.greatest(x["hops"] - 1, F.lit(0)).cast("long").alias("hops"), F.lit(False).alias("rerank"), (x["rounds"] + 1).alias("rounds"))
+
+    start = F.struct(*[F.least(F.col(k), F.lit(most_k)).cast("long").alias(k) for k in ks], F.col("hops").cast("long").alias("hops"), F.lit(True).alias("rerank"), F.lit(0).cast("long").alias("rounds"))
+    more = lambda x: (estimate(x) > seconds) & (F.greatest(*[x[k] for k in ks]) > 10)
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda x, _: F.when(more(x), shrink(x)).otherwise(x))
+    out = planned.select("qid", done.alias("x"))
+    return out.select("qid", *[F.col(f"x.{k}") for k in ks], "x.hops", "x.rerank", estimate(F.col("x")).alias("seconds"), "x.rounds", (estimate(F.col("x")) <= seconds).alias("fits"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions.shared import shared_dir
+
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
@@ -19,7 +20,7 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drained(df: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over all that is there into Parquet files of a new folder, written by the tasks, and returns them read again."""
     spark = df.sparkSession
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows = f"{folder}/rows"
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     if mode == "complete":  # each batch is the whole result so far
