@@ -9,6 +9,7 @@ from gleaner.functions.text import keywords, normalized, preview, question_type
 from gleaner.operators import answers, feedback, graph, planning, profile, sessions
 from gleaner.operators.relations import NO_NAMES
 from gleaner.streaming import events as streams
+from gleaner.streaming import memory
 
 
 def _t(spark, d, name) -> DataFrame:
@@ -65,7 +66,7 @@ def _graph_scores(spark, d):
     """Documents by the names within one hop of the two commonest names."""
     named = graph.mentions(_t(spark, d, "documents"))
     start = graph.nodes(named).orderBy(F.desc("occurrences"), "node").limit(2).select("node")
-    return graph.document_scores(named, graph.reach(graph.edges(named), start, 1))
+    return graph.document_scores(named, graph.reach(graph.edges(_t(spark, d, "documents")), start, 1))
 
 
 def _stream_counts(spark, d):
@@ -74,13 +75,22 @@ def _stream_counts(spark, d):
 
 def _stream_sessions(spark, d):
     closed = streams.drained(streams.sessions(streams.stream(spark, d)), "append")
-    return closed.withColumn("session_start", F.to_timestamp_ntz(F.date_format("session_start", "yyyy-MM-dd HH:mm:ss.SSSSSS")))
+    return closed.withColumn("session_start", _plain_time("session_start"))
+
+
+def _plain_time(c: str):
+    return F.to_timestamp_ntz(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+def _stream_memory(spark, d):
+    closed = streams.drained(memory.remembered(streams.stream(spark, d)), "append")
+    return closed.withColumns({c: _plain_time(c) for c in ("session_start", "session_end")})
 
 
 QUERIES = {
     "kg_nodes": lambda s, d: graph.nodes(graph.mentions(_t(s, d, "documents"))),
-    "kg_edges": lambda s, d: graph.edges(graph.mentions(_t(s, d, "documents"))),
-    "kg_stats": lambda s, d: graph.degrees(graph.edges(graph.mentions(_t(s, d, "documents")))),
+    "kg_edges": lambda s, d: graph.edges(_t(s, d, "documents")),
+    "kg_stats": lambda s, d: graph.degrees(graph.edges(_t(s, d, "documents"))),
     "entity_docs": lambda s, d: graph.mentions(_t(s, d, "documents")).select("node", "doc_id").distinct(),
     "graph_score_docs": _graph_scores,
     "graph_bfs": lambda s, d: graph.reach(_star_edges(s, d), s.createDataFrame([("region:0",)], "node string")),
@@ -125,6 +135,7 @@ QUERIES = {
     "metric_ema": lambda s, d: feedback.ema(feedback.rated(_events(s, d))),
     "stream_feedback_counts": _stream_counts,
     "stream_sessions": _stream_sessions,
+    "stream_memory": _stream_memory,
 }
 
 _WORD = r"'[\p{L}\p{N}_]+'"
@@ -178,7 +189,7 @@ rr AS (SELECT node, min(hop) AS hop FROM (SELECT node, 0 AS hop FROM st UNION AL
 SELECT doc_id, count(*) AS n_nodes, round(sum(1 / (1 + hop)), 6) AS score FROM (SELECT DISTINCT node, doc_id FROM m) JOIN rr USING (node) GROUP BY doc_id""",
     "graph_bfs": _reach("'region:0'", 3),
     "graph_expand": _reach("'nation:0', 'nation:1'", 1),
-    "graph_relations": f"WITH {_STAR} SELECT target AS node, relation, count(*) AS n FROM e GROUP BY ALL",
+    "graph_relations": f"WITH {_STAR} SELECT node, relation, direction, count(*) AS n FROM (SELECT source AS node, relation, 'out' AS direction FROM e UNION ALL SELECT target, relation, 'in' FROM e) GROUP BY ALL",
     "profile_numeric": " UNION ALL ".join(map(_number, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])),
     "profile_text": " UNION ALL ".join(_textual(c, "customer") for c in ["c_name", "c_mktsegment"]),
     "infer_text_type": " UNION ALL ".join(_textual(c, "pages") for c in ["url", "html"]),
@@ -218,6 +229,11 @@ len(list_filter(range(len(l)), lambda i: length(trim(l[i + 1], ' ')) > 0 AND (i
     "health": f"{_RATED}, h AS (SELECT round(avg(least(1.0, m / 4.0)), 6) AS health FROM (SELECT avg(rating) AS m FROM r GROUP BY event_type)) SELECT health, CASE WHEN health >= 0.9 THEN 'good' WHEN health >= 0.7 THEN 'fair' ELSE 'poor' END AS band FROM h",
     "metric_ema": f"{_RATED[:5]}RECURSIVE {_RATED[5:]}, dd AS (SELECT event_type, ts::DATE AS day, avg(rating) AS mean, row_number() OVER (PARTITION BY event_type ORDER BY ts::DATE) AS k FROM r GROUP BY 1, 2), x AS (SELECT event_type, day, mean, k, mean AS ema FROM dd WHERE k = 1 UNION ALL SELECT dd.event_type, dd.day, dd.mean, dd.k, 0.1::DOUBLE * dd.mean + 0.9::DOUBLE * x.ema FROM x JOIN dd ON dd.event_type = x.event_type AND dd.k = x.k + 1) SELECT event_type, strftime(day, '%Y-%m-%d') AS day, round(mean, 6) AS mean, round(ema, 6) AS ema FROM x",
     # sessions that the final watermark, an hour before the newest event, has passed
+    "stream_memory": f"""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL {memory.IDLE} SECONDS THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g),
+w AS (SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n, list(event_type ORDER BY ts, event_id) AS types FROM s GROUP BY user_id, k),
+f AS (SELECT *, CASE WHEN session_start - lag(session_end) OVER (PARTITION BY user_id ORDER BY session_start) < INTERVAL {memory.HOURS} HOURS THEN 0 ELSE 1 END AS fresh FROM w), r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY session_start) AS life FROM f)
+SELECT user_id, session_start, session_end, n, least(n, {memory.RING})::INT AS n_kept, array_to_string(types[greatest(1, n - {memory.RING - 1}):], ',') AS last_types, row_number() OVER (PARTITION BY user_id, life ORDER BY session_start) AS session_no
+FROM r WHERE session_end + INTERVAL {memory.IDLE} SECONDS <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
     "stream_sessions": "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 3600 SECONDS THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
     "stream_feedback_counts": "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type",
 }

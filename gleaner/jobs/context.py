@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import tokens
 from gleaner.jobs import retrieval
-from gleaner.operators import cache, fusion, insight, json_schema, planning, sparse
+from gleaner.operators import cache, evidence, fusion, insight, json_schema, planning, sparse
 
 
 def _t(s, d, name) -> DataFrame:
@@ -37,6 +37,14 @@ def _boosted(s, d):
     return cache.lifted(best, context)
 
 
+def _spans(s, d):
+    """Of each benchmark item's three best documents, what speaks for the best one's text as an answer to the item."""
+    best = retrieval._best(s, d, 3).select("qid", "doc_id", "rank").join(_t(s, d, "documents").select("doc_id", "text"), "doc_id")
+    answer = best.where("rank = 1").select("qid", F.col("text").alias("answer"))
+    asked = _t(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return evidence.merged_spans(best.join(answer, "qid").join(asked, "qid").select("qid", "doc_id", F.col("text").alias("evidence"), "answer", "query"), "qid", "doc_id")
+
+
 #: Limits of the plans below: seconds, results of a retriever.
 SECONDS, MOST_K = 4.0, 120
 
@@ -57,6 +65,7 @@ def _planned(s, d):
 QUERIES = {
     "similar_question": _similar,
     "context_boost": _boosted,
+    "evidence_spans_merged": _spans,
     "json_schema": lambda s, d: _schema(s, _t(s, d, "events"), "props"),
     "json_schema_nested": _nested,
     "plan_constrained": lambda s, d: planning.constrained(_benchmark_plans(s, d), SECONDS, MOST_K),
@@ -88,6 +97,12 @@ _SECONDS = f"round(({_COST} + CASE WHEN rerank THEN (dense_k + bm25_k + graph_k)
 _USED = "((dense_k > 0)::INT + (bm25_k > 0)::INT + (graph_k > 0)::INT)"
 
 
+def _counted(text: str) -> str:
+    """Distinct words of a text that count."""
+    words = _TOKENS.replace("coalesce(text, '')", f"coalesce({text}, '')")
+    return "list_filter(list_distinct({}), lambda y: y NOT IN ({}))".format(words, ", ".join(f"'{w}'" for w in evidence.STOPS))
+
+
 def _shrunk(c: str, dropped: str) -> str:
     return f"CASE WHEN {dropped} THEN 0 WHEN {c} > 10 THEN greatest(10, floor({c} * 0.8::DOUBLE)) ELSE {c} END::BIGINT"
 
@@ -119,6 +134,20 @@ SELECT q.session, q.turn, e.turn AS before, b.s AS similarity, coalesce(b.s >= {
     "context_boost": f"""WITH {retrieval._BASE}, dd AS (SELECT doc_id, {_NAMED} AS en, {_topic(_TOKENS)} AS topic FROM documents), cc AS (SELECT item_id AS qid, {_NAMED} AS en, {_topic(_TOKENS)} AS topic FROM benchmark),
 l AS (SELECT b.qid, b.doc_id, score, round(score + {cache.PER_ENTITY}::DOUBLE * len(list_intersect(dd.en, cc.en)) + CASE WHEN dd.topic = cc.topic THEN {cache.SAME_TOPIC}::DOUBLE ELSE 0 END, 6) AS lifted FROM {retrieval._ranked("bm", 20)} b JOIN dd USING (doc_id) JOIN cc ON cc.qid = b.qid)
 SELECT *, row_number() OVER (PARTITION BY qid ORDER BY lifted DESC, doc_id) AS rank FROM l""",
+    "evidence_spans_merged": f"""WITH RECURSIVE {retrieval._BASE}, b AS (SELECT qid, doc_id, rank, text FROM {retrieval._ranked("bm", 3)} JOIN documents USING (doc_id)),
+e AS (SELECT b.qid, b.doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(b.text, ''), '[.!?]+'), lambda x: trim(x, ' ')), lambda x: length(x) > {evidence.SENTENCE}) AS s,
+  {_counted("a.text")} AS a, {_counted("i.text")} AS q FROM b JOIN b a ON a.qid = b.qid AND a.rank = 1 JOIN benchmark i ON i.item_id = b.qid),
+l AS (SELECT qid, doc_id, s, unnest(range(len(s))) AS spot, a, q, unnest(list_transform(s, lambda x: {_counted("x")})) AS w FROM e),
+x AS (SELECT qid, doc_id, s, spot, CASE WHEN len(w) = 0 THEN 0 ELSE round({evidence.OF_ANSWER}::DOUBLE * (len(list_intersect(w, a)) / len(w)) + {evidence.OF_QUERY}::DOUBLE * (len(list_intersect(w, q)) / len(w)), 6) END AS score FROM l),
+g AS (SELECT qid, doc_id, any_value(s) AS s, list(score ORDER BY spot) AS sc, (list({{'l': -score, 'spot': spot}} ORDER BY score DESC, spot) FILTER (score > {evidence.MAKES}))[:{evidence.MOST}] AS seeds FROM x GROUP BY ALL),
+z AS (SELECT qid, doc_id, s, sc, seeds, 0 AS i, []::BIGINT[] AS used, []::STRUCT(lo BIGINT, hi BIGINT, sc DOUBLE)[] AS spans FROM g WHERE len(seeds) > 0
+  UNION ALL SELECT qid, doc_id, s, sc, seeds, i, CASE WHEN ok THEN used || range(lo, hi + 1) ELSE used END, CASE WHEN ok THEN spans || [{{'lo': lo, 'hi': hi, 'sc': -seeds[i].l}}] ELSE spans END
+  FROM (SELECT *, NOT list_contains(used, spot) AND length(array_to_string(s[lo + 1:hi + 1], ' ')) BETWEEN {evidence.SPAN[0]} AND {evidence.SPAN[1]} AS ok FROM (
+    SELECT qid, doc_id, s, sc, seeds, i + 1 AS i, used, spans, seeds[i + 1].spot AS spot,
+      CASE WHEN spot > 0 AND sc[spot] > {evidence.EXTENDS} AND NOT list_contains(used, spot - 1) THEN spot - 1 ELSE spot END AS lo, CASE WHEN spot + 1 < len(s) AND sc[spot + 2] > {evidence.EXTENDS} AND NOT list_contains(used, spot + 1) THEN spot + 1 ELSE spot END AS hi
+    FROM z WHERE i < len(seeds)))),
+o AS (SELECT qid, doc_id, unnest(range(len(spans))) AS place, unnest(spans) AS p FROM z WHERE i = len(seeds))
+SELECT qid, doc_id, place::INT AS place, p.lo::INT AS low, p.hi::INT AS high, p.sc AS score FROM o""",
     "json_schema": _schema_sql("SELECT props AS j FROM events"),
     "json_schema_nested": _schema_sql("SELECT to_json({'doc_id': doc_id, 'lang': lang, 'meta': {'source': source, 'half': n_chars / 2}, 'lines': list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {'n': length(x), 'long': length(x) > 80})}) AS j FROM documents"),
     "plan_constrained": f"{_plans_sql()} SELECT * FROM pc",

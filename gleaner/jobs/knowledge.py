@@ -65,7 +65,7 @@ QUERIES = {
     "graph_paths": lambda s, d: relations.paths(_star_edges(s, d), _sources(s, d)),
     "graph_components": lambda s, d: relations.components(_star_edges(s, d)),
     "graph_totals": lambda s, d: relations.totals(_star_edges(s, d)),
-    "pattern_entities": lambda s, d: relations.patterned(_queries(s, d)),
+    "pattern_entities": lambda s, d: relations.patterned(_t(s, d, "documents").select(F.col("doc_id").alias("qid"), F.coalesce("text", F.lit("")).alias("query"))),
     "fuzzy_match": _fuzzy,
     "intent_rules": lambda s, d: insight.intents(_queries(s, d)),
     "session_relevance": lambda s, d: insight.session_relevance(_t(s, d, "conversations")),
@@ -139,7 +139,7 @@ SELECT seed, node, hops, path, relations FROM p WHERE hops > 0 QUALIFY row_numbe
     "graph_totals": f"""WITH RECURSIVE {_STAR}, r(node, reached) AS (SELECT DISTINCT source, source FROM b UNION SELECT r.node, b.target FROM r JOIN b ON r.reached = b.source),
 c AS (SELECT node, min(reached) AS component FROM r GROUP BY node), k AS (SELECT component, count(*) AS n FROM c GROUP BY component)
 SELECT sum(n)::BIGINT AS n_nodes, (SELECT count(*) FROM e) AS n_edges, round(2 * (SELECT count(*) FROM e) / sum(n), 6) AS mean_degree, count(*) AS n_components, max(n) AS largest FROM k""",
-    "pattern_entities": f"WITH {_QUERIES}, x AS ({_PATTERN_ROWS}) SELECT qid, entity, max_by(type, k) AS type FROM x GROUP BY ALL",
+    "pattern_entities": f"WITH q AS (SELECT doc_id AS qid, coalesce(text, '') AS query FROM documents), x AS ({_PATTERN_ROWS}) SELECT qid, entity, max_by(type, k) AS type FROM x GROUP BY ALL",
     "fuzzy_match": rf"""WITH n AS (SELECT DISTINCT p_name FROM part), w AS (SELECT p_name, len(ws) AS size, unnest(ws) AS word FROM (SELECT p_name, list_distinct({_WORDS.format("p_name")}) AS ws FROM n)),
 m AS (SELECT a.p_name AS qid, b.p_name AS id, round(count(*) / greatest(any_value(a.size), any_value(b.size)), 6) AS score FROM w a JOIN w b USING (word) GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM m QUALIFY rank <= 5""",

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.shared import cut
 from gleaner.operators.relations import is_name
 
 
+def _names(text: str) -> Column:
+    """Capitalised words in order, without function words."""
+    return F.filter(F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0)), is_name)
+
+
 def mentions(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, text, node): capitalised words in order, without function words; node is the lower-cased name."""
-    found = docs.select("doc_id", F.posexplode(F.filter(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), is_name)).alias("pos", "text"))
-    return found.withColumn("node", F.lower("text"))
+    """(doc_id, pos, text, node): names in order; node is the lower-cased name."""
+    return docs.select("doc_id", F.posexplode(_names("text")).alias("pos", "text")).withColumn("node", F.lower("text"))
 
 
 def nodes(mentioned: DataFrame) -> DataFrame:
@@ -21,11 +24,11 @@ def nodes(mentioned: DataFrame) -> DataFrame:
     return mentioned.groupBy("node").agg(F.count("*").alias("occurrences"), F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
-def edges(mentioned: DataFrame) -> DataFrame:
-    """(source, target, weight): names mentioned next after one another; linear in the mentions, unlike all pairs of a text."""
-    after = F.lead("node").over(W.partitionBy("doc_id").orderBy("pos"))
-    pairs = mentioned.select(F.col("node").alias("source"), after.alias("target")).where("target is not null and source <> target")
-    return pairs.groupBy("source", "target").agg(F.count("*").alias("weight"))
+def edges(docs: DataFrame) -> DataFrame:
+    """(source, target, weight): names mentioned next after one another; linear in the mentions, unlike all pairs of a text. Neighbours are paired inside the row."""
+    named = docs.select(F.transform(_names("text"), lambda x: F.lower(x)).alias("n"))
+    pairs = named.select(F.explode(F.arrays_zip(F.col("n").alias("source"), F.slice("n", 2, F.greatest(F.size("n"), F.lit(1))).alias("target"))).alias("p")).select("p.*")
+    return pairs.where("target is not null and source <> target").groupBy("source", "target").agg(F.count("*").alias("weight"))
 
 
 def degrees(edges: DataFrame, k: int = 5) -> DataFrame:
@@ -46,8 +49,10 @@ def reach(edges: DataFrame, start: DataFrame, hops: int = 3) -> DataFrame:
     return seen
 
 
-def relation_counts(edges: DataFrame, node_col: str = "target") -> DataFrame:
-    return edges.groupBy(F.col(node_col).alias("node"), "relation").agg(F.count("*").alias("n"))
+def relation_counts(edges: DataFrame) -> DataFrame:
+    """(node, relation, direction, n): a node's edges by relation, those that lead from it (out) and those that lead to it (in)."""
+    end = lambda c, way: F.struct(F.col(c).alias("node"), "relation", F.lit(way).alias("direction"))
+    return edges.select(F.inline(F.array(end("source", "out"), end("target", "in")))).groupBy("node", "relation", "direction").agg(F.count("*").alias("n"))
 
 
 def document_scores(mentioned: DataFrame, reached: DataFrame) -> DataFrame:
