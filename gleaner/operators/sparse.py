@@ -19,6 +19,8 @@ from gleaner.functions.text import tokens
 K1, B = 1.2, 0.75
 #: Query terms up to this many rows are broadcast; more are joined by shuffle.
 BROADCAST_TERMS = 200_000
+#: Ids that are looked at together for documents that a query doesn't match.
+PREFIX = 200_000
 
 
 def query_terms(queries: DataFrame, id_col: str = "qid", text_col: str = "query") -> DataFrame:
@@ -81,18 +83,45 @@ def bm25(ix: Index, terms: DataFrame) -> DataFrame:
 def bm25_all(docs: DataFrame, ix: Index, terms: DataFrame, k: int) -> DataFrame:
     """Each query's best k of all documents: those that match nothing score 0, which ranks above common words' negative scores.
 
-    Only a query with fewer than k scores above 0 needs documents that it doesn't match: the k
-    smallest ids that are not among its matches, which are among as many and k smallest of all.
+    Only a query with fewer than k scores above 0 needs documents that it doesn't match, the k with the smallest ids.
     """
     scored = cut(bm25(ix, terms))
-    counts = scored.groupBy("qid").agg(F.count("*").alias("m"), F.count_if(F.col("score") > 0).alias("good"))
-    asked = terms.select("qid").distinct().join(counts, "qid", "left").where(F.coalesce("good", F.lit(0)) < k).select("qid", F.coalesce("m", F.lit(0)).alias("m"))
-    most = (asked.agg(F.max("m").alias("m")).first()["m"] or 0) + k
-    first = docs.select("doc_id").orderBy("doc_id").limit(most).withColumn("place", F.row_number().over(W.orderBy("doc_id")))
-    zero = asked.select("qid", F.explode(F.sequence(F.lit(1), (F.col("m") + k).cast("int"))).alias("place")).join(first, "place").select("qid", "doc_id").join(scored.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
+    good = scored.where("score > 0").groupBy("qid").agg(F.count("*").alias("good"))
+    asked = terms.select("qid").distinct().join(good, "qid", "left").where(F.coalesce("good", F.lit(0)) < k).select("qid")
+    zero = first_unmatched(docs.select("doc_id"), cut(asked), scored.select("qid", "doc_id"), k)
     return top(scored.unionByName(zero.withColumn("score", F.lit(0.0))), k)
 
 
+def first_unmatched(ids: DataFrame, asked: DataFrame, matched: DataFrame, k: int) -> DataFrame:
+    """(qid, doc_id): for each query asked the k smallest ids (all, if there are fewer) that it doesn't match.
+
+    A prefix of the ids, a few times k of them, settles the queries that leave k of it unmatched; the others see longer ones.
+    A prefix is one array of at most PREFIX ids, and a query's matches in it are taken out inside its row. What even that
+    doesn't settle are queries that match nearly everything; their ids are taken out of all, which is about as many as they match.
+    """
+    span = ids.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).first()
+    out, share = None, min(1.0, 8 * k / max(span["n"], 1))
+    while span["n"] and not asked.isEmpty():
+        bound = span["high"] if share >= 1 else span["low"] + int((span["high"] - span["low"]) * share)
+        prefix = ids.where(F.col("doc_id") <= bound)
+        if prefix.count() > PREFIX:
+            pairs = ids.join(F.broadcast(asked.agg(F.collect_list("qid").alias("qids"))), F.lit(True)).select(F.explode("qids").alias("qid"), "doc_id") if asked.count() <= BROADCAST_TERMS else asked.crossJoin(ids)
+            left = pairs.join(matched, ["qid", "doc_id"], "left_anti")
+            place = F.row_number().over(W.partitionBy("qid").orderBy("doc_id"))
+            found, settled = left.withColumn("place", place).where(F.col("place") <= k).select("qid", "doc_id"), asked
+        else:
+            one = prefix.agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+            own = matched.where(F.col("doc_id") <= bound).join(_small(asked), "qid", "left_semi").groupBy("qid").agg(F.collect_set("doc_id").alias("own"))
+            seen = asked.join(own, "qid", "left").join(F.broadcast(one), F.lit(True))  # one row of PREFIX ids at most
+            free = cut(seen.select("qid", F.filter(F.array_except("ids", F.coalesce("own", F.array().cast("array<long>"))), lambda x: x.isNotNull()).alias("free")).where((F.size("free") >= k) | F.lit(share >= 1)).select("qid", F.slice("free", 1, k).alias("free")))
+            found, settled = free.select("qid", F.explode("free").alias("doc_id")), free.select("qid")
+        out = found if out is None else out.unionByName(found)
+        if share >= 1 or settled is asked:
+            break
+        asked, share = cut(asked.join(settled, "qid", "left_anti")), min(1.0, share * 8)
+    return out if out is not None else matched.limit(0)
+
+
 def tfidf(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(qid, doc_id, score): cosine of smoothed TF-IDF vectors; norms are over all words of a document.
 

@@ -159,3 +159,29 @@ def test_vector_index_through_changes(spark, vectors_at, monkeypatch):
     assert vector_index.Reader(spark, path).vectors().count() == held.count()
     with pytest.raises(ValueError):
         vector_index.build(odd.where("id = 7001"), f"{path}-none")
+
+
+def test_grid_of_queries_and_vectors(spark, monkeypatch):
+    rows = _vectors(spark, "sf0.001")
+    odd = spark.createDataFrame([(9001, [1.0]), (9002, None), (9003, [0.5] * 64)], "id long, v array<float>")
+    rows = rows.unionByName(odd)
+    queries = rows.where("id % 5 = 0 or id > 9000").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    args = rows.select(F.col("id").alias("doc_id"), "v"), queries, 4
+    as_set = lambda df: {tuple(r) for r in df.select("qid", "doc_id", "score", "rank").collect()}
+    whole, others = as_set(dense.nearest(*args)), as_set(dense.nearest(*args, exclude_self=True))
+    monkeypatch.setattr(dense, "QUERY_BYTES", 8000)
+    monkeypatch.setattr(dense, "VECTOR_BYTES", 30_000)
+    assert as_set(dense.nearest(*args)) == whole and as_set(dense.nearest(*args, exclude_self=True)) == others
+
+
+def test_first_unmatched(spark, monkeypatch):
+    ids = spark.createDataFrame([(i,) for i in range(0, 900, 3)], "doc_id long")
+    match = {1: [], 2: list(range(0, 60, 3)), 3: list(range(0, 897, 3)), 4: list(range(0, 900, 3)), 5: list(range(0, 900, 6))}
+    matched = spark.createDataFrame([(q, i) for q, m in match.items() for i in m], "qid long, doc_id long")
+    asked = spark.createDataFrame([(q,) for q in match], "qid long")
+    want = {(q, i) for q, m in match.items() for i in sorted(set(range(0, 900, 3)) - set(m))[:4]}
+    found = lambda: {tuple(r) for r in sparse.first_unmatched(ids, asked, matched, 4).collect()}
+    assert found() == want
+    monkeypatch.setattr(sparse, "PREFIX", 100)
+    assert found() == want
+    assert sparse.first_unmatched(ids.limit(0), asked, matched, 4).count() == 0
