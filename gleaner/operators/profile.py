@@ -56,15 +56,21 @@ def row_chunks(df: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def packed(items: Column, sizes: Column, budget: int) -> Column:
-    """The chunk number of each item: items are packed in order; one that doesn't fit opens a new chunk, unless the chunk is empty."""
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("size"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+    """The chunk number of each item: items are packed in order; one that doesn't fit opens a new chunk, unless the chunk is empty.
+
+    The fold keeps a running total and where chunks begin, so its work goes by items; the numbers follow from the beginnings.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("size"), F.array().cast("array<int>").alias("begins"))
 
     def step(s, size):
-        full = (s["n"] > 0) & (s["size"] + size > budget)
-        chunk = s["chunk"] + full.cast("int")
-        return F.struct(chunk.alias("chunk"), F.when(full, size).otherwise(s["size"] + size).alias("size"), F.when(full, F.lit(1)).otherwise(s["n"] + 1).alias("n"), F.concat(s["out"], F.array(chunk)).alias("out"))
+        opens = (s["at"] == 0) | (s["size"] + size > budget)
+        return F.struct((s["at"] + 1).alias("at"), F.when(opens, size.cast("long")).otherwise(s["size"] + size).alias("size"), F.when(opens, F.concat(s["begins"], F.array(s["at"]))).otherwise(s["begins"]).alias("begins"))
+
+    def numbers(s):
+        return F.flatten(F.transform(s["begins"], lambda b, j: F.array_repeat(j, F.coalesce(F.get(s["begins"], j + 1), s["at"]) - b)))
 
-    return F.aggregate(sizes, start, step, lambda s: s["out"])
+    # the folded value is bound once, as each number looks at it
+    return F.get(F.transform(F.array(F.aggregate(sizes, start, step)), numbers), F.lit(0))
 
 
 def text_chunks(docs: DataFrame, budget: int = 512) -> DataFrame:

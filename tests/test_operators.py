@@ -1,6 +1,7 @@
 """Edge cases of the retrieval and analytics operators, and their queries against DuckDB on a small table."""
 
 import os
+import time
 
 import duckdb
 import pandas as pd
@@ -60,6 +61,14 @@ def test_packing(spark):
     assert [(r.doc_id, r.chunk, r.tokens) for r in got] == [(1, 0, 100), (1, 1, 100)] and got[1].content.endswith("\nc")
 
 
+def test_packing_many_lines(spark):
+    """100,000 lines in seconds: the fold's work goes by lines."""
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda i: F.repeat(F.lit("x"), F.lit(40))), "\n").alias("text"))
+    began = time.time()
+    r = profile.text_chunks(docs, 512).agg(F.count("*").alias("n"), F.sum("tokens").alias("t"), F.max("tokens").alias("most")).first()
+    assert tuple(r) == (-(-100_000 // 51), 1_000_000, 510) and time.time() - began < 60
+
+
 def test_row_chunks_cross_buckets(spark):
     rows = profile.row_chunks(spark.range(25_000).withColumnRenamed("id", "k"), "k", 7000).groupBy("chunk").agg(F.count("*").alias("n"), F.min("k").alias("k")).orderBy("chunk").collect()
     assert [(r.chunk, r.n, r.k) for r in rows] == [(0, 7000, 0), (1, 7000, 7000), (2, 7000, 14000), (3, 4000, 21000)]
