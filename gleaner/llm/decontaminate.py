@@ -60,6 +60,11 @@ def load(spark: SparkSession, folder: str) -> Index:
     return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/docs"), folder)
 
 
+def postings_of(index: Index, terms: DataFrame) -> DataFrame:
+    """Postings of the terms, told by their hashes (and of a term with the same hash, if there were one: whatever follows compares the terms)."""
+    return index.postings.join(_small(terms.select(F.xxhash64("term").alias("hash")).distinct()), "hash", "left_semi")
+
+
 def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(item, item_id, size, span, offset, term) of each word of each item; span: the words of its windows."""
     words = with_row(items.select(F.col(id_col).cast("string").alias("item_id"), letter_words(F.col(text_col)).alias("words")), "item")
@@ -68,8 +73,7 @@ def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
 
 def windows(index: Index, terms: DataFrame) -> DataFrame:
     """(item, start, span, offset, term, key) of each window of the items all of whose terms the index has; key: the term's place among the rarest, from 1."""
-    vocabulary = terms.select("term").distinct()
-    counts = index.postings.join(_small(vocabulary), "term", "left_semi").groupBy("term").agg(F.count("*").alias("cf"))
+    counts = postings_of(index, terms).groupBy("term").agg(F.count("*").alias("cf"))
     starts = F.sequence(F.greatest(F.lit(0), F.col("offset") - F.col("span") + 1), F.least(F.col("offset"), F.col("size") - F.col("span")))
     each = terms.join(counts, "term").select("item", "item_id", "span", "offset", "term", "cf", F.explode(starts).alias("start"))
     own = W.partitionBy("item", "start")
@@ -80,7 +84,7 @@ def windows(index: Index, terms: DataFrame) -> DataFrame:
 
 def _lists(index: Index, keys: DataFrame) -> DataFrame:
     """(row, term, pos) of the rarest terms."""
-    return cut(index.postings.join(_small(keys.select("term").distinct()), "term", "left_semi").select("row", "term", "pos"))
+    return cut(postings_of(index, keys).select("row", "term", "pos"))
 
 
 def phrases(index: Index, found: DataFrame, keys: DataFrame, lists: DataFrame) -> DataFrame:
@@ -94,7 +98,7 @@ def phrases(index: Index, found: DataFrame, keys: DataFrame, lists: DataFrame) -
     words = _small(found.select("item", "offset", "term").distinct())
     asked = places.join(words, "item").where("offset between first and last").select("row", "item", "diagonal", "offset", "term", (F.col("diagonal") + F.col("offset")).alias("pos"))
     # of the postings, only those of the items' terms in rows with a place are moved
-    near = index.postings.join(_small(found.select("term").distinct()), "term", "left_semi").join(_small(places.select("row").distinct()), "row", "left_semi").select("row", "term", "pos")
+    near = postings_of(index, found).join(_small(places.select("row").distinct()), "row", "left_semi").select("row", "term", "pos")
     matched = asked.join(near, ["row", "term", "pos"]).select("row", "item", "diagonal", "offset")
     line = W.partitionBy("row", "item", "diagonal").orderBy("offset")
     runs = matched.withColumn("run", F.col("offset") - F.row_number().over(line)).groupBy("row", "item", "diagonal", "run").agg(F.min("offset").alias("a"), F.max("offset").alias("b"))
