@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import tokens
 from gleaner.jobs import retrieval
-from gleaner.operators import cache, evidence, fusion, insight, json_schema, planning, sparse
+from gleaner.operators import cache, dense, evidence, fusion, insight, json_schema, planning, sparse
 
 
 def _t(s, d, name) -> DataFrame:
@@ -37,6 +37,22 @@ def _boosted(s, d):
     return cache.lifted(best, context)
 
 
+def _six(s, d):
+    """BM25's best documents for each benchmark item; the items of the ids before it are its session. A text's vector is the one of its id."""
+    named = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\p{Lu}\p{L}+"), F.lit(0)), lambda x: F.lower(x)))
+    # words and names are taken once a text, before candidates meet
+    of = lambda rows, key, x: rows.select(F.col(key), F.array_distinct(tokens(F.col("text"))).alias(f"{x}_words"), named(F.col("text")).alias(f"{x}_entities"), insight.topic(tokens(F.col("text"))).alias(f"{x}_topic"))
+    items = of(_t(s, d, "benchmark").select(F.col("item_id").alias("qid"), "text"), "qid", "q")
+    back = items.select(F.explode(F.array(*[F.lit(n) for n in range(1, cache.QUESTIONS + 1)])).alias("back"), "qid", F.struct("q_words", "q_entities", "q_topic").alias("x"))
+    before = back.groupBy((F.col("qid") + F.col("back")).alias("qid")).agg(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("o"), "x"))).alias("p"))  # QUESTIONS items each
+    session = before.select("qid", F.array_distinct(F.flatten("p.x.q_entities")).alias("s_entities"), F.element_at("p", -1)["x"]["q_topic"].alias("s_topic"), F.col("p.x.q_words").alias("s_questions"))
+    asked = items.join(session, "qid", "left")
+    vector = retrieval.vectors(s, d)
+    best = retrieval._best(s, d, 20).select("qid", "doc_id", "score").join(vector.select("doc_id", F.col("v").alias("dv")), "doc_id", "left").join(vector.select(F.col("doc_id").alias("qid"), F.col("v").alias("qv")), "qid", "left")
+    near = best.select("qid", "doc_id", "score", F.round(1 / (1 + dense.squared_distance(F.col("dv"), F.col("qv"))), 6).alias("dense"))
+    return cache.six_signals(near.join(of(_t(s, d, "documents").select("doc_id", "text"), "doc_id", "d"), "doc_id").join(asked, "qid"))
+
+
 def _spans(s, d):
     """Of each benchmark item's three best documents, what speaks for the best one's text as an answer to the item."""
     best = retrieval._best(s, d, 3).select("qid", "doc_id", "rank").join(_t(s, d, "documents").select("doc_id", "text"), "doc_id")
@@ -65,6 +81,7 @@ def _planned(s, d):
 QUERIES = {
     "similar_question": _similar,
     "context_boost": _boosted,
+    "signals_six": _six,
     "evidence_spans_merged": _spans,
     "json_schema": lambda s, d: _schema(s, _t(s, d, "events"), "props"),
     "json_schema_nested": _nested,
@@ -92,6 +109,7 @@ def _topic(words: str) -> str:
 
 
 _NAMED = r"list_distinct(regexp_extract_all(coalesce(text, ''), '\p{Lu}\p{L}+'))"
+_LOWER_NAMED = r"list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '\p{Lu}\p{L}+'), lambda x: lower(x)))"
 _COST = " + ".join(f"{n}_k / 100 * (2 / {p[0]}::DOUBLE)" for n, p in planning.PROFILES.items())
 _SECONDS = f"round(({_COST} + CASE WHEN rerank THEN (dense_k + bm25_k + graph_k) / 200 ELSE 0 END) * (1 + 0.5::DOUBLE * hops), 6)"
 _USED = "((dense_k > 0)::INT + (bm25_k > 0)::INT + (graph_k > 0)::INT)"
@@ -134,6 +152,16 @@ SELECT q.session, q.turn, e.turn AS before, b.s AS similarity, coalesce(b.s >= {
     "context_boost": f"""WITH {retrieval._BASE}, dd AS (SELECT doc_id, {_NAMED} AS en, {_topic(_TOKENS)} AS topic FROM documents), cc AS (SELECT item_id AS qid, {_NAMED} AS en, {_topic(_TOKENS)} AS topic FROM benchmark),
 l AS (SELECT b.qid, b.doc_id, score, round(score + {cache.PER_ENTITY}::DOUBLE * len(list_intersect(dd.en, cc.en)) + CASE WHEN dd.topic = cc.topic THEN {cache.SAME_TOPIC}::DOUBLE ELSE 0 END, 6) AS lifted FROM {retrieval._ranked("bm", 20)} b JOIN dd USING (doc_id) JOIN cc ON cc.qid = b.qid)
 SELECT *, row_number() OVER (PARTITION BY qid ORDER BY lifted DESC, doc_id) AS rank FROM l""",
+    "signals_six": rf"""WITH {retrieval._BASE}, dd AS (SELECT doc_id, list_distinct({_TOKENS}) AS w, {_LOWER_NAMED} AS e, {_topic(_TOKENS)} AS t FROM documents), ii AS (SELECT item_id AS qid, list_distinct({_TOKENS}) AS w, {_LOWER_NAMED} AS e, {_topic(_TOKENS)} AS t FROM benchmark),
+se AS (SELECT *, list_distinct(flatten(list(e) OVER x)) AS s_e, last_value(t) OVER x AS s_t, list(w) OVER x AS s_q FROM ii WINDOW x AS (ORDER BY qid RANGE BETWEEN {cache.QUESTIONS} PRECEDING AND 1 PRECEDING)),
+c AS (SELECT b.qid, b.doc_id, b.score, {retrieval._D2} AS d2, dd.w, dd.e, dd.t, se.w AS qw, se.e AS qe, se.t AS qt, s_e, s_t, s_q FROM {retrieval._ranked("bm", 20)} b JOIN dd USING (doc_id) JOIN se ON se.qid = b.qid LEFT JOIN embeddings v ON v.vec_id = b.doc_id LEFT JOIN embeddings q ON q.vec_id = b.qid),
+g AS (SELECT qid, doc_id, round(coalesce(round(1 / (1 + d2), 6), 0), 4) AS dense, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, score / {cache.FULL_BM25})), 4) AS bm25,
+  round(CASE WHEN greatest(len(e), len(qe)) = 0 THEN 0 ELSE len(list_intersect(e, qe)) / greatest(len(e), len(qe)) END, 4)::DOUBLE AS entity_overlap,
+  round(least(1.0::DOUBLE, CASE WHEN coalesce(len(s_e), 0) = 0 THEN 0 ELSE {cache.OF_ENTITIES}::DOUBLE * (len(list_intersect(s_e, e)) / len(s_e)) END + CASE WHEN s_t = t THEN {cache.OF_TOPIC}::DOUBLE ELSE 0 END
+    + CASE WHEN len(qw) = 0 THEN 0 ELSE coalesce(list_sum(list_transform(s_q, lambda z: {cache.OF_QUESTION}::DOUBLE * (len(list_intersect(qw, z)) / len(qw)))), 0) END), 4) AS session_relevance,
+  (qt = t)::INT::DOUBLE AS cluster_match, round(CASE WHEN len(qw) = 0 THEN 0 ELSE len(list_intersect(qw, w)) / len(qw) END, 4)::DOUBLE AS text_overlap FROM c),
+k AS (SELECT *, round({" + ".join(f"{v}::DOUBLE * {n}" for n, v in cache.WEIGHTS.items())}, 6) AS combined FROM g)
+SELECT *, row_number() OVER (PARTITION BY qid ORDER BY combined DESC, doc_id) AS rank FROM k""",
     "evidence_spans_merged": f"""WITH RECURSIVE {retrieval._BASE}, b AS (SELECT qid, doc_id, rank, text FROM {retrieval._ranked("bm", 3)} JOIN documents USING (doc_id)),
 e AS (SELECT b.qid, b.doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(b.text, ''), '[.!?]+'), lambda x: trim(x, ' ')), lambda x: length(x) > {evidence.SENTENCE}) AS s,
   {_counted("a.text")} AS a, {_counted("i.text")} AS q FROM b JOIN b a ON a.qid = b.qid AND a.rank = 1 JOIN benchmark i ON i.item_id = b.qid),

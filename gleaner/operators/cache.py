@@ -48,3 +48,34 @@ def lifted(results: DataFrame, contexts: DataFrame) -> DataFrame:
     more = PER_ENTITY * shared + F.when(F.col("topic") == F.col("c_topic"), F.lit(SAME_TOPIC)).otherwise(F.lit(0.0))
     out = results.join(contexts, "qid", "left").select("qid", "doc_id", "score", F.round(F.col("score") + more, 6).alias("lifted"))
     return out.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("lifted"), "doc_id")))
+
+
+#: Weights of the six signals, and what a session's entities, topic and last questions count for.
+WEIGHTS = {"dense": 0.25, "bm25": 0.20, "entity_overlap": 0.20, "session_relevance": 0.15, "cluster_match": 0.10, "text_overlap": 0.10}
+OF_ENTITIES, OF_TOPIC, OF_QUESTION, QUESTIONS = 0.5, 0.3, 0.2, 3
+#: A BM25 score that counts in full.
+FULL_BM25 = 50
+
+
+def six_signals(found: DataFrame) -> DataFrame:
+    """(qid, doc_id, the signals of WEIGHTS to four digits, combined, rank) of candidates.
+
+    found: qid, doc_id, score (BM25), dense, words and entities and topic of the document (d_), of the query (q_), and of its session:
+    s_entities, s_topic, s_questions (the words of its last questions). Words and entities are sets; nulls count as none.
+    """
+    some = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    share = lambda a, b: F.when(F.size(a) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    d, q, s = (some(F.col(f"{x}_entities")) for x in "dqs")
+    words = some(F.col("q_words"))
+    asked = F.aggregate(F.coalesce("s_questions", F.array().cast("array<array<string>>")), F.lit(0.0), lambda t, w: t + OF_QUESTION * share(words, w))
+    session = F.least(F.lit(1.0), OF_ENTITIES * share(s, d) + F.when(F.col("s_topic") == F.col("d_topic"), F.lit(OF_TOPIC)).otherwise(0.0) + asked)
+    most = F.greatest(F.size(d), F.size(q))
+    values = {
+        "dense": F.coalesce("dense", F.lit(0.0)), "bm25": F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score") / FULL_BM25)),
+        "entity_overlap": F.when(most == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(d, q)) / most), "session_relevance": session,
+        "cluster_match": (F.coalesce(F.col("q_topic") == F.col("d_topic"), F.lit(False))).cast("double"), "text_overlap": share(words, some(F.col("d_words"))),
+    }
+    out = found.select("qid", "doc_id", *[F.round(v, 4).alias(name) for name, v in values.items()])
+    total = sum((weight * F.col(name) for name, weight in WEIGHTS.items()), F.lit(0.0))
+    ranked = out.withColumn("combined", F.round(total, 6))  # all digits that four of a signal give
+    return ranked.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("combined"), "doc_id")))
