@@ -1,12 +1,13 @@
 """Benchmark decontamination through a positional inverted index.
 
-The training texts' words are stored once as postings (hash, term, row, pos): a segment a task, sorted
-by the term's hash, so a search for a few terms passes over the row groups without them, no common
-term meets in one task, and building needs no shuffle. A search takes the benchmark's windows of words.
+The training texts' words are stored once as postings (term, row, pos), a term being its word's
+64-bit hash: a segment a task, sorted by term, so a search for a few terms passes over the row groups
+without them, no common term meets in one task, and building needs no shuffle. A search takes the benchmark's
+windows of words.
 The KEYS rarest terms of each window are looked up first; their lists, each shifted by the
 term's offset in the item, are intersected on (row, item, diagonal). Only the places that are left
 ask for the window's other terms at exactly their positions. Runs of neighbouring offsets found on a
-diagonal are phrase matches. Proximity matches come from the same rarest terms: all of a window's
+diagonal are phrase matches; verified() holds them against the words themselves, so that hashes decide nothing. Proximity matches come from the same rarest terms: all of a window's
 stand within SPAN words, in any order.
 
 Null texts have no words; null ids are kept; repeated rows each give a row; an empty table gives an
@@ -35,7 +36,7 @@ BROADCAST_ROWS = 500_000
 
 @dataclass(frozen=True)
 class Index:
-    """A stored index: postings (hash, term, row, pos) and documents (row, doc_id, n_words)."""
+    """A stored index: postings (term, row, pos) and documents (row, doc_id)."""
 
     postings: DataFrame
     docs: DataFrame
@@ -49,37 +50,41 @@ def _small(df: DataFrame) -> DataFrame:
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> Index:
     """Writes the index of docs to a folder (a new one in the shared storage, if none is given)."""
     folder = folder or f"{shared_dir(docs.sparkSession)}/index-{uuid.uuid4().hex}"
-    words = with_row(docs.select(F.col(id_col).alias("doc_id"), letter_words(F.col(text_col)).alias("words")), "row")
-    each = words.select("row", F.posexplode("words").alias("pos", "term")).select(F.xxhash64("term").alias("hash"), "term", "row", "pos")
-    each.sortWithinPartitions("hash").write.parquet(f"{folder}/postings")
-    words.select("row", "doc_id", F.size("words").cast("long").alias("n_words")).write.parquet(f"{folder}/docs")
+    rows = numbered(docs, id_col, text_col)
+    each = rows.select("row", F.posexplode(letter_words(F.col("text"))).alias("pos", "word")).select(F.xxhash64("word").alias("term"), "row", "pos")
+    each.sortWithinPartitions("term").write.parquet(f"{folder}/postings")
+    rows.select("row", "doc_id").write.parquet(f"{folder}/docs")
     return load(docs.sparkSession, folder)
 
 
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, text); docs is a scan or a cut, so that rows have the same numbers each time."""
+    return with_row(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "row")
+
+
 def load(spark: SparkSession, folder: str) -> Index:
     return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/docs"), folder)
 
 
 def postings_of(index: Index, terms: DataFrame) -> DataFrame:
-    """Postings of the terms, told by their hashes (and of a term with the same hash, if there were one: whatever follows compares the terms)."""
-    return index.postings.join(_small(terms.select(F.xxhash64("term").alias("hash")).distinct()), "hash", "left_semi")
+    return index.postings.join(_small(terms.select("term").distinct()), "term", "left_semi")
 
 
 def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(item, item_id, size, span, offset, term) of each word of each item; span: the words of its windows."""
+    """(item, item_id, size, span, offset, word, term) of each word of each item; span: the words of its windows."""
     words = with_row(items.select(F.col(id_col).cast("string").alias("item_id"), letter_words(F.col(text_col)).alias("words")), "item")
-    return words.select("item", "item_id", F.size("words").alias("size"), F.least(F.size("words"), F.lit(window)).alias("span"), F.posexplode("words").alias("offset", "term"))
+    return words.select("item", "item_id", F.size("words").alias("size"), F.least(F.size("words"), F.lit(window)).alias("span"), F.posexplode("words").alias("offset", "word")).withColumn("term", F.xxhash64("word"))
 
 
 def windows(index: Index, terms: DataFrame) -> DataFrame:
-    """(item, start, span, offset, term, key) of each window of the items all of whose terms the index has; key: the term's place among the rarest, from 1."""
+    """(item, start, span, offset, word, term, key) of each window of the items all of whose terms the index has; key: the term's place among the rarest, from 1."""
     counts = postings_of(index, terms).groupBy("term").agg(F.count("*").alias("cf"))
     starts = F.sequence(F.greatest(F.lit(0), F.col("offset") - F.col("span") + 1), F.least(F.col("offset"), F.col("size") - F.col("span")))
-    each = terms.join(counts, "term").select("item", "item_id", "span", "offset", "term", "cf", F.explode(starts).alias("start"))
+    each = terms.join(counts, "term").select("item", "item_id", "span", "offset", "word", "term", "cf", F.explode(starts).alias("start"))
     own = W.partitionBy("item", "start")
     whole = each.withColumn("present", F.count("*").over(own)).where("present = span").drop("present")
     first = whole.withColumn("again", F.row_number().over(W.partitionBy("item", "start", "term").orderBy("offset")))  # a repeated term counts once
-    return first.withColumn("key", F.when(F.col("again") == 1, F.row_number().over(own.orderBy("again", "cf", "term")))).drop("again", "cf")
+    return first.withColumn("key", F.when(F.col("again") == 1, F.row_number().over(own.orderBy("again", "cf", "word")))).drop("again", "cf")
 
 
 def _lists(index: Index, keys: DataFrame) -> DataFrame:
@@ -88,7 +93,7 @@ def _lists(index: Index, keys: DataFrame) -> DataFrame:
 
 
 def phrases(index: Index, found: DataFrame, keys: DataFrame, lists: DataFrame) -> DataFrame:
-    """(row, item, low, high): stretches of words in a row that windows of an item cover."""
+    """(row, item, diagonal, low, high): stretches of words in a row that windows of an item cover; a place less its diagonal is the offset in the item."""
     keyed = _small(keys.select("item", "offset", "term").distinct())
     # dealt by row, what follows stays where it is
     shifted = lists.repartition("row").join(keyed, "term").select("row", "item", (F.col("pos") - F.col("offset")).alias("diagonal"), "offset")
@@ -103,12 +108,12 @@ def phrases(index: Index, found: DataFrame, keys: DataFrame, lists: DataFrame) -
     line = W.partitionBy("row", "item", "diagonal").orderBy("offset")
     runs = matched.withColumn("run", F.col("offset") - F.row_number().over(line)).groupBy("row", "item", "diagonal", "run").agg(F.min("offset").alias("a"), F.max("offset").alias("b"))
     spans = found.select("item", "span").distinct()
-    return runs.join(_small(spans), "item").where("b - a + 1 >= span").select("row", "item", (F.col("diagonal") + F.col("a")).alias("low"), (F.col("diagonal") + F.col("b")).alias("high"))
+    return runs.join(_small(spans), "item").where("b - a + 1 >= span").select("row", "item", "diagonal", (F.col("diagonal") + F.col("a")).alias("low"), (F.col("diagonal") + F.col("b")).alias("high"))
 
 
 def proximities(keys: DataFrame, lists: DataFrame, span: int = SPAN) -> DataFrame:
     """(row, item) where the rarest terms of one of the item's windows stand within so many words, in any order."""
-    sets = keys.groupBy("item", "start").agg(F.array_sort(F.collect_list("term")).alias("terms")).select("item", "terms").distinct()
+    sets = keys.groupBy("item", "start").agg(F.array_sort(F.collect_set("term")).alias("terms")).select("item", "terms").distinct()
     bits = sets.select("item", F.xxhash64("item", "terms").alias("set"), F.size("terms").alias("n"), F.posexplode("terms").alias("bit", "term"))
     hits = lists.repartition("row").join(_small(bits), "term").select("row", "item", "set", "n", "pos", F.expr("shiftleft(1, bit)").alias("mask"))
     # only rows with all of a set's terms anywhere are looked at place by place
@@ -119,7 +124,7 @@ def proximities(keys: DataFrame, lists: DataFrame, span: int = SPAN) -> DataFram
 
 
 def matches(index: Index, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, n_keys: int = KEYS, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
-    """Phrase matches (row, item, item_id, low, high) and proximity matches (row, item, item_id) of the items in the indexed texts."""
+    """Phrase matches (row, item, item_id, diagonal, low, high) and proximity matches (row, item, item_id) of the items in the indexed texts."""
     terms = cut(item_terms(items, id_col, text_col, window))
     found = cut(windows(index, terms))
     keys = found.where(F.col("key") <= n_keys)
@@ -128,20 +133,32 @@ def matches(index: Index, items: DataFrame, id_col: str = "item_id", text_col: s
     return phrases(index, found, keys, lists).join(ids, "item"), proximities(keys, lists, span).join(ids, "item")
 
 
-def contamination(index: Index, items: DataFrame, **options) -> DataFrame:
-    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated, n_near (items with a proximity match)."""
+def verified(found: DataFrame, docs: DataFrame, items: DataFrame, text_col: str = "text", item_text_col: str = "text") -> DataFrame:
+    """The phrase matches (row, item, item_id, low, high) whose words stand in both texts; docs as numbered() gives them. Only texts with a match are split."""
+    words = docs.join(_small(found.select("row").distinct()), "row", "left_semi").select("row", letter_words(F.col(text_col)).alias("words"))
+    own = with_row(items.select(letter_words(F.col(item_text_col)).alias("own")), "item")
+    met = found.join(words, "row").join(_small(own), "item")
+    at = F.col("low") - F.col("diagonal")
+    same = F.slice("words", F.col("low") + 1, F.col("high") - F.col("low") + 1) == F.slice("own", at + 1, F.col("high") - F.col("low") + 1)
+    return met.where(same).select("row", "item", "item_id", "low", "high")
+
+
+def contamination(index: Index, docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """One row per document of an index of docs: n_words, n_hit, n_items, items_sha256, contaminated, n_near (items with a proximity match)."""
     exact, near = matches(index, items, **options)
-    exact = cut(exact)
+    exact = cut(verified(cut(exact), numbered(docs), items))
     words = exact.select("row", F.explode(F.sequence("low", "high")).alias("pos")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
     of_row = exact.select("row", "item", "item_id").distinct().groupBy("row").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("ids"))
     by_row = near.groupBy("row").agg(F.count("*").alias("n_near"))
-    out = index.docs.join(words, "row", "left").join(of_row, "row", "left").join(by_row, "row", "left")
+    sizes = index.postings.groupBy("row").agg(F.count("*").alias("n_words"))
+    out = index.docs.join(sizes, "row", "left").join(words, "row", "left").join(of_row, "row", "left").join(by_row, "row", "left")
     none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select("doc_id", "n_words", none("n_hit"), none("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), none("n_near"))
+    return out.select("doc_id", none("n_words"), none("n_hit"), none("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), none("n_near"))
 
 
 def op11_decontaminate(spark, sf_dir):
-    return contamination(build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+    docs = table(spark, sf_dir, "documents")
+    return contamination(build(docs), docs, table(spark, sf_dir, "benchmark"))
 
 
 def oracle() -> str:

@@ -73,29 +73,39 @@ def test_decontaminate(spark, monkeypatch):
     items = common.cut(spark.createDataFrame([(*i, "clash") for i in ITEMS], "item_id string, text string, row string").coalesce(1))
     want = plain(brute_contamination(DOCS, ITEMS))
     index = decontaminate.build(docs)
-    assert plain(decontaminate.contamination(index, items).collect()) == want
+    assert plain(decontaminate.contamination(index, docs, items).collect()) == want
     assert sum(r[5] for r in want) == 8 and any(r[6] > r[3] for r in want)
     # the stored index serves another benchmark, and joins that aren't broadcast give the same
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", -1)
     again = decontaminate.load(spark, index.folder)
-    assert plain(decontaminate.contamination(again, items).collect()) == want
+    assert plain(decontaminate.contamination(again, docs, items).collect()) == want
     some = [(str(k), t) for k, (_, t) in enumerate(ITEMS[:2])]
-    got = decontaminate.contamination(again, spark.createDataFrame(some, "item_id string, text string"), window=5, n_keys=2, span=7)
+    got = decontaminate.contamination(again, docs, spark.createDataFrame(some, "item_id string, text string"), window=5, n_keys=2, span=7)
     assert plain(got.collect()) == plain(brute_contamination(DOCS, some, 5, 2, 7))
 
 
+def test_matches_are_held_against_the_words(spark):
+    """A stretch that only hashes would find is dropped."""
+    docs = common.cut(spark.createDataFrame([(1, "a b c d"), (2, "a b x d")], "doc_id long, text string").coalesce(1))
+    items = common.cut(spark.createDataFrame([("7", "q a b c")], "item_id string, text string").coalesce(1))
+    rows = decontaminate.numbered(docs)
+    row = {r.doc_id: r.row for r in rows.collect()}
+    found = spark.createDataFrame([(row[1], 0, "7", -1, 0, 2), (row[2], 0, "7", -1, 0, 2), (row[2], 0, "7", -1, 0, 1)], "row long, item long, item_id string, diagonal int, low int, high int")
+    assert {tuple(r) for r in decontaminate.verified(found, rows, items).collect()} == {(row[1], 0, "7", 0, 2), (row[2], 0, "7", 0, 1)}
+
+
 def test_decontaminate_empty(spark):
     docs = common.cut(spark.createDataFrame(DOCS, "doc_id long, text string"))
     items = spark.createDataFrame(ITEMS, "item_id string, text string")
-    assert all(r.n_hit == 0 and not r.contaminated and r.items_sha256 == sha("") for r in decontaminate.contamination(decontaminate.build(docs), items.limit(0)).collect())
-    assert decontaminate.contamination(decontaminate.build(docs.limit(0)), items).count() == 0
+    assert all(r.n_hit == 0 and not r.contaminated and r.items_sha256 == sha("") for r in decontaminate.contamination(decontaminate.build(docs), docs, items.limit(0)).collect())
+    assert decontaminate.contamination(decontaminate.build(docs.limit(0)), docs.limit(0), items).count() == 0
 
 
 def test_index_lists_lie_together(spark):
     index = decontaminate.build(common.cut(spark.createDataFrame([(i, prose(i, 200)) for i in range(20)], "doc_id long, text string").coalesce(2)))
-    seen = index.postings.select(F.spark_partition_id().alias("p"), "hash").collect()
+    seen = index.postings.select(F.spark_partition_id().alias("p"), "term").collect()
     for p in {r.p for r in seen}:
-        terms = [r.hash for r in seen if r.p == p]
+        terms = [r.term for r in seen if r.p == p]
         assert terms == sorted(terms)
 
 
