@@ -155,11 +155,11 @@ SELECT *, row_number() OVER (PARTITION BY qid ORDER BY lifted DESC, doc_id) AS r
     "signals_six": rf"""WITH {retrieval._BASE}, dd AS (SELECT doc_id, list_distinct({_TOKENS}) AS w, {_LOWER_NAMED} AS e, {_topic(_TOKENS)} AS t FROM documents), ii AS (SELECT item_id AS qid, list_distinct({_TOKENS}) AS w, {_LOWER_NAMED} AS e, {_topic(_TOKENS)} AS t FROM benchmark),
 se AS (SELECT *, list_distinct(flatten(list(e) OVER x)) AS s_e, last_value(t) OVER x AS s_t, list(w) OVER x AS s_q FROM ii WINDOW x AS (ORDER BY qid RANGE BETWEEN {cache.QUESTIONS} PRECEDING AND 1 PRECEDING)),
 c AS (SELECT b.qid, b.doc_id, b.score, {retrieval._D2} AS d2, dd.w, dd.e, dd.t, se.w AS qw, se.e AS qe, se.t AS qt, s_e, s_t, s_q FROM {retrieval._ranked("bm", 20)} b JOIN dd USING (doc_id) JOIN se ON se.qid = b.qid LEFT JOIN embeddings v ON v.vec_id = b.doc_id LEFT JOIN embeddings q ON q.vec_id = b.qid),
-g AS (SELECT qid, doc_id, round(coalesce(round(1 / (1 + d2), 6), 0), 4) AS dense, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, score / {cache.FULL_BM25})), 4) AS bm25,
-  round(CASE WHEN greatest(len(e), len(qe)) = 0 THEN 0 ELSE len(list_intersect(e, qe)) / greatest(len(e), len(qe)) END, 4)::DOUBLE AS entity_overlap,
+g AS (SELECT qid, doc_id, round(coalesce(round(1 / (1 + d2), 6), 0) + {cache.NUDGE}, 4) AS dense, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, score / {cache.FULL_BM25})) + {cache.NUDGE}, 4) AS bm25,
+  round(CASE WHEN greatest(len(e), len(qe)) = 0 THEN 0 ELSE len(list_intersect(e, qe)) / greatest(len(e), len(qe)) END + {cache.NUDGE}, 4)::DOUBLE AS entity_overlap,
   round(least(1.0::DOUBLE, CASE WHEN coalesce(len(s_e), 0) = 0 THEN 0 ELSE {cache.OF_ENTITIES}::DOUBLE * (len(list_intersect(s_e, e)) / len(s_e)) END + CASE WHEN s_t = t THEN {cache.OF_TOPIC}::DOUBLE ELSE 0 END
-    + CASE WHEN len(qw) = 0 THEN 0 ELSE coalesce(list_sum(list_transform(s_q, lambda z: {cache.OF_QUESTION}::DOUBLE * (len(list_intersect(qw, z)) / len(qw)))), 0) END), 4) AS session_relevance,
-  (qt = t)::INT::DOUBLE AS cluster_match, round(CASE WHEN len(qw) = 0 THEN 0 ELSE len(list_intersect(qw, w)) / len(qw) END, 4)::DOUBLE AS text_overlap FROM c),
+    + CASE WHEN len(qw) = 0 THEN 0 ELSE coalesce(list_sum(list_transform(s_q, lambda z: {cache.OF_QUESTION}::DOUBLE * (len(list_intersect(qw, z)) / len(qw)))), 0) END) + {cache.NUDGE}, 4) AS session_relevance,
+  (qt = t)::INT::DOUBLE AS cluster_match, round(CASE WHEN len(qw) = 0 THEN 0 ELSE len(list_intersect(qw, w)) / len(qw) END + {cache.NUDGE}, 4)::DOUBLE AS text_overlap FROM c),
 k AS (SELECT *, round({" + ".join(f"{v}::DOUBLE * {n}" for n, v in cache.WEIGHTS.items())}, 6) AS combined FROM g)
 SELECT *, row_number() OVER (PARTITION BY qid ORDER BY combined DESC, doc_id) AS rank FROM k""",
     "evidence_spans_merged": f"""WITH RECURSIVE {retrieval._BASE}, b AS (SELECT qid, doc_id, rank, text FROM {retrieval._ranked("bm", 3)} JOIN documents USING (doc_id)),

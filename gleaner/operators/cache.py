@@ -55,6 +55,8 @@ WEIGHTS = {"dense": 0.25, "bm25": 0.20, "entity_overlap": 0.20, "session_relevan
 OF_ENTITIES, OF_TOPIC, OF_QUESTION, QUESTIONS = 0.5, 0.3, 0.2, 3
 #: A BM25 score that counts in full.
 FULL_BM25 = 50
+#: What takes a value that lies between two roundings to the upper one on every engine.
+NUDGE = 1e-9
 
 
 def six_signals(found: DataFrame) -> DataFrame:
@@ -75,7 +77,7 @@ def six_signals(found: DataFrame) -> DataFrame:
         "entity_overlap": F.when(most == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(d, q)) / most), "session_relevance": session,
         "cluster_match": (F.coalesce(F.col("q_topic") == F.col("d_topic"), F.lit(False))).cast("double"), "text_overlap": share(words, some(F.col("d_words"))),
     }
-    out = found.select("qid", "doc_id", *[F.round(v, 4).alias(name) for name, v in values.items()])
+    out = found.select("qid", "doc_id", *[F.round(v + NUDGE, 4).alias(name) for name, v in values.items()])
     total = sum((weight * F.col(name) for name, weight in WEIGHTS.items()), F.lit(0.0))
     ranked = out.withColumn("combined", F.round(total, 6))  # all digits that four of a signal give
     return ranked.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("combined"), "doc_id")))
