@@ -12,11 +12,12 @@ For a byte-pair model an arc weighs nothing if the merges, run on the two neighb
 joined text, give back just these two pieces, and is infinite otherwise: a sequence of pieces is
 what the merges make of its text if and only if that holds for every neighbouring pair, so one
 path is left and it is the model's own encoding. (Weighing byte-pair pieces by their scores
-would give other ids than the model's.)
+would give other ids than the model's.) So does one path to each place inside the text, which lets
+the path be followed depth first, longest piece first: a place that leads nowhere never does.
 
 The lattice falls apart wherever no piece holds the two neighbouring characters side by side (as
 at most word marks and punctuation), and the paths of its parts are kept in a cache of bounded
-size. Texts are taken whole. Null texts give null ids, empty texts none; repeated rows
+size, in which parts that come again outlive others. Texts are taken whole. Null texts give null ids, empty texts none; repeated rows
 are rows of their own; an empty table gives an empty result; an input column is never
 overwritten by name, as only the id and text columns are read (encode() keeps the others apart).
 """
@@ -25,8 +26,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -37,8 +38,8 @@ from pyspark.sql import types as T
 from gleaner.llm.common import TEXT_BATCH, batch_rows, table
 
 INF = float("inf")
-#: Entries of the caches of parts and of neighbouring pairs.
-PARTS, PAIRS = 250_000, 200_000
+#: Entries of the caches of parts and of neighbouring pairs; of parts where the work is nothing but coding.
+PARTS, PAIRS, MANY_PARTS = 100_000, 200_000, 1_000_000
 #: State before the first piece, and after a character without a piece: no merge reaches across it.
 START = -1
 MARK = "▁"
@@ -106,8 +107,8 @@ class Normaliser:
 
 
 class Transducer:
-    def __init__(self, pieces: dict[str, int], scores: list[float], byte_ids: list[int], texts: list[bytes | None], merging: bool, prefix: bool, unknown: int, normaliser: Normaliser | None = None, own: dict[str, int] | None = None):
-        self.normaliser, self.own = normaliser, own or {}
+    def __init__(self, pieces: dict[str, int], scores: list[float], byte_ids: list[int], texts: list[bytes | None], merging: bool, prefix: bool, unknown: int, normaliser: Normaliser | None = None, own: dict[str, int] | None = None, kept: int | None = None):
+        self.normaliser, self.own, self.kept = normaliser, own or {}, kept or PARTS
         self.own_cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.own, key=len, reverse=True))) + ")") if self.own else None
         self.pieces, self.scores, self.byte_ids, self.texts = pieces, scores, byte_ids, texts
         self.merging, self.prefix, self.unknown = merging, prefix, unknown
@@ -118,15 +119,16 @@ class Transducer:
 
     def _forget(self) -> None:
         self._parts: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._pairs: dict[int, float] = {}
         self._steps: dict[int, tuple] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"_parts": {}, "_pairs": {}, "_steps": {}}
+        return self.__dict__ | {"_parts": {}, "_older": {}, "_pairs": {}, "_steps": {}}
 
     @classmethod
-    def compile(cls, path: str) -> Transducer:
-        """From a SentencePiece model file."""
+    def compile(cls, path: str, kept: int | None = None) -> Transducer:
+        """From a SentencePiece model file; kept: parts in the cache."""
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -152,7 +154,7 @@ class Transducer:
             texts.append(text)
         merging = model.trainer_spec.model_type == model.trainer_spec.BPE
         normaliser = Normaliser(spec.precompiled_charsmap, spec.remove_extra_whitespaces, list(own)) if spec.precompiled_charsmap or spec.remove_extra_whitespaces else None
-        return cls(pieces, [p.score for p in model.pieces], byte_ids if model.trainer_spec.byte_fallback else [], texts, merging, spec.add_dummy_prefix, unknown, normaliser, own)
+        return cls(pieces, [p.score for p in model.pieces], byte_ids if model.trainer_spec.byte_fallback else [], texts, merging, spec.add_dummy_prefix, unknown, normaliser, own, kept)
 
     # ---- weights
 
@@ -212,6 +214,45 @@ class Transducer:
 
     def path(self, text: str) -> list[int]:
         """Ids of the shortest path through the lattice of a part."""
+        return self._only_path(text) if self.merging else self._least_path(text)
+
+    def _only_path(self, text: str) -> list[int]:
+        """The path without infinite arcs."""
+        n, get, single, known, size = len(text), self.prefixes.get, self.pieces, self._pairs.get, len(self.texts)
+        nowhere, at, state, path, options, others, strange = set(), 0, START, [], None, [], False
+        while at < n:
+            if options is None:
+                options = []
+                if text[at] not in single:  # byte arcs
+                    options.append((at + 1, START))
+                    strange = True
+                else:
+                    for j in range(at + 1, n + 1):
+                        piece = get(text[at:j])
+                        if piece is None:
+                            break
+                        if piece >= 0:
+                            options.append((j, piece))
+            while options:
+                j, piece = options.pop()
+                if j in nowhere:
+                    continue
+                if piece == START:
+                    break
+                arc = known(state * size + piece)
+                if (self.weight(state, piece) if arc is None else arc) == 0:
+                    break
+            else:
+                nowhere.add(at)
+                at, state, options = others.pop()
+                path.pop()
+                continue
+            others.append((at, state, options))
+            path.append(piece if piece != START else text[at])
+            at, state, options = j, piece, None
+        return path if not strange else [i for p in path for i in ([p] if isinstance(p, int) else self._bytes(p))]
+
+    def _least_path(self, text: str) -> list[int]:
         n, get, single, known, size = len(text), self.prefixes.get, self.pieces, self._pairs.get, len(self.texts)
         cost, last, back = [0.0] + [INF] * n, [START] * (n + 1), [0] * (n + 1)
         for i in range(n):
@@ -231,26 +272,30 @@ class Transducer:
         out, j = [], n
         while j:
             if last[j] == START:
-                raw = text[j - 1].encode("utf-8", "surrogatepass")
-                out += [self.byte_ids[b] for b in reversed(raw)] if self.byte_ids else [self.unknown]
+                out += reversed(self._bytes(text[j - 1]))
             else:
                 out.append(last[j])
             j = back[j]
         return out[::-1]
 
+    def _bytes(self, character: str) -> list[int]:
+        return [self.byte_ids[b] for b in character.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
+
     def part(self, text: str) -> bytes:
-        joint, known = self.neighbours, self._parts
-        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in joint]
-        if cuts:  # nothing reads across such a place, so the ends are parts of their own
-            ends = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
-            got = b"".join([known.get(e) or self.part(e) for e in ends])
-        else:
-            got = np.array(self.path(text), np.dtype("<i4")).tobytes()
+        got = self._older.get(text)
+        if got is None:
+            # short words have no place to cut, or so seldom that looking for it takes longer than it saves
+            joint = self.neighbours if len(text) > 64 or not text[1:].isalpha() else None
+            cuts = joint and [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in joint]
+            if cuts:  # nothing reads across such a place, so the ends are parts of their own
+                ends = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+                got = b"".join([self._parts.get(e) or self.part(e) for e in ends])
+            else:
+                got = struct.pack(f"<{len(ids := self.path(text))}i", *ids)
         if len(text) <= 64:
-            if len(known) >= PARTS:  # the older half goes
-                for old in list(islice(known, PARTS // 2)):
-                    del known[old]
-            known[text] = got
+            if len(self._parts) >= self.kept // 2:  # what isn't asked for until it is half full again goes
+                self._older, self._parts = self._parts, {}
+            self._parts[text] = got
         return got
 
     def encode(self, text: str) -> np.ndarray:
@@ -286,8 +331,8 @@ class Transducer:
 _CUTS, _WHOLE = re.compile(r" +[^ \n]*|\n|[^ \n]+"), re.compile(r"(?s).+")
 
 
-def _compiled(spark, path: str | None):
-    return spark.sparkContext.broadcast(Transducer.compile(path or default_model()))
+def _compiled(spark, path: str | None, kept: int | None = None):
+    return spark.sparkContext.broadcast(Transducer.compile(path or default_model(), kept))
 
 
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -321,7 +366,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     batch_rows(spark, TEXT_BATCH)
-    shared = _compiled(spark, path)
+    shared = _compiled(spark, path, MANY_PARTS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fst = shared.value

@@ -552,3 +552,18 @@ def test_unigram_path_is_the_best():
         t = "".join(rng.choice("ab ") for _ in range(rng.randint(1, 9)))
         ids = fst.encode(t)
         assert fst.decode(ids) == t and math.isclose(sum(scores[i] for i in ids), best(" " + t))
+
+
+def test_common_parts_stay_in_a_small_cache_and_paths_are_followed_depth_first(monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(sentencepiece_fst, "PARTS", 40)
+    rng, asked = np.random.default_rng(6), Counter()
+    fst = sentencepiece_fst.Transducer.compile(sentencepiece_fst.default_model())
+    whole, lib = fst.path, sentencepiece.SentencePieceProcessor(model_file=sentencepiece_fst.default_model())
+    fst.path = lambda part: (asked.update([part]), whole(part))[1]
+    words = ["".join(rng.choice(list("abdeghinorstuéß!&\u4e2d\U0001f600"), rng.integers(1, 14))) for _ in range(600)]
+    for w in words:
+        assert fst.encode(f"{w} the other").tolist() == lib.encode(f"{w} the other")
+    assert asked[" other"] == 1 and asked[" the"] == 1 and len(fst._parts) <= 40
+
