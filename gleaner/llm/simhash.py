@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import NUMBER_BATCH, TEXT_BATCH, batch_rows, connected_components, cut, sampled, table, with_row
+from gleaner.llm.common import NUMBER_BATCH, TEXT_BATCH, batch_rows, connected_components, cut, giving_back, sampled, table, with_row
 
 _TO_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 SEED = 42
@@ -298,7 +298,7 @@ def sketches(docs: DataFrame, shape: Shape) -> DataFrame:
 
     kept = docs.select("_row", "name", "text")
     name = kept.schema["name"].dataType.simpleString()
-    return kept.mapInPandas(run, f"_row long, name {name}, node long, size long, {', '.join(f'{c} long' for c in lanes)}, bands array<long>")
+    return kept.mapInPandas(giving_back(run), f"_row long, name {name}, node long, size long, {', '.join(f'{c} long' for c in lanes)}, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, shape: Shape) -> DataFrame:
@@ -308,7 +308,7 @@ def shingle_sets(docs: DataFrame, shape: Shape) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"node": batch["node"], "shingles": [shingle_set(t, shape.words).view(np.int64) for t in batch["text"]]})
 
-    return docs.select("node", "text").mapInPandas(run, "node long, shingles array<long>")
+    return docs.select("node", "text").mapInPandas(giving_back(run), "node long, shingles array<long>")
 
 
 def common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import TEXT_BATCH, batch_rows, cut, plain_words, table, with_row
+from gleaner.llm.common import TEXT_BATCH, batch_rows, cut, giving_back, plain_words, table, with_row
 
 LENGTH, CORE = 100, 56
 SIDE = LENGTH - CORE
@@ -485,12 +485,12 @@ def _likely(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def covered_ranges(docs: DataFrame) -> DataFrame:
     """(_row, low, high): ranges of bytes to remove, possibly overlapping. docs: ord, _row, text."""
     places = "ord long, _row long, pos long, stop long"
-    found = docs.select("ord", "_row", "text").mapInArrow(_find, f"h long, e long, {places}")
-    settled = cut(found.repartition("h").sortWithinPartitions("h", "e", "ord", "_row", "pos").mapInArrow(_settle, f"kind int, h long, {places}"))
+    found = docs.select("ord", "_row", "text").mapInArrow(giving_back(_find), f"h long, e long, {places}")
+    settled = cut(found.repartition("h").sortWithinPartitions("h", "e", "ord", "_row", "pos").mapInArrow(giving_back(_settle), f"kind int, h long, {places}"))
     firsts = settled.where("kind = 1")
     wanted = firsts.groupBy("_row").agg(F.collect_list(F.struct("h", "pos")).alias("firsts"))  # at most one a byte of the document
-    excerpts = _likely(docs.select("ord", "_row", "text"), firsts)[0].join(wanted, "_row").select("ord", "_row", "text", "firsts").mapInArrow(_cut_out, "h long, ord long, _row long, pos long, left binary, right binary")
-    compared = cut(excerpts.repartition("h").sortWithinPartitions("h", "ord", "_row", "pos").mapInArrow(_compare, f"kind int, w1 long, w2 long, {places}"))
+    excerpts = _likely(docs.select("ord", "_row", "text"), firsts)[0].join(wanted, "_row").select("ord", "_row", "text", "firsts").mapInArrow(giving_back(_cut_out), "h long, ord long, _row long, pos long, left binary, right binary")
+    compared = cut(excerpts.repartition("h").sortWithinPartitions("h", "ord", "_row", "pos").mapInArrow(giving_back(_compare), f"kind int, w1 long, w2 long, {places}"))
     large = compared.where("kind = 2")
     first = large.groupBy("w1", "w2").agg(F.min(F.struct("ord", "_row", "pos")).alias("first"))
     later = large.join(first, ["w1", "w2"]).where("first._row <> _row or first.pos <> pos")

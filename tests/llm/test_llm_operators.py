@@ -567,3 +567,17 @@ def test_common_parts_stay_in_a_small_cache_and_paths_are_followed_depth_first(m
         assert fst.encode(f"{w} the other").tolist() == lib.encode(f"{w} the other")
     assert asked[" other"] == 1 and asked[" the"] == 1 and len(fst._parts) <= 40
 
+
+def test_workers_give_memory_back():
+    resident = lambda: int(next(x for x in open("/proc/self/status") if x.startswith("VmRSS")).split()[1])
+
+    def run(batches):
+        for n in batches:
+            last = [np.ones(500) for _ in range(n)]
+            pins.append(np.ones(500))  # at the heap's end: what lies before it stays with the process
+            yield resident()
+            del last
+
+    pins, before = [], resident()
+    held = list(common.giving_back(run)([50_000]))[0]
+    assert held - before > 150_000 and resident() - before < (held - before) // 4
