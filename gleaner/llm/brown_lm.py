@@ -24,18 +24,16 @@ columns are read. A text of any length is one row's work.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import NUMBER_BATCH, TEXT_BATCH, batch_rows, cut, table, with_row, written
+from gleaner.llm.common import NUMBER_BATCH, TEXT_BATCH, batch_rows, giving_back, table, with_row, written
 
 _TO_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 #: Words that travel with the tasks and are clustered in rounds; times that a clustered word must be seen; classes; shape classes; rounds of exchange.
@@ -59,9 +57,49 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").translate(_TO_LOWER).split(), END]
 
 
+#: Bytes that are hashed at a time; words longer than this many bytes go by XXH64.
+_CHUNK, _LONG = 1 << 20, 64
+_SPACE, _ALPHA, _KIND = np.zeros(256, bool), np.zeros(256, bool), np.full(256, 3, np.int64)
+_SPACE[list(b"\t\n\x0b\x0c\r ")] = True
+_ALPHA[list(range(97, 123)) + list(range(65, 91))] = True
+_KIND[_ALPHA], _KIND[list(b"0123456789")], _KIND[list(b"aeiouy")] = 1, 2, 0
+_LOWER = np.frombuffer(_TO_LOWER, np.uint8)
+_BYTES = np.random.default_rng(9).integers(0, 1 << 64, 256, np.uint64)
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+@lru_cache(1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd factor and of its inverse, modulo 2 ** 64."""
+    up, down = (np.full(_CHUNK + _LONG, x, np.uint64) for x in (_FACTOR, pow(_FACTOR, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word data[start:end]; words are apart and in order. A word's hash is a sum over its bytes, taken as a difference of running sums."""
+    up, down = _powers()
+    sizes = ends - starts
+    out = sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    low = 0
+    while low < len(starts):
+        first = int(starts[low])
+        high = int(np.searchsorted(starts, first + _CHUNK))
+        part = data[first : first + _CHUNK + _LONG]
+        run = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTES[part] * up[: len(part)], dtype=np.uint64, out=run[1:])
+        at = starts[low:high] - first
+        out[low:high] += (run[at + np.minimum(sizes[low:high], _LONG)] - run[at]) * down[at]
+        low = high
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    out ^= out >> np.uint64(29)
+    for i in np.nonzero(sizes > _LONG)[0].tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), 9)
+    return out.view(np.int64)
+
+
 def _hash(word: bytes) -> int:
-    h = xxhash.xxh64_intdigest(word, 9)
-    return h - (1 << 64) if h >> 63 else h
+    return int(hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0]) if word else 0
 
 
 @lru_cache(1 << 18)
@@ -73,97 +111,135 @@ def shape_class(word: bytes) -> int:
     return CLASSES + (min(len(word) // 3, 3) * 8 + kind * 2 + odd) % SHAPES
 
 
+def token_arrays(texts: pa.Array, shapes: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """tokens() of all texts (not null) one after the other: hashes, shape classes, and where each text begins; an end follows each text, so that it stands before the next one, too."""
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    _, bounds, content = texts.buffers()
+    bounds = np.frombuffer(bounds, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(content or b"", np.uint8)[bounds[0] : bounds[-1]]
+    data, bounds = _LOWER[data], bounds - bounds[0]
+    # a place where a run of white space, or a text, begins or ends
+    edge = np.zeros(len(data) + 1, bool)
+    edge[bounds] = True
+    word = ~_SPACE[data]
+    before, after = edge[:-1].copy(), edge[1:].copy()
+    before[1:] |= ~word[:-1]
+    after[:-1] |= ~word[1:]
+    starts, ends = np.nonzero(word & before)[0], np.nonzero(word & after)[0] + 1
+    words_until = np.searchsorted(starts, bounds)
+    begins = words_until[:-1] + np.arange(len(texts))
+    of = np.arange(len(starts)) + np.repeat(np.arange(len(texts)), np.diff(words_until))
+    hashed = np.zeros(len(starts) + len(texts), np.int64)
+    hashed[of] = hashes(data, starts, ends)
+    if not shapes:
+        return hashed, None, begins
+    shaped = np.full(len(hashed), shape_class(END), np.int64)
+    letters = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(_ALPHA[data], dtype=np.int32, out=letters[1:])
+    sizes = ends - starts
+    odd = (letters[ends] - letters[starts]) != sizes
+    shaped[of] = CLASSES + (np.minimum(sizes // 3, 3) * 8 + _KIND[data[ends - 1]] * 2 + odd) % SHAPES
+    return hashed, shaped, begins
+
+
+def sliced(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The columns as batches of bounded size."""
+    n = len(next(iter(columns.values())))
+    for i in range(0, n, NUMBER_BATCH):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + NUMBER_BATCH]) for c in columns.values()], list(columns))
+
+
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """(hash, shape, n) of every training token."""
+    """(hash, n) of every training token."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        seen, n = np.empty(0, np.int64), np.empty(0, np.int64)
 
-        def rows() -> pd.DataFrame:
-            return pd.DataFrame({"hash": np.array([_hash(w) for w in seen], np.int64), "shape": np.array([shape_class(w) for w in seen], np.int32), "n": np.array(list(seen.values()), np.int64)})
+        def merged():
+            own, times = np.unique(np.concatenate(parts), return_counts=True)
+            both, at = np.unique(np.concatenate([seen, own]), return_inverse=True)
+            return both, np.bincount(at, np.concatenate([n, times])).astype(np.int64)
 
         for batch in batches:
-            for text in batch["text"]:
-                seen.update(tokens(text))
-            if len(seen) > MERGED:
-                yield rows()
-                seen.clear()
-        yield rows()
+            if len(batch):
+                parts.append(token_arrays(batch.column("text"), shapes=False)[0])
+                size += len(parts[-1])
+            if size > 2 * MERGED:
+                seen, n = merged()
+                parts, size = [], 0
+                if len(seen) > MERGED:
+                    yield from sliced({"hash": seen, "n": n})
+                    seen, n = seen[:0], n[:0]
+        if parts:
+            seen, n = merged()
+        yield from sliced({"hash": seen, "n": n})
 
-    counted = docs.where(~F.col("held_out")).select("text").mapInPandas(count, "hash long, shape int, n long")
-    return counted.groupBy("hash", "shape").agg(F.sum("n").alias("n"))
+    counted = docs.where(~F.col("held_out")).select("text").mapInArrow(giving_back(count), "hash long, n long")
+    return counted.groupBy("hash").agg(F.sum("n").alias("n"))
 
 
 class Lexicon:
-    """The commonest words for use inside tasks, by falling count: their hashes, counts and shape classes. At most RESOLVED words."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, shapes: np.ndarray):
-        self.hashes, self.counts, self.shapes = hashes, counts, shapes
-        self._rank: dict = {}
-        self._seen: dict = {}
-
-    def __getstate__(self):
-        return {"hashes": self.hashes, "counts": self.counts, "shapes": self.shapes, "_rank": {}, "_seen": {}}
-
-    def code(self, word: bytes) -> int:
-        """The word's rank; for words outside, -1 - shape class."""
-        if not self._rank:
-            self._rank = {h: i for i, h in enumerate(self.hashes.tolist())}
-        got = self._rank.get(_hash(word), -1)
-        got = got if got >= 0 else -1 - shape_class(word)
-        if len(self._seen) > MERGED:  # a cache only
-            self._seen.clear()
-        self._seen[word] = got
-        return got
-
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        got = list(map(self._seen.get, words))
-        if None in got:
-            got = [self.code(w) if c is None else c for w, c in zip(words, got)]
-        return np.array(got, np.int64)
+    """The commonest words for use inside tasks, by falling count: their hashes and counts. At most RESOLVED words."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        self.hashes, self.counts = hashes, counts
+        self.order = np.argsort(hashes)
+        self.sorted = hashes[self.order]
+
+    def codes(self, hashed: np.ndarray, shaped: np.ndarray) -> np.ndarray:
+        """The words' ranks; for words outside, -1 - shape class."""
+        outside = -1 - shaped
+        if not len(self.sorted):
+            return outside
+        at = np.minimum(np.searchsorted(self.sorted, hashed), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == hashed, self.order[at], outside)
 
     def narrow(self, codes: np.ndarray) -> np.ndarray:
         """Codes as indices into the class table: the lexicon's words come first, then the shape classes, by which all others count as predecessors."""
         return np.where(codes >= 0, codes, len(self.hashes) - 1 - codes)
 
+    def end(self) -> np.ndarray:
+        """The end's index into the class table, in an array."""
+        return self.narrow(self.codes(np.array([_hash(END)]), np.array([shape_class(END)])))
+
 
 def bigrams(docs: DataFrame, lexicon) -> DataFrame:
-    """(a, b, hash, rare, n): neighbouring training tokens; a text begins after an end.
+    """(a, b, hash, n): neighbouring training tokens; a text begins after an end.
 
     a and b are indices into the class table. Words of the lexicon are counted within tasks and
     have no hash; others (rare) have theirs, and b is their shape class.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, parts, size = lexicon.value, [], 0
-        end, width = lex.narrow(lex.codes([END])), len(lex.hashes) + TOTAL
+        end, width = lex.end(), len(lex.hashes) + TOTAL
 
-        def rows() -> pd.DataFrame:
+        def rows() -> Iterator[pa.RecordBatch]:
             pairs, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pd.DataFrame({"a": pairs // width, "b": pairs % width, "hash": np.int64(0), "rare": False, "n": n})
+            for i in range(0, len(pairs), NUMBER_BATCH):
+                part = pairs[i : i + NUMBER_BATCH]
+                columns = [pa.array((part // width).astype(np.int32)), pa.array((part % width).astype(np.int32)), pa.nulls(len(part), pa.int64()), pa.array(n[i : i + NUMBER_BATCH].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "hash", "n"])
 
         for batch in batches:
-            before, own, hashes = [], [], []
-            for text in batch["text"]:
-                words = tokens(text)
-                codes = lex.codes(words)
-                c = np.concatenate([end, lex.narrow(codes)])
-                known = codes >= 0
-                parts.append((c[:-1] * width + c[1:])[known])
-                at = np.nonzero(~known)[0]
-                before.append(c[at])
-                own.append(c[at + 1])
-                hashes += [_hash(words[i]) for i in at.tolist()]
-                size += len(c)
-            if hashes:
-                yield pd.DataFrame({"a": np.concatenate(before), "b": np.concatenate(own), "hash": np.array(hashes, np.int64), "rare": True, "n": np.int64(1)})
+            if not len(batch):
+                continue
+            hashed, shaped, _ = token_arrays(batch.column("text"))
+            codes = lex.codes(hashed, shaped)
+            c = np.concatenate([end, lex.narrow(codes)])
+            known = codes >= 0
+            parts.append((c[:-1] * width + c[1:])[known])
+            at = np.nonzero(~known)[0]
+            yield from sliced({"a": c[at].astype(np.int32), "b": c[at + 1].astype(np.int32), "hash": hashed[at], "n": np.ones(len(at), np.int32)})
+            size += len(c)
             if size > 4 * MERGED:
-                yield rows()
+                yield from rows()
                 parts, size = [], 0
         if parts:
-            yield rows()
+            yield from rows()
 
-    return docs.where(~F.col("held_out")).select("text").mapInPandas(count, "a long, b long, hash long, rare boolean, n long")
+    return docs.where(~F.col("held_out")).select("text").mapInArrow(giving_back(count), "a int, b int, hash long, n int")
 
 
 def _matrix(rows: DataFrame) -> np.ndarray:
@@ -196,7 +272,7 @@ def _by_class(batch: pa.RecordBatch, assigned: np.ndarray) -> tuple[np.ndarray,
     of = np.repeat(np.arange(len(w)), np.diff(others.offsets.to_numpy()))
     other = others.flatten().to_numpy()
     at = of * 2 * TOTAL + assigned[other >> 1] + TOTAL * (other & 1)
-    return w.to_numpy(), np.bincount(at, counts.flatten().to_numpy(), len(w) * 2 * TOTAL).reshape(len(w), 2 * TOTAL)
+    return w.to_numpy().astype(np.int64), np.bincount(at, counts.flatten().to_numpy(), len(w) * 2 * TOTAL).reshape(len(w), 2 * TOTAL)
 
 
 def exchange(pairs: DataFrame, clustered: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
@@ -275,24 +351,30 @@ def classified(rare: DataFrame, assigned: np.ndarray, matrix: np.ndarray, first_
     """(hash, n, k, seen): the words outside the lexicon with their counts, classes, and counts by class of the predecessor. rare: as bigrams() gives it."""
     log, tokens_of = np.log(matrix[:, :CLASSES] + 0.5), np.log(matrix.sum(0)[:CLASSES] + 1)
 
-    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"hash": batch["hash"], "shape": batch["b"] - first_shape, "h": assigned[batch["a"]], "n": batch["n"]})
+            a, b = (batch.column(c).to_numpy() for c in "ab")
+            columns = [batch.column("hash"), pa.array((b - first_shape).astype(np.int32)), pa.array(assigned[a].astype(np.int32)), batch.column("n")]
+            yield pa.RecordBatch.from_arrays(columns, ["hash", "shape", "h", "n"])
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of = np.repeat(np.arange(len(batch)), batch["seen"].map(len))
-            entries = [e for seen in batch["seen"] for e in seen]
-            h, n = np.array([e["h"] for e in entries], np.int64), np.array([e["n"] for e in entries], np.float64)
-            gain = np.zeros((len(batch), CLASSES))
-            np.add.at(gain, of, n[:, None] * (log[h] - tokens_of))
-            k = np.where(batch["n"] >= LEAST_SEEN, gain.argmax(1), batch["shape"])
-            yield batch.assign(k=k)[["hash", "n", "k", "seen"]]
-
-    moved = rare.mapInPandas(named, "hash long, shape long, h long, n long").repartition("hash")
+            shape, seen = batch.column("shape").to_numpy(), batch.column("seen")
+            of = np.repeat(np.arange(len(batch)), np.diff(seen.offsets.to_numpy()))
+            h, n = (x.to_numpy() for x in seen.flatten().flatten())
+            k = shape.astype(np.int64)
+            often = batch.column("n").to_numpy() >= LEAST_SEEN
+            row = np.cumsum(often) - 1
+            used = often[of]
+            # counts by class of the predecessor, of the words that are clustered
+            counts = np.bincount(row[of[used]] * TOTAL + h[used], n[used], int(often.sum()) * TOTAL).reshape(-1, TOTAL)
+            k[often] = (counts @ log - counts.sum(1)[:, None] * tokens_of).argmax(1)
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("n"), pa.array(k), seen], ["hash", "n", "k", "seen"])
+
+    moved = rare.mapInArrow(named, "hash long, shape int, h int, n int").repartition("hash")
     by_class = moved.groupBy("hash", "shape", "h").agg(F.sum("n").alias("n"))
     whole = by_class.groupBy("hash", "shape").agg(F.sum("n").alias("n"), F.collect_list(F.struct("h", "n")).alias("seen"))  # at most TOTAL entries
-    return whole.mapInPandas(best, "hash long, n long, k long, seen array<struct<h: long, n: long>>")
+    return whole.mapInArrow(giving_back(best), "hash long, n long, k long, seen array<struct<h: int, n: long>>")
 
 
 def learn(docs: DataFrame, resolved: int = RESOLVED) -> dict:
@@ -301,14 +383,14 @@ def learn(docs: DataFrame, resolved: int = RESOLVED) -> dict:
     counted = written(vocabulary(docs))
     whole = counted.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     top = commonest(counted.where(F.col("n") >= LEAST_SEEN), resolved).toPandas().sort_values(["n", "hash"], ascending=[False, True])
-    lexicon = Lexicon(top["hash"].to_numpy(np.int64), top["n"].to_numpy(np.int64), top["shape"].to_numpy(np.int64))
+    lexicon = Lexicon(top["hash"].to_numpy(np.int64), top["n"].to_numpy(np.int64))
     shared = spark.sparkContext.broadcast(lexicon)
     found = written(bigrams(docs, shared))
     batch_rows(spark, 4 * NUMBER_BATCH)
-    pairs = written(found.where("not rare").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    pairs = written(found.where("hash is null").groupBy("a", "b").agg(F.sum("n").alias("n")))
     assigned, matrix, history = exchange(pairs, len(top))
     batch_rows(spark, 4 * NUMBER_BATCH)
-    words = written(classified(found.where("rare"), assigned, matrix, len(top)))
+    words = written(classified(found.where("hash is not null"), assigned, matrix, len(top)))
     matrix = matrix + _matrix(words.select("k", F.explode("seen").alias("s")).select((F.col("s.h") * TOTAL + F.col("k")).alias("at"), F.col("s.n").alias("n")))
     n_of, v_of = (np.bincount(assigned[: len(top)], x, TOTAL).astype(float) for x in (lexicon.counts, np.ones(len(top))))
     for r in words.groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
@@ -325,37 +407,36 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     batch_rows(spark, TEXT_BATCH)
     lexicon, assigned, follow = model["lexicon"], model["assigned"], model["follow"]
     mass, floor = np.log10(model["mass"]), math.log10(model["n"] + model["v"] + 1)
-    columns = ["kind", "_row", "hash", "h", "shape", "tf", "known", "base", "score"]
+    chances = (follow - mass[None, :]).ravel()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon.value
-        end, plus_one = assigned[lex.narrow(lex.codes([END]))], np.log10(lex.counts + 1.0)
+        end, plus_one = assigned[lex.end()], np.append(np.log10(lex.counts + 1.0), 0.0)
         for batch in batches:
-            whole, rare, hashes = [], [], []
-            for row, text in zip(batch["_row"].tolist(), batch["text"]):
-                words = tokens(text)
-                codes = lex.codes(words)
-                cls = assigned[lex.narrow(codes)]
-                before, known = np.concatenate([end, cls[:-1]]), codes >= 0
-                counts = plus_one[codes[known]].sum()
-                moves = (follow[before[known], cls[known]] - mass[cls[known]]).sum()
-                # what rare words add to both sums follows from their counts and classes, below
-                whole.append((0, row, row, 0, 0, len(words), int(known.sum()), counts - floor * len(words), moves + counts))
-                at = np.nonzero(~known)[0]
-                rare.append((np.full(len(at), row), before[at], cls[at]))
-                hashes += [_hash(words[i]) for i in at.tolist()]
-            yield pd.DataFrame(whole, columns=columns)
-            if hashes:
-                rows, ahead, own = map(np.concatenate, zip(*rare))
-                yield pd.DataFrame({"kind": 1, "_row": rows, "hash": np.array(hashes, np.int64), "h": ahead, "shape": own, "tf": 1, "known": 0, "base": 0.0, "score": 0.0})
-
-    parts = docs.select("_row", "text").mapInPandas(run, "kind int, _row long, hash long, h int, shape int, tf long, known long, base double, score double")
+            if not len(batch):
+                continue
+            hashed, shaped, begins = token_arrays(batch.column("text"))
+            codes = lex.codes(hashed, shaped)
+            cls = assigned[lex.narrow(codes)]
+            at, known = np.concatenate([end, cls[:-1]]) * TOTAL + cls, codes >= 0
+            counts = plus_one[np.where(known, codes, -1)]
+            # what rare words add to both sums follows from their counts and classes, below
+            of_text = lambda x: np.add.reduceat(x, begins)
+            n, row = np.diff(np.append(begins, len(codes))), batch.column("_row").to_numpy()
+            none = np.zeros(len(row), np.int32)
+            base, scored = of_text(counts) - floor * n, of_text(np.where(known, chances[at], 0.0) + counts)
+            yield from sliced({"kind": none, "_row": row, "hash": row, "at": none, "tf": n.astype(np.int32), "known": of_text(known.astype(np.int64)).astype(np.int32), "base": base, "score": scored})
+            rare, zero = np.nonzero(~known)[0], np.zeros(int((~known).sum()))
+            one = np.ones(len(rare), np.int32)
+            yield from sliced({"kind": one, "_row": np.repeat(row, n)[rare], "hash": hashed[rare], "at": at[rare].astype(np.int32), "tf": one, "known": zero.astype(np.int32), "base": zero, "score": zero})
+
+    parts = docs.select("_row", "text").mapInArrow(giving_back(run), "kind int, _row long, hash long, at int, tf int, known int, base double, score double")
     met = parts.join(model["words"].select(F.lit(1).alias("kind"), "hash", "n", "k"), ["kind", "hash"], "left")
     # follow less mass for every pair of classes: a constant table
-    chance = F.split(F.lit(",".join(map(repr, (follow - mass[None, :]).ravel().tolist()))), ",").cast("array<double>")
+    chance = F.split(F.lit(",".join(map(repr, chances.tolist()))), ",").cast("array<double>")
     seen = F.coalesce(F.col("n"), F.lit(0))
     gain = F.when(F.col("kind") == 1, F.col("tf") * F.log10(seen + F.lit(1.0))).otherwise(F.lit(0.0))
-    move = F.when(F.col("kind") == 1, F.col("tf") * F.get(chance, (F.col("h") * TOTAL + F.coalesce(F.col("k"), F.col("shape"))).cast("int"))).otherwise(F.lit(0.0))
+    move = F.when(F.col("kind") == 1, F.col("tf") * F.get(chance, (F.col("at") + F.coalesce(F.col("k") - F.col("at") % TOTAL, F.lit(0))).cast("int"))).otherwise(F.lit(0.0))
     summed = met.groupBy("_row").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("tf"))).alias("n_tokens"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(F.col("known"))).alias("n_known"),

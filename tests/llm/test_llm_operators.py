@@ -8,6 +8,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -472,6 +473,19 @@ def test_brown(docs, none, resolved):
     assert brown_lm.score(empty, brown_lm.learn(empty)).count() == 0
 
 
+def test_brown_words_as_arrays():
+    rng = random.Random(1)
+    texts = ["", " ", "a", "A b", "x" * 70, "y" * 3_000_000, "w1 W2 w3 " * 300_000] + ["".join(rng.choice("ab Z7\t\n\x0b\x0c\r .é\x00\x85\u3000ß") for _ in range(rng.randrange(60))) for _ in range(300)]
+    for array in (pa.array(texts), pa.array(["skipped", *texts, "z"]).slice(1, len(texts)), pa.array(texts, pa.large_string())):
+        hashed, shaped, begins = brown_lm.token_arrays(array)
+        want = [brown_lm.tokens(t) for t in texts]
+        flat = [w for t in want for w in t]
+        hash_of = {w: brown_lm._hash(w) for w in set(flat)}
+        assert len(set(hash_of.values())) == len(hash_of)
+        assert hashed.tolist() == [hash_of[w] for w in flat] and shaped.tolist() == [brown_lm.shape_class(w) for w in flat]
+        assert begins.tolist() == np.cumsum([0, *map(len, want)])[:-1].tolist()
+
+
 def test_brown_commonest_words_with_ties(spark):
     words = spark.createDataFrame([(h, 5 if h < 3 else 2 if h < 40 else 1) for h in range(60)], "hash long, n long")
     for most in (0, 2, 3, 10, 40, 45, 60, 99):
