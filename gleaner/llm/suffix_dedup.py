@@ -465,21 +465,13 @@ def _excerpts(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _likely(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents whose _row may be in rows, the others): a filter of fixed size, for less shuffle only."""
+    """(documents whose _row may be in rows, the others): a filter of fixed size, for less shuffle only; no Python, whose workers would lie beside those that the documents go to."""
     spot = F.pmod(F.xxhash64("_row"), F.lit(FILTER))
-    words = rows.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot % 64 as int)))").alias("bits")).collect()  # FILTER / 64 rows at most
-    bits = np.zeros(FILTER // 64, np.uint64)
-    for w in words:
-        bits[w["word"]] = np.int64(w["bits"]).astype(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def maybe(spots: pd.Series) -> pd.Series:
-        s = spots.to_numpy(np.uint64)
-        return pd.Series((shared.value[s >> _U(6)] >> (s & _U(63))) & _U(1) == 1)
-
-    marked = docs.withColumn("_maybe", maybe(spot))
-    return marked.where("_maybe").drop("_maybe"), marked.where("not _maybe").drop("_maybe")
+    bit = F.expr("bit_or(shiftleft(1L, cast(_spot % 64 as int)))").alias("_bits")
+    words = cut(rows.select(spot.alias("_spot")).groupBy(F.shiftright("_spot", 6).alias("_word")).agg(bit))  # FILTER / 64 rows at most
+    marked = docs.withColumn("_word", F.shiftright(spot, 6)).join(F.broadcast(words), "_word", "left")
+    maybe = F.col("_bits").isNotNull() & (F.getbit("_bits", spot % 64) == 1)
+    return tuple(marked.where(x).select(*docs.columns) for x in (maybe, ~maybe))
 
 
 def covered_ranges(docs: DataFrame) -> DataFrame:
@@ -518,35 +510,32 @@ def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *m
     return with_row(picked).withColumn("ord", F.coalesce("doc_id", F.lit(_FIRST)))
 
 
-def dedup(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents that lose something, the others), with the columns of docs; the first also with n_removed, n_spans, kept (binary). docs: as prepared() gives them."""
+def dedup(docs: DataFrame, decoded: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(documents that lose something, the others), with the columns of docs; the first also with n_removed, n_spans, kept (binary; decoded: a string, from which characters that lost some bytes are gone). docs: as prepared() gives them."""
     ranges = cut(covered_ranges(docs))
     per_row = ranges.groupBy("_row").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
 
-    @F.pandas_udf("n_removed long, n_spans long, kept binary")
+    @F.pandas_udf(f"n_removed long, n_spans long, kept {'string' if decoded else 'binary'}")
     def take_out(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
         rows = []
         for text, spans in zip(texts, ranges):
             data = text.encode("utf-8", "surrogatepass")
             kept, runs = remaining(data, [(s["low"], s["high"]) for s in spans])
-            rows.append((len(data) - len(kept), runs, kept))
+            rows.append((len(data) - len(kept), runs, kept.decode("utf-8", "ignore") if decoded else kept))
         return pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept"])
 
+    # else a filter on what it gives would have it run twice, in two workers a task
+    once = take_out.asNondeterministic()
     maybe, others = _likely(docs, ranges)
     met = maybe.join(per_row, "_row", "left")
-    lost = met.where("ranges is not null").withColumn("out", take_out("text", "ranges")).select(*docs.columns, "out.*")
+    lost = met.where("ranges is not null").withColumn("out", once("text", "ranges")).select(*docs.columns, "out.*")
     return lost, others.unionByName(met.where("ranges is null").select(*docs.columns))
 
 
 def rest_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with the repeated strings gone from their texts; a character that lost some of its bytes goes whole, and a document without a word left goes too."""
-    lost, others = dedup(prepared(docs, id_col, text_col, F.struct(*docs.columns).alias("carried")))
-
-    @F.pandas_udf("string")
-    def decoded(kept: pd.Series) -> pd.Series:
-        return pd.Series([x.decode("utf-8", "ignore") for x in kept], dtype=object)
-
-    shorter = lost.select("carried", decoded("kept").alias("rest")).where(F.size(plain_words(F.col("rest"))) > 0)
+    lost, others = dedup(prepared(docs, id_col, text_col, F.struct(*docs.columns).alias("carried")), decoded=True)
+    shorter = lost.select("carried", F.col("kept").alias("rest")).where(F.size(plain_words(F.col("rest"))) > 0)
     new = {text_col: F.col("rest"), length_col: F.length("rest").cast("long")}
     return others.select("carried.*").unionByName(shorter.select(*[new[c].alias(c) if c in new else F.col("carried")[c].alias(c) for c in docs.columns]))
 

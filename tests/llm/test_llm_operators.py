@@ -272,6 +272,11 @@ def removed(df):
     return Counter(rows + [(r.doc_id, len(r.text.encode()), 0, 0, hashlib.sha256(r.text.encode()).hexdigest()) for r in others.collect()])
 
 
+def test_what_is_left_takes_one_python_function_a_task(docs):
+    plan = suffix_dedup.rest_of(docs, length_col=None)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_suffix_dedup(docs, none):
     assert removed(docs) == brute_suffix(TEXTS)
     assert removed(none) == Counter()
