@@ -17,8 +17,10 @@ take part, and a component's id is its smallest id that isn't null; repeated row
 their own; an empty table gives an empty result; only the id and text columns are read.
 
 The pipeline's keep_one goes by resemblance (the share of common shingles among all distinct
-ones): bands of minima find candidate pairs, wide fingerprints drop most unlike ones, and a
-pair is linked only if its sets of shingle hashes, joined by a shuffle, are as alike as asked.
+ones). Its fingerprints are wider, with more and smaller blocks, each searched by its own tree
+in the same way; inside a shard, what agrees in a block and is near over all compared bits
+forms candidate groups, and a pair is linked only if its sets of shingle hashes, joined by a
+shuffle, are as alike as asked.
 """
 
 from __future__ import annotations
@@ -62,9 +64,14 @@ class Shape:
 #: The contract's fingerprints, and those of the pipeline: five words; 256 bits, of which about 39 differ at a resemblance of 0.8
 #: (cosine 0.89, angle 27 degrees of 180) and 48 in small sets; the limit only drops candidates that are far from it, and no lane is asked for alone.
 CONTRACT, PIPELINE = Shape(), Shape(words=5, radius=64, blocks=1, lanes=4, limit=80, indexed=4)
-#: Of 5 shingles, 4 must be common. A pair at 0.8 shares no band of minima in one of 40,000 cases: (1 - 0.8 ** 4) ** 20.
-ALIKE, BANDS, BAND_MINIMA = (4, 5), 20, 4
-#: Members of a band that a task compares all with all; rounds of differently dealt chunks before what is left is compared with whole bands.
+#: Of 5 shingles, 4 must be common.
+ALIKE = (4, 5)
+#: Lanes of the pipeline's search, bits of a block (five in a lane) and its radius. At a resemblance of 0.8 a bit differs in 0.1875 of
+#: cases at most (sets of 5 and 4), so a pair is near in none of the 30 blocks in one of 75,000: (1 - 0.312) ** 30.
+SEARCHED, WIDTH, REACH = 6, 12, 1
+#: Rows of a shard, about, that its tree is grown for, before boundary copies; pairs of a shard that are compared over all lanes at a time.
+SHARD_ROWS, PAIRS = 32_768, 65_536
+#: Members of a group that a task compares all with all; rounds of differently dealt chunks before what is left is compared with whole bands.
 CHUNK, ROUNDS = 256, 2
 
 
@@ -131,10 +138,11 @@ def _best_split(values: np.ndarray, radius: int, rng: np.random.Generator):
     look = values if n <= 4096 else values[rng.integers(0, n, 4096)]
     for v in values[rng.integers(0, n, TRIES)]:
         upto = np.bincount(_distance(look, v), minlength=65).cumsum() * (n / len(look))
-        for m in range(64):
-            inside, outside = upto[min(m + radius, 64)], n - upto[m]
-            if 0 < outside < n and inside**2 + outside**2 < best[0]:
-                best = (inside**2 + outside**2, (v, m))
+        inside, outside = upto[np.minimum(np.arange(64) + radius, 64)], n - upto[:64]
+        cost = np.where((0 < outside) & (outside < n), inside**2 + outside**2, np.inf)
+        m = int(cost.argmin())
+        if cost[m] < best[0]:
+            best = (cost[m], (v, m))
     return best[1]
 
 
@@ -186,16 +194,26 @@ class Groups:
         return x
 
 
-def link_shard(lanes: np.ndarray, values: np.ndarray, radius: int, shape: Shape, lane: int = 0) -> np.ndarray:
-    """The root of each row: lanes is (rows, lanes) of uint64, values the bits of a block of one lane, which are split further by vantage points."""
-    rng, groups, todo = np.random.default_rng(7), Groups(len(lanes)), [np.arange(len(lanes))]
+def branches(values: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(indices, copied) of the rows of a shard's small branches: it is split further by vantage points. Two rows whose copied have a common bit meet outside that boundary, too."""
+    rng, todo = np.random.default_rng(7), [(np.arange(len(values)), np.zeros(len(values), np.uint64), 0)]
     while todo:
-        at = todo.pop()
+        at, copied, depth = todo.pop()
         split = _best_split(values[at], radius, rng) if len(at) > SMALL else None
-        if split is not None:
+        if split is None:
+            yield at, copied
+        else:
             d = _distance(values[at], split[0])
-            todo += [at[d <= split[1] + radius], at[d > split[1]]]
-            continue
+            inside, outside = d <= split[1] + radius, d > split[1]
+            # deeper than a bit each, both places count
+            over = (inside & outside).astype(np.uint64) << np.uint64(depth) if depth < 64 else np.zeros(len(at), np.uint64)
+            todo += [(at[inside], (copied | over)[inside], depth + 1), (at[outside], copied[outside], depth + 1)]
+
+
+def link_shard(lanes: np.ndarray, values: np.ndarray, radius: int, shape: Shape, lane: int = 0) -> np.ndarray:
+    """The root of each row: lanes is (rows, lanes) of uint64, values the bits of a block of one lane, which are split further by vantage points."""
+    groups = Groups(len(lanes))
+    for at, _ in branches(values, radius):
         for i in range(0, len(at), BLOCK):
             for j in range(i, len(at), BLOCK):
                 p, q = at[i : i + BLOCK], at[j : j + BLOCK]
@@ -264,41 +282,100 @@ def near_duplicates(docs: DataFrame, shape: Shape = CONTRACT, id_col: str = "doc
 
 # ---- resemblance ---------------------------------------------------------------------------
 
-_MULTIPLIERS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * BAND_MINIMA, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-
-
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """The distinct shingle hashes, in order."""
     return np.unique(shingle_hashes(text, k))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A number for each band: equal if the minima of all its hash functions are; none for an empty set."""
-    if not len(hashes):
-        return np.empty(0, np.int64)
-    minima = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max)
-    for i in range(0, len(hashes), _CHUNK):
-        part = hashes[i : i + _CHUNK]
-        for f, m in enumerate(_MULTIPLIERS):
-            x = (part ^ (part >> np.uint64(29))) * m
-            minima[f] = min(minima[f], (x ^ (x >> np.uint64(32))).min())
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(minima.reshape(BANDS, BAND_MINIMA))], np.uint64).view(np.int64)
+def blocks_of(lanes: np.ndarray) -> np.ndarray:
+    """(rows, blocks) of the bits of lanes, (rows, lanes) of uint64."""
+    shifts = np.arange(64 // WIDTH, dtype=np.uint64) * np.uint64(WIDTH)
+    return ((lanes[:, :, None] >> shifts) & np.uint64((1 << WIDTH) - 1)).astype(np.uint16).reshape(len(lanes), -1)
 
 
 def sketches(docs: DataFrame, shape: Shape) -> DataFrame:
-    """_row, name, node (a hash of the shingle set), size, the lanes of the set, and bands, for docs (_row, name, text)."""
+    """_row, name, node (a hash of the shingle set), size, the lanes of the set, and the blocks that are searched, for docs (_row, name, text)."""
     lanes = [f"l{i}" for i in range(shape.lanes)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t, shape.words) for t in batch.pop("text")]
-            lanes_of = np.array([fingerprint(s, shape.lanes) for s in sets], np.int64).reshape(len(sets), shape.lanes)
+            lanes_of = np.array([fingerprint(s, SEARCHED) for s in sets], np.int64).reshape(len(sets), SEARCHED)
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            yield batch.assign(node=node, size=[len(s) for s in sets], **{c: lanes_of[:, i] for i, c in enumerate(lanes)}, bands=[bands(s) for s in sets])
+            blocks = blocks_of(lanes_of.view(np.uint64)).view(np.int16)
+            yield batch.assign(node=node, size=[len(s) for s in sets], **{c: lanes_of[:, i] for i, c in enumerate(lanes)}, blocks=list(blocks))
 
     kept = docs.select("_row", "name", "text")
     name = kept.schema["name"].dataType.simpleString()
-    return kept.mapInPandas(giving_back(run), f"_row long, name {name}, node long, size long, {', '.join(f'{c} long' for c in lanes)}, bands array<long>")
+    return kept.mapInPandas(giving_back(run), f"_row long, name {name}, node long, size long, {', '.join(f'{c} long' for c in lanes)}, blocks array<short>")
+
+
+def near_groups(lanes: np.ndarray, values: np.ndarray, limit: int) -> np.ndarray:
+    """The root of each row of a shard: rows are linked whose blocks (values) differ in at most REACH bits and whose lanes differ in at most limit."""
+    groups, held, size, columns = Groups(len(lanes)), [], 0, np.ascontiguousarray(lanes.T)
+
+    def link() -> None:
+        a, b = (np.concatenate(x) for x in zip(*held))
+        for k in range(0, len(a), PAIRS):
+            x, y = a[k : k + PAIRS], b[k : k + PAIRS]
+            apart = groups.root[x] != groups.root[y]
+            x, y = x[apart], y[apart]
+            differing = np.zeros(len(x), np.uint16)
+            for c in columns:
+                differing += np.bitwise_count(c[x] ^ c[y])
+            near = differing <= limit
+            if near.any():
+                groups.link(x[near], y[near])
+
+    for at, copied in branches(values, REACH):
+        for i in range(0, len(at), BLOCK):
+            for j in range(i, len(at), BLOCK):
+                p, q = slice(i, i + BLOCK), slice(j, j + BLOCK)
+                a, b = np.nonzero(np.bitwise_count(values[at[p]][:, None] ^ values[at[q]][None, :]) <= REACH)
+                a, b = a + i, b + j
+                once = (a < b) & (copied[a] & copied[b] == 0)
+                held.append((at[a[once]], at[b[once]]))
+                size += len(held[-1][0])
+                if size >= PAIRS:
+                    link()
+                    held, size = [], 0
+    if held:
+        link()
+    return groups.root
+
+
+def candidates(distinct: DataFrame, shape: Shape) -> DataFrame:
+    """(band, node), the members of candidate groups, for distinct (node, l0, ..., blocks): found by a tree for each block, which deals to overlapping shards, and by comparing inside shards.
+
+    A group is named by the hash of its members, as most are found in many blocks. Trees have more shards the more rows there are.
+    """
+    names, total = [f"l{i}" for i in range(shape.lanes)], distinct.count()
+    # a bounded sample that only chooses vantage points
+    sample = np.array(sorted(r.blocks for r in sampled(distinct.select("l0", "blocks"), "l0", SAMPLE).select("blocks").collect()), np.uint16)
+    n_blocks, smallest = SEARCHED * (64 // WIDTH), max(SHARD_SAMPLE, len(sample) * SHARD_ROWS // max(total, 1))
+    trees = [grow(sample[:, k], REACH, smallest) if len(sample) else 0 for k in range(n_blocks)]
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                blocks = np.array(batch.pop("blocks").tolist(), np.int16).view(np.uint16)
+                for k, tree in enumerate(trees):
+                    dealt = [(shard * n_blocks + k, at) for shard, at in route(tree, blocks[:, k], REACH) if len(at)]
+                    rows = np.concatenate([at for _, at in dealt])
+                    yield batch.iloc[rows].assign(value=blocks[rows, k].view(np.int16), shard=np.repeat([s for s, _ in dealt], [len(at) for _, at in dealt]))
+
+    def compare(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
+        lanes = np.ascontiguousarray(shard[names].to_numpy(np.int64)).view(np.uint64)
+        nodes, root = shard["node"].to_numpy(), near_groups(lanes, shard["value"].to_numpy(np.int16).view(np.uint16), shape.limit)
+        by = np.lexsort((nodes, root))
+        by = by[np.bincount(root, minlength=len(root))[root[by]] > 1]
+        starts = np.nonzero(np.diff(root[by], prepend=-1))[0]
+        names_of = np.array([xxhash.xxh64_intdigest(g.tobytes(), SEED) for g in np.split(nodes[by], starts[1:])] if len(by) else [], np.uint64).view(np.int64)
+        return pd.DataFrame({"band": np.repeat(names_of, np.diff(np.append(starts, len(by)))), "node": nodes[by]})
+
+    fields = "node long, " + ", ".join(f"{c} long" for c in names)
+    dealt = distinct.select("node", *names, "blocks").mapInPandas(giving_back(deal), f"{fields}, value short, shard int")
+    return dealt.groupBy("shard").applyInPandas(compare, "band long, node long").distinct()
 
 
 def shingle_sets(docs: DataFrame, shape: Shape) -> DataFrame:
@@ -359,7 +436,7 @@ def _across(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 def alike(docs: DataFrame, shape: Shape) -> DataFrame:
     """prints of docs (_row, name, text) with component_id: the smallest name among all rows reachable by pairs of the asked resemblance.
 
-    Each member of a band is compared with the band's smallest node. Bands whose members this
+    Each member of a candidate group (band) is compared with the band's smallest node. Bands whose members this
     didn't bring together go on: their members are compared all with all inside tasks, which
     settles a band of up to CHUNK members; larger ones are dealt into chunks, differently in each
     round, until most members are in one group. What is left of a large band, the members outside
@@ -371,9 +448,9 @@ def alike(docs: DataFrame, shape: Shape) -> DataFrame:
     batch_rows(spark, TEXT_BATCH)
     prints = cut(sketches(docs, shape))
     batch_rows(spark, NUMBER_BATCH)
-    distinct = cut(prints.groupBy("node").agg(F.min("name").alias("least_id"), F.min("_row").alias("_row"), *(F.first(c).alias(c) for c in ["size", *lanes, "bands"])))
-    member = distinct.select("node", F.explode("bands").alias("band"))
-    shared = member.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
+    distinct = cut(prints.groupBy("node").agg(F.min("name").alias("least_id"), F.min("_row").alias("_row"), *(F.first(c).alias(c) for c in ["size", *lanes, "blocks"])))
+    member = cut(candidates(distinct, shape))
+    shared = member.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n"))
     members = cut(member.join(shared, "band").select("band", "node", "first", "n"))
     batch_rows(spark, TEXT_BATCH)
     wanted = members.select("node").distinct().join(distinct.select("node", "_row"), "node")

@@ -75,3 +75,29 @@ def test_common_counts(monkeypatch):
     rng = np.random.default_rng(2)
     x, y = ([np.unique(rng.integers(0, 60, n)) for n in sizes] for sizes in ((0, 5, 40, 20), (30, 1, 0, 50, 9)))
     assert simhash.common(x, y).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in y] for a in x]
+
+
+def test_trees_find_what_is_near_in_a_block(spark, monkeypatch):
+    """Every pair that is near in some block and over the compared lanes is in one candidate group, with shards, branches and blocks of comparison that are small."""
+    monkeypatch.setattr(simhash, "SHARD_SAMPLE", 40)
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 1)
+    monkeypatch.setattr(simhash, "SMALL", 12)
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    monkeypatch.setattr(simhash, "PAIRS", 5)
+    rng = np.random.default_rng(4)
+    far = rng.integers(0, 1 << 64, (150, 6), np.uint64)
+    flips = np.zeros((150, 6), np.uint64)
+    for bit in range(64):
+        flips |= (rng.random((150, 6)) < 0.15).astype(np.uint64) << np.uint64(bit)
+    lanes = np.concatenate([far, far ^ flips])
+    blocks = simhash.blocks_of(lanes)
+    assert blocks.shape == (300, 30) and int(blocks[7, 6]) == int(lanes[7, 1]) >> 12 & 4095
+    rows = [(k, *lanes[k, :4].view(np.int64).tolist(), blocks[k].view(np.int16).tolist()) for k in range(300)]
+    df = spark.createDataFrame(rows, "node long, l0 long, l1 long, l2 long, l3 long, blocks array<short>")
+    got = {}
+    for r in simhash.candidates(df, simhash.PIPELINE).collect():
+        got.setdefault(r.band, set()).add(r.node)
+    near = (np.bitwise_count(blocks[:, None] ^ blocks[None]).min(axis=2) <= 1) & (np.bitwise_count(lanes[:, None, :4] ^ lanes[None, :, :4]).sum(axis=2) <= 80)
+    want = {(a, b) for a, b in np.argwhere(near).tolist() if a < b}
+    assert len(want) > 140 and want == {p for g in got.values() for p in combinations(sorted(g), 2)}
+    assert simhash.candidates(df.limit(0), simhash.PIPELINE).count() == 0
