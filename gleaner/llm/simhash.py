@@ -347,7 +347,7 @@ def near_groups(lanes: np.ndarray, values: np.ndarray, limit: int) -> np.ndarray
 def candidates(distinct: DataFrame, shape: Shape) -> DataFrame:
     """(band, node), the members of candidate groups, for distinct (node, l0, ..., blocks): found by a tree for each block, which deals to overlapping shards, and by comparing inside shards.
 
-    A group is named by the hash of its members, as most are found in many blocks. Trees have more shards the more rows there are.
+    Shards give spanning links; their components are the groups, so a row is in one at most, in however many blocks it is found. Trees have more shards the more rows there are.
     """
     names, total = [f"l{i}" for i in range(shape.lanes)], distinct.count()
     # a bounded sample that only chooses vantage points
@@ -367,15 +367,12 @@ def candidates(distinct: DataFrame, shape: Shape) -> DataFrame:
     def compare(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
         lanes = np.ascontiguousarray(shard[names].to_numpy(np.int64)).view(np.uint64)
         nodes, root = shard["node"].to_numpy(), near_groups(lanes, shard["value"].to_numpy(np.int16).view(np.uint16), shape.limit)
-        by = np.lexsort((nodes, root))
-        by = by[np.bincount(root, minlength=len(root))[root[by]] > 1]
-        starts = np.nonzero(np.diff(root[by], prepend=-1))[0]
-        names_of = np.array([xxhash.xxh64_intdigest(g.tobytes(), SEED) for g in np.split(nodes[by], starts[1:])] if len(by) else [], np.uint64).view(np.int64)
-        return pd.DataFrame({"band": np.repeat(names_of, np.diff(np.append(starts, len(by)))), "node": nodes[by]})
+        apart = root != np.arange(len(root))
+        return pd.DataFrame({"a": nodes[apart], "b": nodes[root[apart]]})
 
     fields = "node long, " + ", ".join(f"{c} long" for c in names)
     dealt = distinct.select("node", *names, "blocks").mapInPandas(giving_back(deal), f"{fields}, value short, shard int")
-    return dealt.groupBy("shard").applyInPandas(compare, "band long, node long").distinct()
+    return connected_components(dealt.groupBy("shard").applyInPandas(compare, "a long, b long")).select(F.col("root").alias("band"), "node")
 
 
 def shingle_sets(docs: DataFrame, shape: Shape) -> DataFrame:
