@@ -101,10 +101,12 @@ def multihop(docs: DataFrame, queries: DataFrame, hops: int = 2, k: int = 5, wor
     found, now = None, queries
     for hop in range(1, hops + 1):
         terms = sparse.query_terms(now)
-        best = cut(sparse.top(sparse.bm25(sparse.index(docs, terms), terms), k)).withColumn("hop", F.lit(hop))
+        best = cut(sparse.best(sparse.index(docs, terms), terms, k)).withColumn("hop", F.lit(hop))
         found = best if found is None else found.unionByName(best)
         names = F.filter(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), lambda w: F.rlike(w, F.lit(r"^\p{Lu}\p{L}{4,}$")))
-        more = best.where("rank <= 3").join(docs, "doc_id").groupBy("qid").agg(F.array_join(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(names)))), 1, words), " ").alias("more"))
+        first = best.where("rank <= 3")
+        texts = docs.join(sparse._small(first.select("doc_id").distinct()), "doc_id", "left_semi")  # so only these texts leave their tasks
+        more = first.join(texts, "doc_id").groupBy("qid").agg(F.array_join(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(names)))), 1, words), " ").alias("more"))
         now = now.join(more, "qid", "left").select("qid", F.concat_ws(" ", "query", "more").alias("query"))
     first = W.partitionBy("qid", "doc_id").orderBy("hop")
     return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")

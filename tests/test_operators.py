@@ -1,6 +1,7 @@
 """Edge cases of the retrieval and analytics operators, and their queries against DuckDB on a small table."""
 
 import os
+import random
 import time
 
 import duckdb
@@ -127,3 +128,35 @@ def test_against_duckdb(spark, name):
     for f in os.listdir(DATA):
         con.execute(f"create view {f[:-8]} as select * from '{DATA}/{f}'")
     assert _rows(job.QUERIES[name](spark, DATA).toPandas()) == _rows(con.execute(job.ORACLE[name]).df())
+
+
+def _shuffled(spark) -> int:
+    """Rows that all stages so far have written for a shuffle."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_best_equals_all_scores_and_shuffles_no_pairs(spark, monkeypatch):
+    """Repeated and null ids, ids with texts of several lengths, null and empty texts, ties, words that most documents have, blocks of few documents."""
+    monkeypatch.setattr(sparse, "CELLS", 500)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choice(words[: rng.choice([3, 30])]) for _ in range(rng.randrange(40)))) for i in range(600)]
+    rows += [(i, t) for i, t in rows[:30]] + [(5, "w1 w2 w1"), (None, "w1 w29"), (None, "w28"), (7, None), (900, None), (901, ""), (902, "other words only")]
+    docs = spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(f"q{i}", " ".join(rng.sample([*words, "missing"], 9))) for i in range(40)] + [("none", "missing"), ("empty", "")], "qid string, query string")
+    terms = sparse.query_terms(queries).cache()
+    found = sparse.matches(docs, terms)
+    plain = sparse.Index(found, found.groupBy("term").agg(F.count("*").alias("df")), *sparse.statistics(docs))
+    ix = sparse.index(docs, terms)
+    assert (ix.n, round(ix.average, 9)) == (plain.n, round(plain.average, 9))
+    assert sorted(map(str, ix.found.collect())) == sorted(map(str, found.select(*ix.found.columns).collect())) and sorted(ix.df.collect()) == sorted(plain.df.collect())
+    for by in ("bm25", "coverage"):
+        want = sorted(map(tuple, sparse.best(plain, terms, 6, by).collect()), key=str)
+        assert len(want) == 240 and sorted(map(tuple, sparse.best(ix, terms, 6, by).collect()), key=str) == want
+    before, once = _shuffled(spark), spark.createDataFrame(rows[:600], "doc_id long, text string")
+    sparse.best(sparse.index(once, terms), terms, 6).collect()
+    assert _shuffled(spark) - before < 6_000  # some 20,000 pairs of a query and a document have a word in common
+    assert sparse.best(sparse.index(docs.limit(0), terms), terms, 6).count() == 0
