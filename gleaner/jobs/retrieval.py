@@ -38,7 +38,7 @@ def _indexed(spark, d) -> tuple[sparse.Index, DataFrame]:
 
 
 def _best(spark, d, k: int) -> DataFrame:
-    return sparse.top(sparse.bm25(*_indexed(spark, d)), k)
+    return sparse.best(*_indexed(spark, d), k)
 
 
 def vectors(spark, d) -> DataFrame:
@@ -54,7 +54,7 @@ def candidates(spark, d, k: int = 20) -> DataFrame:
     """(qid, retriever, doc_id, score, rank) of three retrievers; a benchmark item's vector is the one of its id."""
     ix, terms = _indexed(spark, d)
     q = vectors(spark, d).join(_small(benchmark_queries(spark, d).select("qid")), F.col("doc_id") == F.col("qid")).select("qid", F.col("v").alias("q"))
-    parts = {"bm25": sparse.top(sparse.bm25(ix, terms), k), "coverage": sparse.top(sparse.coverage(ix, terms), k), "dense": dense.nearest(vectors(spark, d), q, k)}
+    parts = {"bm25": sparse.best(ix, terms, k), "coverage": sparse.best(ix, terms, k, "coverage"), "dense": dense.nearest(vectors(spark, d), q, k)}
     out = None
     for name, rows in parts.items():
         rows = rows.select("qid", F.lit(name).alias("retriever"), "doc_id", "score", "rank")
