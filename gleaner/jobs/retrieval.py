@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.shared import cut
 from gleaner.functions.text import preview, tokens
 from gleaner.operators import dense, fusion, rerank, sparse
 from gleaner.sources import keyword_index, vector_index
@@ -121,7 +122,9 @@ def _explain(s, d):
 
 
 def _hybrid(s, d):
-    return _fuse("rrf", s, d).join(_t(s, d, "documents").select("doc_id", preview(F.col("text"), 80).alias("preview")), "doc_id", "left").select("qid", "doc_id", "score", "rank", "preview")
+    fused = cut(_fuse("rrf", s, d))
+    texts = _t(s, d, "documents").join(_small(fused.select("doc_id").distinct()), "doc_id", "left_semi")
+    return fused.join(texts.select("doc_id", preview(F.col("text"), 80).alias("preview")), "doc_id", "left").select("qid", "doc_id", "score", "rank", "preview")
 
 
 def _contributions(s, d):
