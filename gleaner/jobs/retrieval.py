@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame
@@ -117,8 +118,9 @@ def _fuse(method: str, spark, d, k: int = 10) -> DataFrame:
 
 def _explain(s, d):
     ix, terms = _indexed(s, d)
-    best = sparse.top(sparse.bm25(ix, terms), 1).select("qid", "doc_id")
-    return sparse.bm25_contributions(ix, terms).join(best, ["qid", "doc_id"]).select("qid", "doc_id", "term", F.round("idf", 6).alias("idf"), F.round("contribution", 6).alias("contribution"))
+    best = cut(sparse.best(ix, terms, 1).select("qid", "doc_id"))
+    found = ix.found.join(_small(best.select("doc_id").distinct()), "doc_id", "left_semi")
+    return sparse.bm25_contributions(replace(ix, found=found), terms).join(best, ["qid", "doc_id"]).select("qid", "doc_id", "term", F.round("idf", 6).alias("idf"), F.round("contribution", 6).alias("contribution"))
 
 
 def _hybrid(s, d):
