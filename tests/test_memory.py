@@ -1,6 +1,7 @@
 """Session memory of a stream against sessions worked out at once, and spans of evidence."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -51,6 +52,19 @@ def test_memory_over_several_batches(spark, tmp_path):
     assert got.where(F.col("user_id") == 9).count() == 0  # the watermark hasn't passed it
 
 
+def test_a_user_costs_no_calls_of_their_own(spark, tmp_path):
+    """Many users with many sessions that all end at once: state and timers come with the rows, so seconds don't go by users and sessions."""
+    rows = [(user, 1000 * user + k, None if k == 3 else "abc"[k % 3], AT + timedelta(hours=5 * k, seconds=user)) for user in range(300) for k in range(40)]
+    schema = "user_id long, event_id long, event_type string, ts timestamp"
+    spark.createDataFrame([*rows, (999, 10**6, "z", AT + timedelta(days=60))], schema).coalesce(1).write.parquet(f"{tmp_path}/in/part=0")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    began = time.time()
+    got = events.drained(memory.remembered(stream), "append")
+    assert time.time() - began < 60
+    have = {(r.user_id, r.session_no): (r.session_start, r.n, r.last_types) for r in got.collect()}
+    assert have == {(u, k + 1): (at, 1, kind or "") for u, i, kind, at in rows for k in [i - 1000 * u]}
+
+
 def test_evidence_spans(spark):
     answer, query = "alpha beta gamma delta", "omega"
     text = "Alpha beta gamma here! Nothing of that kind. Alpha beta gamma delta. The omega alpha beta? Delta and gamma now. short. Unrelated words only"
