@@ -18,16 +18,18 @@ their own; an empty table gives an empty result; only the id and text columns ar
 
 The pipeline's keep_one goes by resemblance (the share of common shingles among all distinct
 ones). Its fingerprints are wider, with more and smaller blocks, each searched by its own tree
-in the same way; inside a shard, what agrees in a block and is near over all compared bits
-forms candidate groups, and a pair is linked only if its sets of shingle hashes, joined by a
-shuffle, are as alike as asked.
+in the same way. Sets as alike as asked have sizes within a fixed ratio, so there are trees for
+each class of sizes, and what lies just above a class's boundary is copied below it, too. Inside a
+shard only rows that agree in a block and have such sizes are met; those that are near over all
+compared bits form candidate groups, and a pair is linked only if its sets of shingle hashes,
+joined by a shuffle, are as alike as asked.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
+from itertools import accumulate, combinations, pairwise
 
 import numpy as np
 import pandas as pd
@@ -70,7 +72,7 @@ ALIKE = (4, 5)
 #: cases at most (sets of 5 and 4), so a pair is near in none of the 30 blocks in one of 75,000: (1 - 0.312) ** 30.
 SEARCHED, WIDTH, REACH = 6, 12, 1
 #: Rows of a shard, about, that its tree is grown for, before boundary copies; pairs of a shard that are compared over all lanes at a time.
-SHARD_ROWS, PAIRS = 32_768, 65_536
+SHARD_ROWS, PAIRS = 131_072, 65_536
 #: Members of a group that a task compares all with all; rounds of differently dealt chunks before what is left is compared with whole bands.
 CHUNK, ROUNDS = 256, 2
 
@@ -310,68 +312,87 @@ def sketches(docs: DataFrame, shape: Shape) -> DataFrame:
     return kept.mapInPandas(giving_back(run), f"_row long, name {name}, node long, size long, {', '.join(f'{c} long' for c in lanes)}, blocks array<short>")
 
 
-def near_groups(lanes: np.ndarray, values: np.ndarray, limit: int) -> np.ndarray:
-    """The root of each row of a shard: rows are linked whose blocks (values) differ in at most REACH bits and whose lanes differ in at most limit."""
-    groups, held, size, columns = Groups(len(lanes)), [], 0, np.ascontiguousarray(lanes.T)
+def size_classes(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each size, by powers of two, and whether a set of the class below can be alike, too."""
+    num, den = ALIKE
+    own = np.frexp(np.maximum(sizes, 1).astype(float))[1] - 1
+    return own, (own > 0) & (sizes * num <= ((1 << own.astype(np.int64)) - 1) * den)
+
+
+def near_groups(lanes: np.ndarray, values: np.ndarray, sizes: np.ndarray, limit: int, copied: np.ndarray) -> np.ndarray:
+    """The root of each row of a shard: rows are linked whose blocks (values) differ in at most REACH bits, whose sizes can be alike and whose lanes differ in at most limit.
 
-    def link() -> None:
-        a, b = (np.concatenate(x) for x in zip(*held))
-        for k in range(0, len(a), PAIRS):
-            x, y = a[k : k + PAIRS], b[k : k + PAIRS]
-            apart = groups.root[x] != groups.root[y]
-            x, y = x[apart], y[apart]
+    Rows lie by value and size, so those that a row meets are a range for each value near its own, and no others are looked at. Two copied rows meet in another shard.
+    """
+    num, den = ALIKE
+    order = np.lexsort((sizes, values))
+    value, size, copied = values[order].astype(np.int64), sizes[order].astype(np.int64), copied[order]
+    columns, groups, span = np.ascontiguousarray(lanes[order].T), Groups(len(order)), 2 * int(size.max(initial=0)) + 2
+    key, low, high = value * span + size, -(-size * num // den), size * den // num
+    for mask in [sum(1 << bit for bit in bits) for r in range(REACH + 1) for bits in combinations(range(WIDTH), r)]:
+        rows = np.nonzero(value < value ^ mask)[0] if mask else np.arange(len(order))
+        other = (value[rows] ^ mask) * span
+        first, end = np.searchsorted(key, other + low[rows]), np.searchsorted(key, other + high[rows], "right")
+        first = first if mask else np.maximum(first, rows + 1)
+        n = np.maximum(end - first, 0)
+        rows, first, n = rows[n > 0], first[n > 0], n[n > 0]
+        total = np.cumsum(n)
+        for i, j in pairwise([*np.searchsorted(total, np.arange(0, total[-1], PAIRS)).tolist(), len(n)] if len(n) else []):
+            part = n[i:j]
+            x = np.repeat(rows[i:j], part)
+            y = np.arange(len(x)) + np.repeat(first[i:j] - (np.cumsum(part) - part), part)
+            apart = (groups.root[x] != groups.root[y]) & ~(copied[x] & copied[y])
+            if not apart.all():
+                x, y = x[apart], y[apart]
             differing = np.zeros(len(x), np.uint16)
             for c in columns:
                 differing += np.bitwise_count(c[x] ^ c[y])
             near = differing <= limit
             if near.any():
                 groups.link(x[near], y[near])
-
-    for at, copied in branches(values, REACH):
-        for i in range(0, len(at), BLOCK):
-            for j in range(i, len(at), BLOCK):
-                p, q = slice(i, i + BLOCK), slice(j, j + BLOCK)
-                a, b = np.nonzero(np.bitwise_count(values[at[p]][:, None] ^ values[at[q]][None, :]) <= REACH)
-                a, b = a + i, b + j
-                once = (a < b) & (copied[a] & copied[b] == 0)
-                held.append((at[a[once]], at[b[once]]))
-                size += len(held[-1][0])
-                if size >= PAIRS:
-                    link()
-                    held, size = [], 0
-    if held:
-        link()
-    return groups.root
+    root = np.empty(len(order), np.int64)
+    root[order] = order[groups.root]
+    return root
 
 
 def candidates(distinct: DataFrame, shape: Shape) -> DataFrame:
-    """(band, node), the members of candidate groups, for distinct (node, l0, ..., blocks): found by a tree for each block, which deals to overlapping shards, and by comparing inside shards.
+    """(band, node), the members of candidate groups, for distinct (node, size, l0, ..., blocks; without size all are taken as equally large): found by trees for each block and class of sizes, which deal to overlapping shards, and by comparing inside shards.
 
     Shards give spanning links; their components are the groups, so a row is in one at most, in however many blocks it is found. Trees have more shards the more rows there are.
     """
     names, total = [f"l{i}" for i in range(shape.lanes)], distinct.count()
+    distinct = distinct if "size" in distinct.columns else distinct.withColumn("size", F.lit(1).cast("long"))
     # a bounded sample that only chooses vantage points
-    sample = np.array(sorted(r.blocks for r in sampled(distinct.select("l0", "blocks"), "l0", SAMPLE).select("blocks").collect()), np.uint16)
-    n_blocks, smallest = SEARCHED * (64 // WIDTH), max(SHARD_SAMPLE, len(sample) * SHARD_ROWS // max(total, 1))
-    trees = [grow(sample[:, k], REACH, smallest) if len(sample) else 0 for k in range(n_blocks)]
+    chosen = sorted((tuple(r.blocks), r.size_) for r in sampled(distinct.select("l0", "blocks", F.col("size").alias("size_")), "l0", SAMPLE).select("blocks", "size_").collect())
+    sample, n_blocks, n_classes = np.array([b for b, _ in chosen], np.uint16), SEARCHED * (64 // WIDTH), 64
+    smallest = max(SHARD_SAMPLE, len(sample) * SHARD_ROWS // max(total, 1))
+
+    def by_class(sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        own, below = size_classes(sizes)
+        for c in np.unique(np.concatenate([own, own[below] - 1])).tolist():
+            yield c, np.nonzero((own == c) | (own == c + 1) & below)[0]
+
+    trees = {(k, c): grow(sample[at, k], REACH, smallest) for c, at in by_class(np.array([x for _, x in chosen], np.int64)) for k in range(n_blocks)}
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                blocks = np.array(batch.pop("blocks").tolist(), np.int16).view(np.uint16)
-                for k, tree in enumerate(trees):
-                    dealt = [(shard * n_blocks + k, at) for shard, at in route(tree, blocks[:, k], REACH) if len(at)]
+                blocks, classes = np.array(batch.pop("blocks").tolist(), np.int16).view(np.uint16), list(by_class(batch["size"].to_numpy()))
+                for k in range(n_blocks):
+                    dealt = [((shard * n_classes + c) * n_blocks + k, own[at]) for c, own in classes for shard, at in route(trees.get((k, c), 0), blocks[own, k], REACH) if len(at)]
                     rows = np.concatenate([at for _, at in dealt])
                     yield batch.iloc[rows].assign(value=blocks[rows, k].view(np.int16), shard=np.repeat([s for s, _ in dealt], [len(at) for _, at in dealt]))
 
     def compare(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
         lanes = np.ascontiguousarray(shard[names].to_numpy(np.int64)).view(np.uint64)
-        nodes, root = shard["node"].to_numpy(), near_groups(lanes, shard["value"].to_numpy(np.int16).view(np.uint16), shape.limit)
+        nodes, sizes = shard["node"].to_numpy(), shard["size"].to_numpy(np.int64)
+        copied = size_classes(sizes)[0] != key[0] // n_blocks % n_classes
+        root = near_groups(lanes, shard["value"].to_numpy(np.int16).view(np.uint16), sizes, shape.limit, copied)
         apart = root != np.arange(len(root))
         return pd.DataFrame({"a": nodes[apart], "b": nodes[root[apart]]})
 
-    fields = "node long, " + ", ".join(f"{c} long" for c in names)
-    dealt = distinct.select("node", *names, "blocks").mapInPandas(giving_back(deal), f"{fields}, value short, shard int")
+    fields = "node long, size long, " + ", ".join(f"{c} long" for c in names)
+    dealt = distinct.select("node", "size", *names, "blocks").mapInPandas(giving_back(deal), f"{fields}, value short, shard int")
     return connected_components(dealt.groupBy("shard").applyInPandas(compare, "a long, b long")).select(F.col("root").alias("band"), "node")
 
 

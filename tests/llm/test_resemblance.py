@@ -102,3 +102,41 @@ def test_trees_find_what_is_near_in_a_block(spark, monkeypatch):
     assert len(want) > 140 and want <= {p for g in got.values() for p in combinations(sorted(g), 2)}
     assert sum(map(len, got.values())) == len(set().union(*got.values())) <= 2 * len(want)
     assert simhash.candidates(df.limit(0), simhash.PIPELINE).count() == 0
+
+
+def test_sizes_that_cannot_be_alike_do_not_meet(spark, monkeypatch):
+    """Equal lanes, sizes of every ratio, over the classes' boundaries: only sizes within 4 to 5 are in one group, however the shards are."""
+    sizes = [10, 31, 35, 39, 60, 63, 64, 78, 79, 98, 100, 127, 128, 159, 160, 300, 1000, 1250, 1251, 4000, 10**6]
+    alike = lambda a, b: min(a, b) * 5 >= max(a, b) * 4
+    rng = np.random.default_rng(6)
+    lanes = np.repeat(rng.integers(0, 1 << 64, (2, 6), np.uint64), len(sizes), axis=0)
+    blocks = simhash.blocks_of(lanes)
+    rows = [(k, sizes[k % len(sizes)], *lanes[k, :4].view(np.int64).tolist(), blocks[k].view(np.int16).tolist()) for k in range(len(lanes))]
+    df = spark.createDataFrame(rows, "node long, size long, l0 long, l1 long, l2 long, l3 long, blocks array<short>")
+    group = list(range(len(rows)))
+    for a, b in combinations(range(len(rows)), 2):
+        if rows[a][2] == rows[b][2] and alike(rows[a][1], rows[b][1]):
+            group = [group[a] if g == group[b] else g for g in group]
+    want = {frozenset(k for k, g in enumerate(group) if g == x) for x in group}
+    for shard_rows in (1, 10**6):
+        monkeypatch.setattr(simhash, "SHARD_ROWS", shard_rows)
+        got = {}
+        for r in simhash.candidates(df, simhash.PIPELINE).collect():
+            got.setdefault(r.band, set()).add(r.node)
+        assert set(map(frozenset, got.values())) == {g for g in want if len(g) > 1}
+    assert 8 < len(want) < len(rows) - 10
+
+
+def test_near_groups_against_all_pairs(monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS", 7)
+    rng = np.random.default_rng(8)
+    lanes = rng.integers(0, 1 << 64, (400, 4), np.uint64)
+    values, sizes, copied = rng.integers(0, 60, 400).astype(np.uint16), rng.integers(20, 60, 400), rng.random(400) < 0.3
+    near = (np.bitwise_count(values[:, None] ^ values[None]) <= 1) & (5 * np.minimum(sizes[:, None], sizes[None]) >= 4 * np.maximum(sizes[:, None], sizes[None]))
+    near &= (np.bitwise_count(lanes[:, None] ^ lanes[None]).sum(axis=2) <= 108) & ~(copied[:, None] & copied[None])
+    a, b = np.nonzero(near)
+    groups = simhash.Groups(400)
+    groups.link(a, b)
+    root = simhash.near_groups(lanes, values, sizes, 108, copied)
+    pairs = lambda r: {(i, j) for i in range(400) for j in range(400) if r[i] == r[j]}
+    assert pairs(root) == pairs(groups.root) and 420 < len(pairs(root)) < 100_000
