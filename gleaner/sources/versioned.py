@@ -8,6 +8,8 @@ writer at a time; readers that began before a compaction are safe until vacuum()
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +32,12 @@ def committed(spark: SparkSession, path: str) -> list[int]:
     return [n for n, _ in marks if n >= base]
 
 
-def commit(spark: SparkSession, path: str, tables: dict[str, DataFrame], base: bool = False, partition_by: dict[str, str] | None = None) -> int:
-    """Writes the next version of each table and then its mark; base: it stands for all before. Returns the version."""
+def commit(spark: SparkSession, path: str, tables: dict[str, DataFrame | Callable[[int], DataFrame]], base: bool = False, partition_by: dict[str, str] | None = None) -> int:
+    """Writes the next version of each table and then its mark; base: it stands for all before. A table may be made from what was written before it, by its version. Returns the version."""
     versions = committed(spark, path)
     version = (versions[-1] if versions else 0) + 1
     for name, rows in tables.items():
+        rows = rows(version) if callable(rows) else rows
         writer = rows.write.mode("overwrite")
         writer = writer.partitionBy(partition_by[name]) if partition_by and name in partition_by else writer
         writer.parquet(f"{path}/{name}/version={version}")

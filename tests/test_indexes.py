@@ -75,6 +75,31 @@ def test_keyword_index_reads_only_what_it_needs(spark, tmp_path, monkeypatch):
     assert {r[0].split("part=")[1].split("/")[0] for r in now.blocks.where(F.col("part").isin(list(parts))).select("_metadata.file_path").distinct().collect()} == {str(p) for p in parts}
 
 
+def test_keyword_index_packs_buckets(spark, tmp_path, monkeypatch):
+    """A row for each bucket and folder, whatever the words; changes beyond the broadcast and terms beyond it find the same."""
+    monkeypatch.setattr(keyword_index, "BUCKET_DOCS", 50)
+    rng, path = random.Random(5), f"{tmp_path}/keywords"
+    held = {i: " ".join([_text(rng), *(f"own{i}x{j}" for j in range(40))]) for i in range(300)}
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    keyword_index.put(frame(list(held.items())), path)
+    now = keyword_index.Reader(spark, path)
+    assert now.blocks.count() <= 6 * (keyword_index.PARTS + 1) < 300
+    assert sorted((r.doc_id, r.dl) for r in now.live_docs().collect()) == [(i, len(t.split())) for i, t in held.items()]
+    more = {i: _text(rng) + " own7x1" for i in range(20, 60, 2)}
+    keyword_index.put(frame(list(more.items())), path)
+    keyword_index.delete(spark, path, frame([(i, "") for i in range(100, 300, 3)]))
+    held = {i: t for i, t in (held | more).items() if i not in range(100, 300, 3)}
+    queries = spark.createDataFrame([(f"q{i}", f"w{i} w{i + 1} own7x1 the own{i}x3") for i in range(30)], "qid string, query string")
+    want = _expected(spark, held, queries, 4)
+    found = lambda: {(r.qid, r.rank, r.doc_id, r.score) for r in keyword_index.search(spark, path, queries, 4).collect()}
+    assert found() == want
+    monkeypatch.setattr(keyword_index, "BROADCAST_CHANGED", 1)
+    monkeypatch.setattr(sparse, "BROADCAST_TERMS", 5)
+    assert found() == want
+    keyword_index.compact(spark, path)
+    assert found() == want and keyword_index.Reader(spark, path).blocks.count() <= 5 * keyword_index.PARTS
+
+
 def _filters(df):
     """The scan's filters on folders."""
     return df._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("PushedFilters")[0]
